@@ -1,0 +1,32 @@
+"""Size checks that decide between two plans with the same result."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all tables ``df`` reads, as Spark knows them; None where it cannot tell.
+
+    The size of the inputs is used rather than Spark's estimate of the output, which multiplies both
+    sides of every join and so says little about a lookup table put together from several small ones.
+    """
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    except AttributeError:  # a remote session gives no access to the plan
+        return None
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    """The session's broadcast limit in bytes; -1 when broadcasting is switched off."""
+    try:
+        return df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    except AttributeError:
+        return -1
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Everything ``df`` reads together is within the session's broadcast limit."""
+    size = input_bytes(df)
+    return size is not None and size <= broadcast_limit(df)
