@@ -29,14 +29,14 @@ def group_stats(
 ) -> DataFrame:
     """``n``, ``low``, ``high``, ``sd`` and the named quantiles of ``value`` per group.
 
-    Missing values and NaN are left out.  Quantiles interpolate linearly between neighbours (type 7).
+    Missing values and NaN are left out; a group of nothing else keeps its row, with ``n`` 0.  Quantiles interpolate linearly between neighbours (type 7).
     ``method`` is ``"builtin"`` (Spark's exact percentile), ``"select"`` (exact, for groups of any
     size), ``"auto"`` (the first within ``ONE_TASK_BYTES`` of input, else the second) or ``"approx"``.
     """
     x = F.col(value)
-    rows = df.where(present(x)).select(*by, x.cast("double").alias(value))
+    rows = df.select(*by, F.when(present(x), x.cast("double")).alias(value))
     shape = [
-        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("n"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.stddev_samp(value).alias("sd"),
@@ -69,7 +69,8 @@ def _select_quantiles(
     marks = rows.groupBy(*by).agg(
         *shape, F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(ACCURACY)).alias("__cuts")
     )
-    banded = lookup_join(rows, marks.select(*by, "__cuts"), by, "inner", nulls_match=True).select(
+    known = rows.where(F.col(value).isNotNull())
+    banded = lookup_join(known, marks.select(*by, "__cuts"), by, "inner", nulls_match=True).select(
         *by, value, F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__band")
     )
 
@@ -106,7 +107,7 @@ def _select_quantiles(
             for r in ranks
         ]
     )
-    joined = lookup_join(marks.drop("__cuts"), found, by, "inner", nulls_match=True)
+    joined = lookup_join(marks.drop("__cuts"), found, by, "left", nulls_match=True)
     quantiles = []
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(p)

@@ -30,16 +30,17 @@ def custody_sum(
 
     It adds a stock over the days of the quarter; ``year_end_balance`` is the balance itself.
     """
-    period = (quarter_label if labelled else quarter_start)(F.col("dt"))
     sums = totals_by_lookup(
         daily.where(in_quarters(F.col("dt"), first, last)),
         classes,
-        {"quarter": period},
+        {"quarter": quarter_start(F.col("dt"))},
         {"custody": F.col("balance")},
         ["type"],
         rule,
         weights,
     )
+    if labelled:
+        sums = sums.withColumn("quarter", quarter_label(F.col("quarter")))
     return sums.withColumn("custody", F.col("custody") / scale)
 
 

@@ -2,45 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cotaflow.operators.distribution import QUARTILES, box_stats, density_curve, group_stats
-from cotaflow.operators.joins import calendar_join, lookup_join
+from cotaflow.operators.distribution import QUARTILES, box_stats, group_stats
+from cotaflow.operators.joins import calendar_join
 from cotaflow.operators.windows import level_code
 
 FACET = ["type", "year"]
 
 
-def benchmark_line(returns: DataFrame, wanted: Column | None = None) -> DataFrame:
-    """``type``, ``year``, ``benchmark`` and the position of the year on the chart's axis.
+def return_quartiles(marked: DataFrame, method: str = "auto") -> DataFrame:
+    """Quartiles per type and year beside the benchmark line of the chart.
 
-    Positions count the years present among the wanted rows, so they shift when a year is absent.
+    ``marked`` holds fund-years with ``is_out``; rows of other facets are to be filtered out before.
+    The line covers every facet, also one whose funds are all outliers, and ``position`` counts the
+    years present, so it shifts when a year is absent.  Both come from the same pass.
     """
-    rows = returns if wanted is None else returns.where(wanted)
-    line = rows.select(*FACET, "benchmark").distinct()
-    positions = line.select("year").distinct().withColumn("position", level_code("year"))
-    return calendar_join(line, positions)
-
-
-def return_quartiles(kept: DataFrame, everything: DataFrame, wanted: Column | None = None, method: str = "auto") -> DataFrame:
-    """Quartiles per type and year of the kept fund-years beside the benchmark line.
-
-    The line comes from all fund-years, so a facet whose funds all went keeps its benchmark.
-    """
-    rows = kept if wanted is None else kept.where(wanted)
-    stats = group_stats(rows, FACET, "ret", QUARTILES, method).select(*FACET, "n", *QUARTILES)
-    return lookup_join(benchmark_line(everything, wanted), stats, FACET, "left", nulls_match=True)
+    kept = marked.withColumn("ret", F.when(~F.col("is_out"), F.col("ret")))
+    stats = group_stats(kept, [*FACET, "benchmark"], "ret", QUARTILES, method)
+    return stats.select(*FACET, "benchmark", level_code("year").alias("position"), "n", *QUARTILES)
 
 
 def return_boxes(trimmed: DataFrame, benchmark: DataFrame, method: str = "auto") -> DataFrame:
     """Box-plot numbers per type and year with the benchmark and the axis position."""
     boxes = box_stats(trimmed, ["type_short", *FACET], "ret", method)
-    positions = boxes.select("year").distinct().withColumn("position", level_code("year"))
-    return calendar_join(calendar_join(boxes, benchmark), positions)
-
-
-def return_density(kept: DataFrame, points: int = 512, wanted: Column | None = None, method: str = "auto") -> DataFrame:
-    """Density curve per type and year."""
-    rows = kept if wanted is None else kept.where(wanted)
-    return density_curve(rows, FACET, "ret", points, method)
+    return calendar_join(boxes.withColumn("position", level_code("year")), benchmark)

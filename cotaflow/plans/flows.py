@@ -32,16 +32,17 @@ def quarterly_totals(
 
     The period is the first day of the quarter or, ``labelled``, a text such as ``2010 T1``.
     """
-    period = {"quarter": (quarter_label if labelled else quarter_start)(F.col("dt"))}
     sums = totals_by_lookup(
         daily.where(in_quarters(F.col("dt"), first, last)),
         classes,
-        period,
+        {"quarter": quarter_start(F.col("dt"))},
         {"inflow": F.col("inflow"), "outflow": F.col("outflow")},
         by,
         rule,
         weights,
     )
+    if labelled:
+        sums = sums.withColumn("quarter", quarter_label(F.col("quarter")))
     return sums.withColumns({"inflow": F.col("inflow") / scale, "outflow": -F.col("outflow") / scale}).withColumn(
         "net", F.col("inflow") + F.col("outflow")
     )

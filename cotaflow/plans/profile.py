@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotaflow.functions.labels import REST, fee_label, feeder_label, lump, mirror_label
@@ -21,9 +21,12 @@ def reporting_funds(daily: DataFrame) -> DataFrame:
 
 
 def funds_per(daily: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
-    """Number of reporting funds per class attributes."""
-    known = classes.select("fund", *by).distinct()
-    return lookup_join(reporting_funds(daily), known, "fund", "inner").groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    """Number of reporting funds per class attributes.
+
+    The rows are already spread by fund when repeats are removed, so that needs no shuffle of its own.
+    """
+    known = lookup_join(reporting_funds(daily), classes.select("fund", *by), "fund", "inner").distinct()
+    return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
 def largest_first(by: list[str], count: str = "n") -> list[Column]:
@@ -52,30 +55,35 @@ def investor_profile(daily: DataFrame, classes: DataFrame) -> DataFrame:
 def latest_structure(snapshots: DataFrame, funds: DataFrame, ties: list[str]) -> DataFrame:
     """Funds per policy, mirror and feeder label, each fund counted by its latest snapshot.
 
-    A snapshot without a date counts as the latest.
+    A snapshot without a date counts as the latest.  The funds are matched after each is down to one
+    row, so a fund with many snapshots is no burden on the join.
     """
-    own = keep_members(snapshots, funds, "fund", nulls_match=True)
-    last = own.groupBy("fund").agg(latest_row(["policy", "mirror", "feeder"], "dt", ties, True).alias("row"))
+    last = snapshots.groupBy("fund").agg(latest_row(["policy", "mirror", "feeder"], "dt", ties, True).alias("row"))
     return (
-        last.select("row.*")
+        keep_members(last, funds, "fund", nulls_match=True)
+        .select("row.*")
         .groupBy("policy", mirror_label(F.col("mirror")).alias("mirror"), feeder_label(F.col("feeder")).alias("feeder"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def fee_matrix(snapshots: DataFrame, funds: DataFrame) -> DataFrame:
-    """Snapshots per policy and fee flags.  The unit is the fund and date, not the fund."""
-    own = keep_members(snapshots, funds, "fund", nulls_match=True)
-    units = own.select("dt", "fund", "policy", *FEES).distinct()
-    counts = units.groupBy("policy", *FEES).agg(F.count(F.lit(1)).alias("n"))
+    """Snapshots per policy and fee flags.  The unit is the fund and date, not the fund.
+
+    They are counted per fund before the funds are matched.
+    """
+    units = snapshots.select("dt", "fund", "policy", *FEES).distinct()
+    per_fund = units.groupBy("fund", "policy", *FEES).agg(F.count(F.lit(1)).alias("n"))
+    own = keep_members(per_fund, funds, "fund", nulls_match=True)
+    counts = own.groupBy("policy", *FEES).agg(F.sum("n").alias("n"))
     return counts.withColumns({fee: fee_label(F.col(fee)) for fee in FEES})
 
 
 def type_year_counts(daily: DataFrame, classes: DataFrame, first: int, last: int) -> DataFrame:
     """Funds per type and year."""
     seen = daily.where(in_years(F.col("dt"), first, last)).select("fund", year_of(F.col("dt")).alias("year")).distinct()
-    known = classes.select("fund", "type").distinct()
-    return lookup_join(seen, known, "fund", "inner").groupBy("type", "year").agg(F.count(F.lit(1)).alias("n"))
+    typed = lookup_join(seen, classes.select("fund", "type"), "fund", "inner").distinct()
+    return typed.groupBy("type", "year").agg(F.count(F.lit(1)).alias("n"))
 
 
 def type_year_counts_wide(daily: DataFrame, classes: DataFrame, first: int, last: int) -> DataFrame:
@@ -86,10 +94,13 @@ def type_year_counts_wide(daily: DataFrame, classes: DataFrame, first: int, last
 
 def qualified_types(counts: DataFrame, more_than: int = 100) -> DataFrame:
     """Types with more than the given number of funds in every year of the sample."""
-    every_year = counts.select("year").distinct().agg(F.count(F.lit(1)).alias("all_years"))
-    per_type = counts.groupBy("type").agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("years"))
-    kept = per_type.join(F.broadcast(every_year), F.col("years") == F.col("all_years"), "inner")
-    return kept.where(F.col("fewest") > more_than).select("type", "fewest", "years")
+    sample = F.size(F.collect_set("year").over(Window.partitionBy())).alias("sample")
+    per_type = (
+        counts.select("type", "n", sample)
+        .groupBy("type")
+        .agg(F.min("n").alias("fewest"), F.count(F.lit(1)).alias("years"), F.max("sample").alias("sample"))
+    )
+    return per_type.where((F.col("years") == F.col("sample")) & (F.col("fewest") > more_than)).drop("sample")
 
 
 def lump_unqualified(classes: DataFrame, qualified: DataFrame) -> DataFrame:

@@ -80,13 +80,17 @@ def outlier_funds(returns: DataFrame, limit: float) -> DataFrame:
     return returns.where(beyond(F.col("ret"), limit)).select("fund").distinct()
 
 
-def without_outlier_funds(returns: DataFrame, limit: float) -> DataFrame:
-    """Leave out every year of a fund that has a return beyond the limit in any year.
+def mark_outlier_funds(returns: DataFrame, limit: float) -> DataFrame:
+    """``is_out``: the fund has a return beyond the limit in any year.
 
     One pass over fund-years, which are at most one row per year for a fund, so no fund is large here.
     """
-    worst = F.max(beyond(F.col("ret"), limit)).over(Window.partitionBy("fund"))
-    return returns.withColumn("__out", worst).where(~F.col("__out")).drop("__out")
+    return returns.withColumn("is_out", F.max(beyond(F.col("ret"), limit)).over(Window.partitionBy("fund")))
+
+
+def without_outlier_funds(returns: DataFrame, limit: float) -> DataFrame:
+    """Leave out every year of a fund that has a return beyond the limit in any year."""
+    return mark_outlier_funds(returns, limit).where(~F.col("is_out")).drop("is_out")
 
 
 def funds_by_type(returns: DataFrame) -> DataFrame:

@@ -484,7 +484,7 @@ for _name, _wanted in (
     oracle(
         _name,
         "KEPT",
-        f"""SELECT type, year, round(benchmark, 6) AS benchmark, position, n, round(q1, 6) AS q1,
+        f"""SELECT type, year, round(benchmark, 6) AS benchmark, position, coalesce(n, 0) AS n, round(q1, 6) AS q1,
             round(median, 6) AS median, round(q3, 6) AS q3
         FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY year) AS INTEGER) AS position
             FROM (SELECT DISTINCT type, year, benchmark FROM RT WHERE {_wanted}))

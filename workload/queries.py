@@ -9,11 +9,11 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotaflow.functions import labels, missing, periods, report, text
-from cotaflow.operators import distribution, joins, ordered, reshape, totals, windows
+from cotaflow.operators import distribution, joins, ordered, reshape, totals
 from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
 from cotaflow.sources.scratch import scratch_path
@@ -71,15 +71,17 @@ def _daily_with_lost_ids(spark, sf):
 @query
 def semi_join_null_keys(spark, sf):
     rows = _daily_with_lost_ids(spark, sf)
+    counts = rows.groupBy("fund").agg(F.count("*").alias("n"))
     large = rows.where(F.col("quota") > 490000).select("fund").distinct()
-    return joins.keep_members(rows, large, "fund", nulls_match=True).groupBy("fund").agg(F.count("*").alias("n"))
+    return joins.keep_members(counts, large, "fund", nulls_match=True)
 
 
 @query
 def anti_join_outliers(spark, sf):
     rows = _daily_with_lost_ids(spark, sf)
+    counts = rows.groupBy("fund").agg(F.count("*").alias("n"))
     large = rows.where((F.col("quota") > 450000) & F.col("fund").isNotNull()).select("fund").distinct()
-    return joins.drop_members(rows, large, "fund").groupBy("fund").agg(F.count("*").alias("n"))
+    return joins.drop_members(counts, large, "fund")
 
 
 @query
@@ -511,18 +513,14 @@ FIRST_FACETS = ["AFRICA", "ASIA", "EUROPE"]
 
 @query
 def return_quartiles(spark, sf):
-    wanted = F.col("type").isin(FIRST_FACETS)
-    everything = _with_benchmark(spark, sf)
-    kept = returns.without_outlier_funds(everything, 500)
-    return rounded(distributions.return_quartiles(kept, everything, wanted), 6)
+    marked = returns.mark_outlier_funds(_with_benchmark(spark, sf), 500)
+    return rounded(distributions.return_quartiles(marked.where(F.col("type").isin(FIRST_FACETS))), 6)
 
 
 @query
 def return_quartiles_others(spark, sf):
-    wanted = missing.not_in(F.col("type"), FIRST_FACETS)
-    everything = _with_benchmark(spark, sf)
-    kept = returns.without_outlier_funds(everything, 500)
-    return rounded(distributions.return_quartiles(kept, everything, wanted), 6)
+    marked = returns.mark_outlier_funds(_with_benchmark(spark, sf), 500)
+    return rounded(distributions.return_quartiles(marked.where(missing.not_in(F.col("type"), FIRST_FACETS))), 6)
 
 
 @query
@@ -542,12 +540,13 @@ def return_boxplot(spark, sf):
 
 @query
 def return_density(spark, sf):
-    curve = distributions.return_density(_kept(spark, sf).select("type", "year", "ret"), points=16)
+    curve = distribution.density_curve(_kept(spark, sf), distributions.FACET, "ret", points=16)
     return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
 
 
 def _trimmed(spark, sf):
-    found = returns.plausible(returns.annual_return(t.dense_daily(spark, sf), *YEARS, t.DENSE_ORDER, skip_missing=True))
+    quotas = _quotas_with_gaps(spark, sf)
+    found = returns.plausible(returns.annual_return(quotas, *YEARS, t.DENSE_ORDER, skip_missing=True))
     typed = joins.lookup_join(found, t.dense_classes(spark, sf), "fund", "inner")
     return returns.trimmed_returns(typed, k=4, prefix="MIDDLE")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotaflow.operators.joins import lookup_join
+from cotaflow.operators.joins import checked_broadcast
 
 FIRST, LAST = 1995, 2001
 QUARTERS = (FIRST, 1), (LAST, 4)
@@ -19,8 +19,24 @@ REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 NEW_IDS_FROM = "1998-01-01"
 
 
+# Columns in use.  Naming them saves the job that looks them up in the files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,14 +70,14 @@ def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
-    return lookup_join(nation, table(spark, sf_dir, "region"), "r_regionkey", "inner")
+    return nation.join(table(spark, sf_dir, "region"), "r_regionkey")
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     balance = F.col("c_acctbal")
     turn = F.col("c_custkey") % 3
-    return lookup_join(customer, _regions(spark, sf_dir), "n_nationkey", "inner").select(
+    return customer.join(checked_broadcast(_regions(spark, sf_dir)), "n_nationkey").select(
         F.col("c_custkey").alias("fund"),
         F.col("r_name").alias("category"),
         F.col("c_mktsegment").alias("type"),
@@ -73,7 +89,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_classes(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
-    return lookup_join(supplier, _regions(spark, sf_dir), "n_nationkey", "inner").select(
+    return supplier.join(checked_broadcast(_regions(spark, sf_dir)), "n_nationkey").select(
         F.col("s_suppkey").alias("fund"), F.col("n_name" if by_nation else "r_name").alias("type")
     )
 
