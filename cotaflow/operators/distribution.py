@@ -111,9 +111,10 @@ def _select_quantiles(
     quantiles = []
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(p)
+        part = at - F.floor(at)
         lo, hi = F.col(f"__v_lo_{name}"), F.col(f"__v_hi_{name}")
         # An exact hit takes the value as it is, so an infinity does not turn into NaN.
-        quantiles.append(F.when(lo == hi, lo).otherwise(lo + (at - F.floor(at)) * (hi - lo)).alias(name))
+        quantiles.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
     return joined.select(*by, "n", "low", "high", "sd", *quantiles)
 
 

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote, unquote, urlsplit
+from urllib.parse import quote
 
 from pyarrow import fs
 
 
 def locate(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and plain path of a path or URI as Spark reports it."""
-    parts = urlsplit(path)
-    if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(parts.path) if parts.scheme and "%" in path else parts.path or path
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(parts.scheme, parts.scheme)
-    return fs.FileSystem.from_uri(f"{scheme}://{parts.netloc}{quote(unquote(parts.path))}")
+    """File system and plain path of a path as Spark reports it, which is not percent-encoded."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
 
 
 def first_line(path: str, encoding: str) -> str:
