@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cotaflow.functions.missing import present
 from cotaflow.operators.joins import lookup_join
 from cotaflow.operators.sizing import input_bytes
+from cotaflow.sources.scratch import staged
 
 # The built-in exact percentile keeps every distinct value of a group in one task, so it is used only
 # while all input together is at most this many bytes.
@@ -64,14 +65,20 @@ def _select_quantiles(
     between the cut points tells exactly which band holds each wanted rank; only the rows of those
     bands, about a thousandth of a group, are then ranked.  The cut points only set how much work is
     left: the counts are exact, so the result is, whatever the sketch says.
+
+    ``rows`` is read three times, so stage it first if it is dear to compute.  The one-row-per-group
+    results are written to the shared folder as they are found: their size is then known, and rows
+    meet them by broadcast, here and in the steps that follow, instead of being shuffled by group.
     """
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BAND, BAND)})
-    marks = rows.groupBy(*by).agg(
-        *shape, F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(ACCURACY)).alias("__cuts")
-    )
+    sketch = F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(ACCURACY))
+    marks = staged(rows.groupBy(*by).agg(*shape, sketch.alias("__cuts")), "quantile-marks")
     known = rows.where(F.col(value).isNotNull())
+    band = F.lit(0)
+    for i in range(len(cuts)):
+        band = band + F.when(F.col("__cuts")[i] < F.col(value), 1).otherwise(0)
     banded = lookup_join(known, marks.select(*by, "__cuts"), by, "inner", nulls_match=True).select(
-        *by, value, F.size(F.filter("__cuts", lambda c: c < F.col(value))).alias("__band")
+        *by, value, band.alias("__band")
     )
 
     # Ranks from 0 that the quantiles need, and the bands that hold them (at most 2 per quantile).
@@ -88,7 +95,7 @@ def _select_quantiles(
     )
     targets = lookup_join(bands, marks.select(*by, "n"), by, "inner", nulls_match=True).withColumns(ranks)
     holds = [(F.col(r) >= F.col("__before")) & (F.col(r) < F.col("__before") + F.col("__rows")) for r in ranks]
-    targets = targets.where(reduce(Column.__or__, holds)).select(*by, "__band", "__before", *ranks)
+    targets = staged(targets.where(reduce(Column.__or__, holds)).select(*by, "__band", "__before", *ranks), "quantile-bands")
 
     up_to = (
         Window.partitionBy(*by, "__band").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -115,7 +122,7 @@ def _select_quantiles(
         lo, hi = F.col(f"__v_lo_{name}"), F.col(f"__v_hi_{name}")
         # An exact hit takes the value as it is, so an infinity does not turn into NaN.
         quantiles.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
-    return joined.select(*by, "n", "low", "high", "sd", *quantiles)
+    return staged(joined.select(*by, "n", "low", "high", "sd", *quantiles), "quantiles")
 
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}

@@ -63,6 +63,25 @@ SNAPSHOT_COLUMNS = {
     "ATIVO_CRED_PRIV": "private_credit",
 }
 
+RATE_COLUMNS = {"date": "dt", "4391": "rate_pct"}
+
+CLOSE_COLUMNS = {"index": "dt", "BVSP.Close": "close"}
+
+JOB_COLUMNS = {
+    "secao": "section",
+    "Intituição": "institution",
+    "Função": "role",
+    "Local": "place",
+    "Inicio": "start",
+    "Fim": "end",
+    "Descrição": "description",
+}
+
+
+def renamed(raw: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The listed columns, and only those, under the names of the library."""
+    return raw.select(*[F.col(f"`{name}`").alias(short) for name, short in columns.items()])
+
 
 def daily_reports(raw: DataFrame) -> DataFrame:
     """Daily reports in library names: one cleaned id whichever of the two id columns a row carries."""
@@ -79,10 +98,25 @@ def daily_reports(raw: DataFrame) -> DataFrame:
 
 def classes(raw: DataFrame) -> DataFrame:
     """Classification table in library names."""
-    return raw.select(*[F.col(f"`{name}`").alias(short) for name, short in CLASS_COLUMNS.items()])
+    return renamed(raw, CLASS_COLUMNS)
 
 
 def snapshots(raw: DataFrame) -> DataFrame:
     """Qualitative snapshots in library names, with the id freed of its punctuation."""
-    named = raw.select(*[F.col(name).alias(short) for name, short in SNAPSHOT_COLUMNS.items()])
+    named = renamed(raw, SNAPSHOT_COLUMNS)
     return named.withColumns({"fund": drop_marks(F.col("fund")), "dt": F.to_date("dt")})
+
+
+def rates(raw: DataFrame) -> DataFrame:
+    """Monthly rate in library names."""
+    return renamed(raw, RATE_COLUMNS).withColumn("dt", F.to_date("dt"))
+
+
+def closes(raw: DataFrame) -> DataFrame:
+    """Daily index in library names."""
+    return renamed(raw, CLOSE_COLUMNS).withColumn("dt", F.to_date("dt"))
+
+
+def job_entries(raw: DataFrame) -> DataFrame:
+    """Job entries in library names."""
+    return renamed(raw, JOB_COLUMNS)

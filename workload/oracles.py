@@ -342,7 +342,7 @@ oracle(
     + ", ".join(
         f"CASE WHEN count(*) FILTER (WHERE year = {y}) = 0 THEN 0.0 "
         f"ELSE round(max(inflow) FILTER (WHERE year = {y}), 2) END AS y{y}"
-        for y in (1996, 2000)
+        for y in range(1995, 2002)
     )
     + " FROM DG WHERE status <> 'F' GROUP BY fund",
 )

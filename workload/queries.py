@@ -16,7 +16,7 @@ from cotaflow.functions import labels, missing, periods, report, text
 from cotaflow.operators import distribution, joins, ordered, reshape, totals
 from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
-from cotaflow.sources.scratch import scratch_path
+from cotaflow.sources.scratch import scratch_path, staged
 from workload import landing, tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -348,7 +348,7 @@ def wide_keeps_missing(spark, sf):
     """A present missing value stays missing in a filled wide table; only absent cells are filled."""
     rows = _daily_with_gaps(spark, sf).withColumn("year", F.year("dt"))
     yearly = rows.where(F.col("status") != "F").groupBy("fund", "year").agg(F.max("inflow").alias("inflow"))
-    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", {"y1996": 1996, "y2000": 2000}, fill=0.0), 2)
+    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", {f"y{y}": y for y in range(1995, 2002)}, fill=0.0), 2)
 
 
 @query
@@ -513,13 +513,13 @@ FIRST_FACETS = ["AFRICA", "ASIA", "EUROPE"]
 
 @query
 def return_quartiles(spark, sf):
-    marked = returns.mark_outlier_funds(_with_benchmark(spark, sf), 500)
+    marked = returns.mark_outlier_funds(staged(_with_benchmark(spark, sf), "returns"), 500)
     return rounded(distributions.return_quartiles(marked.where(F.col("type").isin(FIRST_FACETS))), 6)
 
 
 @query
 def return_quartiles_others(spark, sf):
-    marked = returns.mark_outlier_funds(_with_benchmark(spark, sf), 500)
+    marked = returns.mark_outlier_funds(staged(_with_benchmark(spark, sf), "returns"), 500)
     return rounded(distributions.return_quartiles(marked.where(missing.not_in(F.col("type"), FIRST_FACETS))), 6)
 
 
@@ -540,14 +540,15 @@ def return_boxplot(spark, sf):
 
 @query
 def return_density(spark, sf):
-    curve = distribution.density_curve(_kept(spark, sf), distributions.FACET, "ret", points=16)
+    kept = staged(_kept(spark, sf).select("type", "year", "ret"), "kept")
+    curve = distribution.density_curve(kept, distributions.FACET, "ret", points=16)
     return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
 
 
 def _trimmed(spark, sf):
     quotas = _quotas_with_gaps(spark, sf)
     found = returns.plausible(returns.annual_return(quotas, *YEARS, t.DENSE_ORDER, skip_missing=True))
-    typed = joins.lookup_join(found, t.dense_classes(spark, sf), "fund", "inner")
+    typed = staged(joins.lookup_join(found, t.dense_classes(spark, sf), "fund", "inner"), "returns")
     return returns.trimmed_returns(typed, k=4, prefix="MIDDLE")
 
 

@@ -145,9 +145,7 @@ def padded_id(key: Column) -> Column:
 
 
 def punctuated_id(key: Column) -> Column:
-    digits = padded_id(key)
-    cut = [F.substring(digits, start, length) for start, length in ((1, 2), (3, 3), (6, 3), (9, 4), (13, 2))]
-    return F.concat(cut[0], F.lit("."), cut[1], F.lit("."), cut[2], F.lit("/"), cut[3], F.lit("-"), cut[4])
+    return F.regexp_replace(padded_id(key), "^(..)(...)(...)(....)(..)$", "$1.$2.$3/$4-$5")
 
 
 def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
