@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.labels import REST
-from cotaflow.operators.joins import lookup_join
+from cotaflow.operators.joins import keep_members, lookup_join
+from cotaflow.operators.sizing import fits_broadcast
 
 # Funds the studies leave out because the source repeats them.
 REPEATED_FUND = "58137699000116"
@@ -40,6 +43,18 @@ def classified_daily(daily: DataFrame, classes: DataFrame, columns: list[str] |
     return lookup_join(daily, attributes, "fund", "inner")
 
 
+def for_funds(daily: DataFrame, chosen: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``summarise(daily)``, a table with few rows per fund, for the chosen funds.
+
+    A list of funds within the broadcast limit thins out the daily rows first.  A larger one is
+    matched afterwards, so the daily rows are never shuffled to meet it.
+    """
+    funds = chosen.select("fund")
+    if fits_broadcast(funds):
+        return summarise(keep_members(daily, funds, "fund"))
+    return keep_members(summarise(daily), funds, "fund")
+
+
 def snapshot_weights(snapshots: DataFrame, wanted: Column | None = None) -> DataFrame:
     """``fund`` and ``weight``, the number of its snapshots (of those that are ``wanted``).
 

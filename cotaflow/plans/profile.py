@@ -20,6 +20,11 @@ def reporting_funds(daily: DataFrame) -> DataFrame:
     return daily.select("fund").distinct()
 
 
+def reporting_funds_of(daily: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The chosen funds that report."""
+    return lookup_join(reporting_funds(daily), chosen.select("fund"), "fund", "inner")
+
+
 def funds_per(daily: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
     """Number of reporting funds per class attributes.
 
@@ -40,10 +45,10 @@ def type_share(daily: DataFrame, classes: DataFrame) -> DataFrame:
     return counts.withColumn("share_cum", running_sum("share", largest_first(by))).orderBy(*largest_first(by))
 
 
-def type_share_with_total(daily: DataFrame, classes: DataFrame) -> DataFrame:
-    """Funds per type with the footer total as a row of its own, marked by ``is_total``."""
-    counts = funds_per(daily, classes, ["category", "type"])
-    return counts.rollup("type").agg(F.grouping("type").alias("is_total"), F.sum("n").alias("n"))
+def with_total(counts: DataFrame, by: list[str], count: str = "n") -> DataFrame:
+    """A table of counts with its footer total as a row of its own, marked by ``is_total``."""
+    rows = counts.groupingSets([[F.col(c) for c in by], []], *by)
+    return rows.agg((F.grouping_id() > 0).alias("is_total"), F.sum(count).alias(count))
 
 
 def investor_profile(daily: DataFrame, classes: DataFrame) -> DataFrame:

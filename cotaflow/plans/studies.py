@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cotaflow.functions.labels import REST
 from cotaflow.functions.missing import not_in, skip_sum, strict_sum
 from cotaflow.operators.distribution import density_curve
-from cotaflow.operators.joins import keep_members, lookup_join
+from cotaflow.operators.joins import lookup_join
 from cotaflow.plans import balances, base, distributions, flows, profile, returns
 from cotaflow.sources.scratch import staged
 
@@ -81,8 +81,7 @@ def fixed_income(
         daily, lumped, *QUARTERS, weights, strict_sum, labelled=False
     )
     reports["custody_by_type"] = balances.custody_sum(daily, lumped, *QUARTERS, weights, strict_sum, labelled=False)
-    members = keep_members(daily, chosen, "fund")
-    annual = returns.annual_return(members, *YEARS, list(order_by))
+    annual = base.for_funds(daily, chosen, lambda rows: returns.annual_return(rows, *YEARS, list(order_by)))
     cdi = returns.rate_by_year(rates, *YEARS, strict=True)
     marked = _marked(returns.with_type_and_benchmark(annual, lumped, cdi), 50)
     in_facet = F.col("type").isin(FIXED_INCOME_FACET)
@@ -123,10 +122,13 @@ def multimarket_flows(
     columns = {name: name for name in [*OPEN_TYPES, REST]}
     monthly = flows.monthly_flow(daily, chosen, *FLOW_YEARS)
     monthly_by_type = flows.monthly_net_by_type(daily, lumped, *FLOW_YEARS)
-    members = keep_members(daily, chosen, "fund")
-    closing = staged(balances.fund_years(members, *FLOW_YEARS, order), "fund-years")
-    annual = returns.plausible(returns.annual_return(members, *FLOW_YEARS, order, skip_missing=True))
-    typed = staged(lookup_join(annual, lumped.select("fund", "type"), "fund", "inner"), "returns")
+    closing = base.for_funds(daily, chosen, lambda rows: balances.fund_years(rows, *FLOW_YEARS, order))
+    closing = staged(closing, "fund-years")
+    annual = base.for_funds(
+        daily, chosen, lambda rows: returns.annual_return(rows, *FLOW_YEARS, order, skip_missing=True)
+    )
+    typed = lookup_join(returns.plausible(annual), lumped.select("fund", "type"), "fund", "inner")
+    typed = staged(typed, "returns")
     trimmed = returns.trimmed_returns(typed, 5, "Multimercados")
     return {
         "type_year_counts": profile.type_year_counts_wide(daily, chosen, *FLOW_YEARS),
@@ -144,7 +146,7 @@ def multimarket_flows(
 
 
 def _profiles(daily: DataFrame, chosen: DataFrame, snapshots: DataFrame) -> Reports:
-    funds = lookup_join(profile.reporting_funds(daily), chosen.select("fund"), "fund", "inner")
+    funds = profile.reporting_funds_of(daily, chosen)
     return {
         "type_share": profile.type_share(daily, chosen),
         "investor_profile": profile.investor_profile(daily, chosen),
@@ -171,8 +173,7 @@ def _database_study(
     reports["flow_by_type"] = flows.quarterly_flow_by_type(daily, chosen, *QUARTERS, weights, skip_sum)
     reports["custody_by_type"] = balances.custody_sum(daily, chosen, *QUARTERS, weights, skip_sum)
     stated = lookup_join(chosen, weights.select("fund"), "fund", "inner")
-    members = keep_members(daily, stated, "fund")
-    annual = returns.annual_return(members, *YEARS, list(order_by))
+    annual = base.for_funds(daily, stated, lambda rows: returns.annual_return(rows, *YEARS, list(order_by)))
     marked = _marked(returns.with_type_and_benchmark(annual, chosen, benchmark), limit)
     return reports | _facets([marked.where(F.col("type").isin(facet)) for facet in facets])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cotaflow.functions.missing import skip_sum, strict_sum
 from cotaflow.operators import ordered
 from cotaflow.plans import balances, base, catalog, distributions, flows, profile, returns
+from cotaflow.sources.tables import write_table
 from tests.conftest import day, rows
 
 DAILY = "fund string, dt date, quota double, balance double, inflow double, outflow double"
@@ -46,8 +47,9 @@ def test_shares_add_up(frame):
     assert [(r.type, r.n) for r in found] == [("a", 5), ("b", 3), ("c", 3)]
     assert sum(r.share for r in found) == pytest.approx(100) and found[-1].share_cum == pytest.approx(100)
     assert len({r.share_cum for r in found}) == 3
-    totals = {r.type: r.n for r in profile.type_share_with_total(daily, classes).where("is_total = 1").collect()}
-    assert totals == {None: 11}
+    by = ["category", "type"]
+    table = profile.with_total(profile.funds_per(daily, classes, by), by)
+    assert rows(table.where("is_total").select("n")) == [(11,)] and table.count() == 4
 
 
 @pytest.mark.parametrize("count, total, share", [(7687, 14939, 51.46), (2465, 4984, 49.46), (1427, 4984, 28.63)])
@@ -282,6 +284,12 @@ def test_main_types_and_trimming(frame):
     assert sorted(r.ret for r in kept) == [float(i) for i in range(8)]
 
 
+def test_one_folder_per_institution(spark, frame, tmp_path):
+    entries = frame("section string, institution string, end string", ("profissional", "X", None), ("profissional", "Y", "1"))
+    write_table(catalog.job_table(entries), str(tmp_path / "t"), "create", "institution")
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["institution=X", "institution=Y"]
+
+
 def test_job_table(frame):
     entries = frame(
         "section string, institution string, role string, end string",
@@ -298,10 +306,10 @@ def test_published_category_counts(frame):
     funds = "fundos de investimentos"
     posts = frame(
         "title string, dt date, categories array<string>",
-        ("decada", day("2026-06-14"), [funds, "multimercado", "captação"]),
-        ("acoes", day("2025-04-22"), [funds, "desempenho", "fundos de ações"]),
-        ("raio x", day("2025-04-11"), [funds, "desempenho", "multimercado"]),
-        ("rf", day("2025-04-02"), [funds, "desempenho", "renda fixa"]),
+        ("post 4", day("2026-06-14"), [funds, "multimercado", "captação"]),
+        ("post 3", day("2025-04-22"), [funds, "desempenho", "fundos de ações"]),
+        ("post 2", day("2025-04-11"), [funds, "desempenho", "multimercado"]),
+        ("post 1", day("2025-04-02"), [funds, "desempenho", "renda fixa"]),
     )
     assert dict(catalog.category_counts(posts).collect()) == {
         "Tudo": 4,
@@ -313,8 +321,8 @@ def test_published_category_counts(frame):
         "renda fixa": 1,
     }
     newest = [r.title for r in catalog.listing_page(posts, ["title"], 3).collect()]
-    assert newest == ["decada", "acoes", "raio x"]
-    assert [r.title for r in catalog.in_category(posts, "multimercado").orderBy("title").collect()] == ["decada", "raio x"]
+    assert newest == ["post 4", "post 3", "post 2"]
+    assert [r.title for r in catalog.in_category(posts, "multimercado").orderBy("title").collect()] == ["post 2", "post 4"]
 
 
 def test_post_without_categories_counts_in_all(frame):

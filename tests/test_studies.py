@@ -5,7 +5,10 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from cotaflow.plans import studies
 from cotaflow.sources import schemas
@@ -54,10 +57,11 @@ def tables(spark, industry):
         "dt date, rate_pct double",
         "dt date, close double",
     ]
-    return [
-        spark.createDataFrame([tuple(None if pd.isna(v) else v for v in row) for row in f.itertuples(index=False)], d)
-        for f, d in zip(industry, ddl)
-    ]
+    found = []
+    for table, columns in zip(industry, ddl):
+        schema = to_arrow_schema(StructType.fromDDL(columns))
+        found.append(spark.createDataFrame(pa.Table.from_pandas(table, schema, preserve_index=False)))
+    return found
 
 
 def facets(reports, part):
@@ -75,7 +79,18 @@ def expected_returns(industry, category, limit):
     return ret[~ret.fund.isin(out)], out
 
 
-def test_fixed_income(tables, industry):
+@pytest.fixture(params=["broadcast", "no broadcast"])
+def limit_of_broadcasts(request, spark):
+    """Lookups small enough to broadcast, and lookups that are not."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    if request.param == "no broadcast":
+        spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_fixed_income(tables, industry, limit_of_broadcasts):
     classes, daily, states, rates, _ = tables
     reports = studies.fixed_income(daily, classes, states, rates)
     pc, pdaily, pstates = industry[0], industry[1], industry[2]
@@ -100,7 +115,7 @@ def test_fixed_income(tables, industry):
     assert out and {t for t, _ in facets(reports, "return_quartiles_1")} == {"Renda Fixa Duração Livre Soberano"}
 
 
-def test_multimarket_and_equity(tables, industry):
+def test_multimarket_and_equity(tables, industry, limit_of_broadcasts):
     classes, daily, states, rates, closes = tables
     for reports, category, limit, line in (
         (studies.multimarket(daily, classes, states, rates), "Multimercados", 50, (1.005**12 - 1) * 100),
@@ -123,7 +138,7 @@ def test_multimarket_and_equity(tables, industry):
         assert reports["investor_profile"].count() > 0
 
 
-def test_multimarket_flows(tables, industry):
+def test_multimarket_flows(tables, industry, limit_of_broadcasts):
     classes, daily, _, rates, _ = tables
     reports = studies.multimarket_flows(daily, classes, rates)
     pc, pdaily = industry[0], industry[1]

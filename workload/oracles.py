@@ -209,8 +209,9 @@ ORACLES["format_report"] = (
 oracle(
     "type_share_total",
     "D C",
-    """SELECT type, CAST(grouping(type) AS INTEGER) AS is_total, count(*) AS n
-    FROM (SELECT DISTINCT fund, category, type FROM D JOIN C USING (fund)) GROUP BY ROLLUP (type)""",
+    """SELECT category, type, grouping(type) = 1 AS is_total, count(*) AS n
+    FROM (SELECT DISTINCT fund, category, type FROM D JOIN C USING (fund))
+    GROUP BY GROUPING SETS ((category, type), ())""",
 )
 
 oracle(
@@ -219,6 +220,13 @@ oracle(
     """SELECT investor, feature, count(*) AS n FROM (SELECT DISTINCT fund, investor, feature FROM D JOIN C USING (fund))
     GROUP BY investor, feature""",
 )
+oracle(
+    "investor_profile_total",
+    "D C",
+    """SELECT investor, feature, grouping(investor) = 1 AS is_total, count(*) AS n
+    FROM (SELECT DISTINCT fund, investor, feature FROM D JOIN C USING (fund))
+    GROUP BY GROUPING SETS ((investor, feature), ())""",
+)
 oracle(
     "latest_structure",
     "D C X",

@@ -189,8 +189,8 @@ def type_share(spark, sf):
 
 @query
 def type_share_total(spark, sf):
-    shares = profile.type_share_with_total(t.daily(spark, sf), t.classes(spark, sf))
-    return shares.withColumn("is_total", F.col("is_total").cast("int"))
+    counts = profile.funds_per(t.daily(spark, sf), t.classes(spark, sf), ["category", "type"])
+    return profile.with_total(counts, ["category", "type"])
 
 
 @query
@@ -214,9 +214,15 @@ def investor_profile(spark, sf):
     return profile.investor_profile(t.daily(spark, sf), t.classes(spark, sf))
 
 
+@query
+def investor_profile_total(spark, sf):
+    by = ["investor", "feature"]
+    return profile.with_total(profile.funds_per(t.daily(spark, sf), t.classes(spark, sf), by), by)
+
+
 def _funds_of(spark, sf, *categories):
     rows = t.classes(spark, sf).where(F.col("category").isin(*categories))
-    return profile.reporting_funds(base.classified_daily(t.daily(spark, sf), rows, []))
+    return profile.reporting_funds_of(t.daily(spark, sf), rows)
 
 
 @query
@@ -636,8 +642,8 @@ def ingest_consolidated(spark, sf):
     landing.write_csv(t.vintages(t.raw_daily(spark, sf))[1], f"{folder}/landed/new")
     old = ingest.landed_reports(spark, f"{folder}/landed", files=None)
     new = ingest.landed_reports(spark, f"{folder}/landed/new", archives=None)
-    ingest.consolidate(delimited.union_by_name([old, new]), f"{folder}/informes_diarios")
-    return _per_year(store.read_table(spark, f"{folder}/informes_diarios"))
+    ingest.consolidate(delimited.union_by_name([old, new]), f"{folder}/daily")
+    return _per_year(store.read_table(spark, f"{folder}/daily"))
 
 
 @query
