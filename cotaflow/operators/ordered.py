@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 
 def order_key(order_by: list[str]) -> Column:
-    """One comparable value for the order.  A single column keeps the aggregation in hash form."""
+    """One comparable value for the order.
+
+    A single fixed-width column keeps the aggregation in hash form; several columns are compared as a
+    struct, for which every task first sorts its rows by group.
+    """
     return F.col(order_by[0]) if len(order_by) == 1 else F.struct(*order_by)
 
 

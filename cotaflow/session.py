@@ -9,6 +9,10 @@ COMMON = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot fund is split even where that costs one more shuffle behind the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Daily rows that meet a lookup of small partitions are hashed, not sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

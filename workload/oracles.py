@@ -358,7 +358,7 @@ oracle(
     "monthly_flow",
     "DG C",
     """SELECT CAST(date_trunc('month', dt) AS DATE) AS month, round(coalesce(sum(inflow), 0) / 1e9, 11) AS inflow,
-        round(-coalesce(sum(outflow), 0) / 1e9, 11) AS outflow,
+        round(0 - coalesce(sum(outflow), 0) / 1e9, 11) AS outflow,
         round((coalesce(sum(inflow), 0) - coalesce(sum(outflow), 0)) / 1e9, 11) AS net
     FROM DG JOIN C USING (fund) GROUP BY 1""",
 )

@@ -401,7 +401,7 @@ def custody_sum_fanout(spark, sf):
 
 
 def _fund_years(spark, sf):
-    return balances.fund_years(t.daily(spark, sf), *YEARS, ["dt", "seq"])
+    return balances.fund_years(t.daily(spark, sf), *YEARS, ["moment"])
 
 
 @query

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotaflow.functions.periods import dated_sequence
 from cotaflow.operators.joins import checked_broadcast
 
 FIRST, LAST = 1995, 2001
@@ -40,12 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as daily reports; ``moment`` orders them by day, then order key."""
+    day = F.col("o_orderdate").cast("date")
     finished = F.col("o_orderstatus") == "F"
     price = F.col("o_totalprice")
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("fund"),
-        F.col("o_orderdate").cast("date").alias("dt"),
+        day.alias("dt"),
         F.col("o_orderkey").alias("seq"),
+        dated_sequence(day, F.col("o_orderkey")).alias("moment"),
         price.alias("quota"),
         price.alias("balance"),
         F.when(~finished, price).otherwise(F.lit(0.0)).alias("inflow"),
