@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,10 @@ ONE_TASK_BYTES = 64 << 20
 BAND = 0.0005
 ACCURACY = 10_000
 
+# Most distinct values of one band that a task ranks, and into how many parts a larger one is cut.
+PIECE_VALUES = 2_000_000
+SPLIT = 64
+
 
 def group_stats(
     df: DataFrame,
@@ -62,55 +68,51 @@ def _select_quantiles(
     """Exact quantiles without gathering a group in one place.
 
     A mergeable sketch proposes cut points a hair below and above each quantile.  Counting the rows
-    between the cut points tells exactly which band holds each wanted rank; only the rows of those
-    bands, about a thousandth of a group, are then ranked.  The cut points only set how much work is
-    left: the counts are exact, so the result is, whatever the sketch says.
-
-    ``rows`` is read three times, so stage it first if it is dear to compute.  The one-row-per-group
-    results are written to the shared folder as they are found: their size is then known, and rows
-    meet them by broadcast, here and in the steps that follow, instead of being shuffled by group.
+    between the cut points tells exactly which band holds each wanted rank; only the values of those
+    bands, about a thousandth of a group, go on.  A band of still too many values is cut again, and in
+    the end the values of a band are ranked.  The cut points only set how much work is left: the
+    counts are exact, so the result is, whatever the sketch says.
+
+    ``rows`` is read three times, so stage it first if it is dear to compute.  What each step finds is
+    small and is written to the shared folder: its size is then known, and rows meet it by broadcast,
+    here and in the steps that follow, instead of being shuffled by group.
     """
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-BAND, BAND)})
-    sketch = F.percentile_approx(value, F.array(*[F.lit(c) for c in cuts]), F.lit(ACCURACY))
-    marks = staged(rows.groupBy(*by).agg(*shape, sketch.alias("__cuts")), "quantile-marks")
+    marks = staged(rows.groupBy(*by).agg(*shape, _cut_points(value, cuts)), "quantile-marks")
     known = rows.where(F.col(value).isNotNull())
-    band = F.lit(0)
-    for i in range(len(cuts)):
-        band = band + F.when(F.col("__cuts")[i] < F.col(value), 1).otherwise(0)
     banded = lookup_join(known, marks.select(*by, "__cuts"), by, "inner", nulls_match=True).select(
-        *by, value, band.alias("__band")
+        *by, value, _band(value, len(cuts)).alias("__band")
     )
 
-    # Ranks from 0 that the quantiles need, and the bands that hold them (at most 2 per quantile).
+    # Ranks from 0 that the quantiles need.
     ranks = {}
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(p)
         ranks[f"__lo_{name}"] = F.floor(at)
         ranks[f"__hi_{name}"] = F.ceil(at)
-    before = Window.partitionBy(*by).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = (
-        banded.groupBy(*by, "__band")
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
-    )
-    targets = lookup_join(bands, marks.select(*by, "n"), by, "inner", nulls_match=True).withColumns(ranks)
-    holds = [(F.col(r) >= F.col("__before")) & (F.col(r) < F.col("__before") + F.col("__rows")) for r in ranks]
-    targets = staged(targets.where(reduce(Column.__or__, holds)).select(*by, "__band", "__before", *ranks), "quantile-bands")
+    counts = banded.groupBy(*by, "__band").agg(F.count(F.lit(1)).alias("__rows"))
+    ranked = lookup_join(counts, marks.select(*by, "n"), by, "inner", nulls_match=True).withColumns(ranks)
+    ranked = ranked.withColumn("__before", _rows_before(by)).withColumn("__piece", F.col("__band").cast("bigint"))
+    targets = staged(_holding(ranked, ranks).select(*by, "__piece", "__before", *ranks), "quantile-bands")
+
+    pieces = banded.withColumnRenamed("__band", "__piece")
+    cells = lookup_join(pieces, targets.select(*by, "__piece"), [*by, "__piece"], "inner", nulls_match=True)
+    cells = staged(cells.groupBy(*by, "__piece", value).agg(F.count(F.lit(1)).alias("__rows")), "quantile-values")
+    size, last = _largest_piece(cells, by), math.inf
+    while PIECE_VALUES < size < last:
+        cells, targets = _cut_again(cells, targets, by, value, list(ranks))
+        size, last = _largest_piece(cells, by), size
 
     up_to = (
-        Window.partitionBy(*by, "__band").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by, "__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = (
-        lookup_join(banded, targets, [*by, "__band"], "inner", nulls_match=True)
-        .groupBy(*by, "__band", "__before", *ranks, value)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn("__end", F.col("__before") + F.sum("__rows").over(up_to))
+    placed = lookup_join(cells, targets, [*by, "__piece"], "inner", nulls_match=True).withColumn(
+        "__end", F.col("__before") + F.sum("__rows").over(up_to)
     )
-    found = ranked.groupBy(*by).agg(
+    found = placed.groupBy(*by).agg(
         *[
-            F.max(F.when((F.col(r) < F.col("__end")) & (F.col(r) >= F.col("__end") - F.col("__rows")), F.col(value))).alias(
-                r.replace("__", "__v_", 1)
-            )
+            F.max(F.when((F.col(r) < F.col("__end")) & (F.col(r) >= F.col("__end") - F.col("__rows")), F.col(value)))
+            .alias(f"__at{r}")
             for r in ranks
         ]
     )
@@ -119,12 +121,62 @@ def _select_quantiles(
     for name, p in probs.items():
         at = (F.col("n") - 1) * F.lit(p)
         part = at - F.floor(at)
-        lo, hi = F.col(f"__v_lo_{name}"), F.col(f"__v_hi_{name}")
+        lo, hi = F.col(f"__at__lo_{name}"), F.col(f"__at__hi_{name}")
         # An exact hit takes the value as it is, so an infinity does not turn into NaN.
         quantiles.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
     return staged(joined.select(*by, "n", "low", "high", "sd", *quantiles), "quantiles")
 
 
+def _cut_points(value: str, shares: list[float]) -> Column:
+    return F.percentile_approx(value, F.array(*[F.lit(s) for s in shares]), F.lit(ACCURACY)).alias("__cuts")
+
+
+def _band(value: str, cuts: int) -> Column:
+    """Number of cut points below the value."""
+    band = F.lit(0)
+    for i in range(cuts):
+        band = band + F.when(F.col("__cuts")[i] < F.col(value), 1).otherwise(0)
+    return band
+
+
+def _rows_before(inside: list[str]) -> Column:
+    """Rows in the bands below, among the few bands of a group."""
+    w = Window.partitionBy(*inside).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("__rows").over(w), F.lit(0))
+
+
+def _holding(bands: DataFrame, ranks: Iterable[str]) -> DataFrame:
+    """The bands that hold a wanted rank."""
+    first, end = F.col("__before"), F.col("__before") + F.col("__rows")
+    return bands.where(reduce(Column.__or__, [(F.col(r) >= first) & (F.col(r) < end) for r in ranks]))
+
+
+def _largest_piece(cells: DataFrame, by: list[str]) -> int:
+    sizes = cells.groupBy(*by, "__piece").agg(F.count(F.lit(1)).alias("values"))
+    return sizes.agg(F.coalesce(F.max("values"), F.lit(0))).first()[0]
+
+
+def _cut_again(
+    cells: DataFrame, targets: DataFrame, by: list[str], value: str, ranks: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Split every piece by its distinct values and keep the parts that hold a wanted rank."""
+    inside = [*by, "__piece"]
+    shares = [i / SPLIT for i in range(1, SPLIT)]
+    cuts = staged(cells.groupBy(*inside).agg(_cut_points(value, shares)), "quantile-cuts")
+    banded = lookup_join(cells, cuts, inside, "inner", nulls_match=True).select(
+        *inside, value, "__rows", _band(value, len(shares)).alias("__band")
+    )
+    counts = banded.groupBy(*inside, "__band").agg(F.sum("__rows").alias("__rows"))
+    counts = counts.withColumn("__below", _rows_before(inside))
+    placed = lookup_join(counts, targets, inside, "inner", nulls_match=True)
+    placed = placed.withColumn("__before", F.col("__before") + F.col("__below"))
+    part = F.col("__piece") * SPLIT + F.col("__band")
+    kept = staged(_holding(placed, ranks).select(*by, part.alias("__piece"), "__before", *ranks), "quantile-bands")
+    parts = banded.select(*by, part.alias("__piece"), value, "__rows")
+    left = lookup_join(parts, kept.select(*inside), inside, "inner", nulls_match=True)
+    return staged(left, "quantile-values"), kept
+
+
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 SIDES = {"q1": 0.25, "q3": 0.75}
 

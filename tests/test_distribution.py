@@ -54,10 +54,26 @@ def test_selection_equals_sorting(spark, seed):
             assert found[key][name] == pytest.approx(want, rel=1e-12, nan_ok=True), (key, name)
 
 
+@pytest.mark.parametrize("accuracy", [4, 10_000])
+def test_bands_of_many_values_are_cut_again(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(dist, "PIECE_VALUES", 12)
+    monkeypatch.setattr(dist, "SPLIT", 8)
+    monkeypatch.setattr(dist, "BAND", 0.05)
+    monkeypatch.setattr(dist, "ACCURACY", accuracy)
+    df = spark.createDataFrame(sample(4), "k string, j int, x double").where("k is null or k != 'ends'")
+    by, calls, again = ["k", "j"], [], dist._cut_again
+    monkeypatch.setattr(dist, "_cut_again", lambda *a: calls.append(1) or again(*a))
+    cut = dist.group_stats(df, by, "x", dist.QUARTILES, "select").select(*by, "n", *dist.QUARTILES)
+    exact = dist.group_stats(df, by, "x", dist.QUARTILES, "builtin").select(*by, "n", *dist.QUARTILES)
+    assert len(calls) > 1
+    for a, b in zip(rows(cut), rows(exact), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
+
+
 def test_selection_does_not_rely_on_the_sketch(spark, monkeypatch):
     """Cut points from a very rough sketch cost time, not exactness."""
     monkeypatch.setattr(dist, "ACCURACY", 4)
-    df = spark.createDataFrame(sample(3), "k string, j int, x double").where("k != 'ends'")
+    df = spark.createDataFrame(sample(3), "k string, j int, x double").where("k is null or k != 'ends'")
     by = ["k", "j"]
     rough = dist.group_stats(df, by, "x", dist.QUARTILES, "select").select(*by, "n", *dist.QUARTILES)
     exact = dist.group_stats(df, by, "x", dist.QUARTILES, "builtin").select(*by, "n", *dist.QUARTILES)
