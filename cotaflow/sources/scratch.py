@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,16 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder of this machine.
+    Only a local session without that setting falls back to a temporary folder of this machine, which
+    goes when the process ends.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="cotaflow-")
+        return _local_folder().name
     raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
+@functools.cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="cotaflow-", ignore_cleanup_errors=True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path below the shared folder that nothing else uses, with its file system spelled out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
@@ -30,8 +43,3 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
