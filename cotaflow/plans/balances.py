@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, zero_sum
-from cotaflow.functions.periods import in_quarters, in_years, quarter_label, quarter_start, year_of
+from cotaflow.functions.periods import quarter_label, quarter_start, year_of
 from cotaflow.operators.joins import lookup_join
 from cotaflow.operators.ordered import last_value
 from cotaflow.operators.reshape import wide
 from cotaflow.operators.totals import totals_by_lookup
 from cotaflow.operators.windows import step_change
+from cotaflow.plans.base import within_quarters, within_years
 
 BILLION = 1e9
 
@@ -31,7 +32,7 @@ def custody_sum(
     It adds a stock over the days of the quarter; ``year_end_balance`` is the balance itself.
     """
     sums = totals_by_lookup(
-        daily.where(in_quarters(F.col("dt"), first, last)),
+        within_quarters(daily, first, last),
         classes,
         {"quarter": quarter_start(F.col("dt"))},
         {"custody": F.col("balance")},
@@ -47,7 +48,7 @@ def custody_sum(
 def fund_years(daily: DataFrame, first: int, last: int, order_by: list[str], scale: float = BILLION) -> DataFrame:
     """Per fund and year: closing balance, its date, and net flow, from one pass over the daily rows."""
     return (
-        daily.where(in_years(F.col("dt"), first, last))
+        within_years(daily, first, last)
         .groupBy("fund", year_of(F.col("dt")).alias("year"))
         .agg(
             (last_value("balance", order_by) / scale).alias("balance"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.labels import REST
+from cotaflow.functions.periods import in_quarters, in_years
 from cotaflow.operators.joins import keep_members, lookup_join
 from cotaflow.operators.sizing import fits_broadcast
 
@@ -43,6 +44,21 @@ def classified_daily(daily: DataFrame, classes: DataFrame, columns: list[str] |
     return lookup_join(daily, attributes, "fund", "inner")
 
 
+def within_years(daily: DataFrame, first: int, last: int) -> DataFrame:
+    """Daily rows of the years ``first`` to ``last``.
+
+    The consolidated table is partitioned by ``year``; where that column is there, it is filtered as
+    well, so that other years' files are never opened.
+    """
+    rows = daily.where(in_years(F.col("dt"), first, last))
+    return rows.where(F.col("year").between(first, last)) if "year" in daily.columns else rows
+
+
+def within_quarters(daily: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+    """Daily rows of the quarters ``(year, quarter)`` from ``first`` to ``last``."""
+    return within_years(daily, first[0], last[0]).where(in_quarters(F.col("dt"), first, last))
+
+
 def for_funds(daily: DataFrame, chosen: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``summarise(daily)``, a table with few rows per fund, for the chosen funds.
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, strict_sum, zero_sum
-from cotaflow.functions.periods import in_quarters, in_years, month_start, quarter_label, quarter_start, year_of
+from cotaflow.functions.periods import month_start, quarter_label, quarter_start, year_of
 from cotaflow.operators.reshape import row_total, wide
 from cotaflow.operators.totals import totals_by_lookup
 from cotaflow.operators.windows import running_sum, trailing_sum
+from cotaflow.plans.base import within_quarters, within_years
 
 BILLION = 1e9
 Rule = Callable[[Column], Column]
@@ -33,7 +34,7 @@ def quarterly_totals(
     The period is the first day of the quarter or, ``labelled``, a text such as ``2010 T1``.
     """
     sums = totals_by_lookup(
-        daily.where(in_quarters(F.col("dt"), first, last)),
+        within_quarters(daily, first, last),
         classes,
         {"quarter": quarter_start(F.col("dt"))},
         {"inflow": F.col("inflow"), "outflow": F.col("outflow")},
@@ -90,7 +91,7 @@ def _net() -> Column:
 
 def annual_net(daily: DataFrame, classes: DataFrame, first: int, last: int, scale: float = BILLION) -> DataFrame:
     """Net flow per year and type."""
-    rows = daily.where(in_years(F.col("dt"), first, last))
+    rows = within_years(daily, first, last)
     sums = totals_by_lookup(rows, classes, {"year": year_of(F.col("dt"))}, {"net": _net()}, ["type"], zero_sum)
     return sums.withColumn("net", F.col("net") / scale)
 
@@ -119,7 +120,7 @@ def monthly_flow(
     """Gross inflow, outflow (negative) and net flow per month."""
     d = F.col("dt")
     sums = totals_by_lookup(
-        daily.where(in_years(d, first, last)),
+        within_years(daily, first, last),
         classes,
         {"year": F.year(d), "month": F.month(d)},
         {"inflow": F.col("inflow"), "outflow": F.col("outflow")},
@@ -141,7 +142,7 @@ def monthly_net_by_type(
     """Net flow per month and type."""
     d = F.col("dt")
     sums = totals_by_lookup(
-        daily.where(in_years(d, first, last)),
+        within_years(daily, first, last),
         classes,
         {"year": F.year(d), "month": F.month(d)},
         {"net": _net()},

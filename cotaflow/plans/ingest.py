@@ -17,10 +17,16 @@ def landed_reports(
 ) -> DataFrame:
     """Daily reports of every archive and text file in a folder, in library names."""
     parts = []
-    if archives:
-        parts.append(read_archives(spark, folder, DAILY_TYPES, archives, files or "*.csv"))
-    if files:
-        parts.append(read_delimited(spark, folder, DAILY_TYPES, files))
+    for wanted, read in (
+        (archives, lambda: read_archives(spark, folder, DAILY_TYPES, archives, files or "*.csv")),
+        (files, lambda: read_delimited(spark, folder, DAILY_TYPES, files)),
+    ):
+        try:
+            parts += [read()] if wanted else []
+        except FileNotFoundError:
+            continue  # a folder may hold only archives or only files
+    if not parts:
+        raise FileNotFoundError(f"neither {archives} nor {files} in {folder}")
     raw = union_by_name(parts)
     absent = [n for n in DAILY_TYPES if n not in raw.columns]
     return daily_reports(raw.withColumns({n: F.lit(None).cast(DAILY_TYPES[n]) for n in absent}) if absent else raw)

@@ -16,6 +16,7 @@ from cotaflow.operators.joins import calendar_join, keep_members, lookup_join
 from cotaflow.operators.ordered import first_value, last_value
 from cotaflow.operators.ranking import largest_groups
 from cotaflow.operators.windows import running_compound
+from cotaflow.plans.base import within_years
 
 
 def annual_return(
@@ -28,7 +29,7 @@ def annual_return(
     """
     start, end = (f("quota", order_by, skip_missing) for f in (first_value, last_value))
     return (
-        daily.where(in_years(F.col("dt"), first, last))
+        within_years(daily, first, last)
         .groupBy("fund", year_of(F.col("dt")).alias("year"))
         .agg(start.alias("start"), end.alias("end"))
         .select("fund", "year", growth_pct(F.col("start"), F.col("end"), zero).alias("ret"))

@@ -28,7 +28,9 @@ def schema_for(header: str, types: dict[str, str], sep: str = ";") -> str:
 
 
 def csv_options(sep: str, quote: str) -> dict[str, str]:
-    return {"sep": sep, "quote": quote, "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    """Fields are trimmed; an empty field and the text NA are missing."""
+    trimmed = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    return {"sep": sep, "quote": quote, "nullValue": "NA", "emptyValue": "NA", **trimmed}
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "utf-8") -> DataFrame:
@@ -83,7 +85,7 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 
 def cp1252_text(x: Column) -> Column:
     """Text that was decoded as ISO-8859-1 although it is windows-1252."""
-    return F.translate(x, LATIN1_CONTROLS, CP1252_PRINTABLE)
+    return F.when(x.rlike("[\\x80-\\x9f]"), F.translate(x, LATIN1_CONTROLS, CP1252_PRINTABLE)).otherwise(x)
 
 
 def _as_cp1252(df: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import os
+import re
 import zipfile
 from types import SimpleNamespace
 
@@ -53,6 +54,18 @@ def test_headers_come_without_reading_the_files(spark, tmp_path):
     assert found == {"200001.csv": OLD, "200002.csv": OLD, "202401.csv": NEW}  # an empty file is no file
 
 
+def test_missing_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a;b;c;d\nNA; NA ;"";x\n1;;"NA";" y "\n2\n')
+    found = rows(delimited.read_delimited(spark, str(tmp_path), {"a": "int"}))
+    assert found == [(1, None, None, " y "), (2, None, None, None), (None, None, None, "x")]
+
+
+def test_archive_fields_follow_the_same_rules(spark, tmp_path):
+    archive(tmp_path / "a.zip", x='a;b;c\nNA;"";"q;r"\n')
+    found = archives.read_archives(spark, str(tmp_path), {"a": "int"}).select("a", "b", "c")
+    assert rows(found) == [(None, None, "q;r")]
+
+
 def test_no_file_is_an_error(spark, tmp_path):
     (tmp_path / "x.txt").write_text("a")
     with pytest.raises(FileNotFoundError):
@@ -143,6 +156,19 @@ def test_table_modes(spark, tmp_path, frame):
         tables.write_table(first, path, "restate")
 
 
+def test_periods_skip_partitions(spark, tmp_path, frame):
+    from cotaflow.plans import base
+
+    path = str(tmp_path / "t")
+    reports = frame("fund string, dt date", *[("a", dt.date(y, m, 1)) for y in (2000, 2001, 2002) for m in (1, 5, 12)])
+    ingest.consolidate(reports, path)
+    daily = tables.read_table(spark, path)
+    years, quarters = base.within_years(daily, 2001, 2001), base.within_quarters(daily, (2000, 4), (2001, 1))
+    for found, count in ((years, 3), (quarters, 2)):
+        assert re.search(r"PartitionFilters: \[[^]]*year", found._jdf.queryExecution().executedPlan().toString())
+        assert found.count() == count
+
+
 def test_year_filter_skips_partitions(spark, tmp_path, frame):
     path = str(tmp_path / "t")
     reports = frame("fund string, dt date", ("a", dt.date(2000, 5, 1)), ("a", dt.date(2001, 5, 1)))

@@ -163,7 +163,7 @@ oracle(
     "D X",
     """SELECT D.fund, D.seq, D.quota, S.policy, S.perf_fee FROM D LEFT JOIN (
         SELECT *, row_number() OVER (PARTITION BY fund ORDER BY dt DESC, seq DESC) AS rn FROM X) S
-    ON S.fund = D.fund AND S.rn = 1 WHERE D.status = 'P'""",
+    ON S.fund = D.fund AND S.rn = 1""",
 )
 
 ORACLES["clean_id_digits"] = """SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') AS id FROM customer"""

@@ -119,7 +119,7 @@ def snapshot_latest_join(spark, sf):
     latest = t.snapshots(spark, sf).groupBy("fund").agg(
         ordered.latest_row(["policy", "perf_fee"], "dt", ["seq"], False).alias("row")
     )
-    rows = t.daily(spark, sf).where(F.col("status") == "P").select("fund", "seq", "quota")
+    rows = t.daily(spark, sf).select("fund", "seq", "quota")
     return joins.lookup_join(rows, latest.select("fund", "row.*"), "fund")
 
 
