@@ -8,10 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def year_of(d: Column) -> Column:
-    return F.year(d)
-
-
 def quarter_start(d: Column) -> Column:
     """First day of the quarter."""
     return F.trunc(d, "QUARTER").cast("date")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, zero_sum
-from cotaflow.functions.periods import quarter_label, quarter_start, year_of
+from cotaflow.functions.periods import quarter_label, quarter_start
 from cotaflow.operators.joins import lookup_join
 from cotaflow.operators.ordered import last_value
 from cotaflow.operators.reshape import wide
@@ -49,7 +49,7 @@ def fund_years(daily: DataFrame, first: int, last: int, order_by: list[str], sca
     """Per fund and year: closing balance, its date, and net flow, from one pass over the daily rows."""
     return (
         within_years(daily, first, last)
-        .groupBy("fund", year_of(F.col("dt")).alias("year"))
+        .groupBy("fund", F.year("dt").alias("year"))
         .agg(
             (last_value("balance", order_by) / scale).alias("balance"),
             F.max("dt").alias("dt"),

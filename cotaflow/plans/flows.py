@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, strict_sum, zero_sum
-from cotaflow.functions.periods import month_start, quarter_label, quarter_start, year_of
+from cotaflow.functions.periods import month_start, quarter_label, quarter_start
 from cotaflow.operators.reshape import row_total, wide
 from cotaflow.operators.totals import totals_by_lookup
 from cotaflow.operators.windows import running_sum, trailing_sum
@@ -92,7 +92,7 @@ def _net() -> Column:
 def annual_net(daily: DataFrame, classes: DataFrame, first: int, last: int, scale: float = BILLION) -> DataFrame:
     """Net flow per year and type."""
     rows = within_years(daily, first, last)
-    sums = totals_by_lookup(rows, classes, {"year": year_of(F.col("dt"))}, {"net": _net()}, ["type"], zero_sum)
+    sums = totals_by_lookup(rows, classes, {"year": F.year("dt")}, {"net": _net()}, ["type"], zero_sum)
     return sums.withColumn("net", F.col("net") / scale)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotaflow.functions.labels import REST, fee_label, feeder_label, lump, mirror_label
-from cotaflow.functions.periods import year_of
 from cotaflow.operators.joins import keep_members, lookup_join
 from cotaflow.operators.ordered import latest_row
 from cotaflow.operators.reshape import wide
@@ -87,7 +86,7 @@ def fee_matrix(snapshots: DataFrame, funds: DataFrame) -> DataFrame:
 
 def type_year_counts(daily: DataFrame, classes: DataFrame, first: int, last: int) -> DataFrame:
     """Funds per type and year."""
-    seen = within_years(daily, first, last).select("fund", year_of(F.col("dt")).alias("year")).distinct()
+    seen = within_years(daily, first, last).select("fund", F.year("dt").alias("year")).distinct()
     typed = lookup_join(seen, classes.select("fund", "type"), "fund", "inner").distinct()
     return typed.groupBy("type", "year").agg(F.count(F.lit(1)).alias("n"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from cotaflow.functions.measures import beyond, growth_pct
 from cotaflow.functions.missing import compound, finite, strict_compound
-from cotaflow.functions.periods import in_years, year_of
 from cotaflow.functions.text import short_name
 from cotaflow.operators.distribution import within_fences
 from cotaflow.operators.joins import calendar_join, keep_members, lookup_join
@@ -30,7 +29,7 @@ def annual_return(
     start, end = (f("quota", order_by, skip_missing) for f in (first_value, last_value))
     return (
         within_years(daily, first, last)
-        .groupBy("fund", year_of(F.col("dt")).alias("year"))
+        .groupBy("fund", F.year("dt").alias("year"))
         .agg(start.alias("start"), end.alias("end"))
         .select("fund", "year", growth_pct(F.col("start"), F.col("end"), zero).alias("ret"))
     )
@@ -46,25 +45,25 @@ def rate_by_year(rates: DataFrame, first: int, last: int, strict: bool = False)
     """Monthly rates compounded per year.  ``strict`` makes a year with a missing month missing."""
     rule = strict_compound if strict else compound
     return (
-        rates.where(in_years(F.col("dt"), first, last))
-        .groupBy(year_of(F.col("dt")).alias("year"))
+        within_years(rates, first, last)
+        .groupBy(F.year("dt").alias("year"))
         .agg(rule(F.col("rate_pct")).alias("benchmark"))
     )
 
 
 def rate_running(rates: DataFrame) -> DataFrame:
     """Rate compounded since the start of the year, month by month."""
-    yearly = rates.withColumn("year", year_of(F.col("dt")))
+    yearly = rates.withColumn("year", F.year("dt"))
     return yearly.withColumn("running", running_compound("rate_pct", [F.asc_nulls_last("dt")], ["year"]))
 
 
 def index_by_year(closes: DataFrame, first: int, last: int, leave_out: dt.date | None = None) -> DataFrame:
     """Return of an index per year from its first and last close, without one bad date."""
-    rows = closes.where(in_years(F.col("dt"), first, last))
+    rows = within_years(closes, first, last)
     if leave_out is not None:
         rows = rows.where(F.col("dt") != F.lit(leave_out))
     return (
-        rows.groupBy(year_of(F.col("dt")).alias("year"))
+        rows.groupBy(F.year("dt").alias("year"))
         .agg(first_value("close", ["dt"]).alias("start"), last_value("close", ["dt"]).alias("end"))
         .select("year", growth_pct(F.col("start"), F.col("end")).alias("benchmark"))
     )

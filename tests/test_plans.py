@@ -2,7 +2,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, strict_sum
 from cotaflow.operators import ordered

@@ -169,6 +169,23 @@ def test_periods_skip_partitions(spark, tmp_path, frame):
         assert found.count() == count
 
 
+def test_clustered_table_keeps_a_fund_together(spark, tmp_path):
+    """Also a fund with a third of the rows: it spans files, in order."""
+    path = str(tmp_path / "t")
+    days = F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 366).cast("int")).alias("dt")
+    fund = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 50).cast("string")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ingest.consolidate(spark.range(30_000).select(fund.alias("fund"), days).repartition(6), path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = tables.read_table(spark, path).withColumn("file", F.input_file_name())
+    spread = files.groupBy("fund").agg(F.count_distinct("file").alias("n")).collect()
+    assert files.select("file").distinct().count() > 2
+    assert {r.fund for r in spread if r.n > 2} <= {"hot"} and max(r.n for r in spread if r.fund == "hot") > 1
+    assert files.count() == 30_000
+
+
 def test_year_filter_skips_partitions(spark, tmp_path, frame):
     path = str(tmp_path / "t")
     reports = frame("fund string, dt date", ("a", dt.date(2000, 5, 1)), ("a", dt.date(2001, 5, 1)))
