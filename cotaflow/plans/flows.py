@@ -114,9 +114,7 @@ def annual_net_by_year_wide(
     return table.select("type", *years, row_total(list(years)).alias("total"))
 
 
-def monthly_flow(
-    daily: DataFrame, classes: DataFrame, first: int, last: int, scale: float = BILLION, by: list[str] | None = None
-) -> DataFrame:
+def monthly_flow(daily: DataFrame, classes: DataFrame, first: int, last: int, scale: float = BILLION) -> DataFrame:
     """Gross inflow, outflow (negative) and net flow per month."""
     d = F.col("dt")
     sums = totals_by_lookup(
@@ -124,12 +122,11 @@ def monthly_flow(
         classes,
         {"year": F.year(d), "month": F.month(d)},
         {"inflow": F.col("inflow"), "outflow": F.col("outflow")},
-        by or [],
+        [],
         zero_sum,
     )
     return sums.select(
         month_start(F.col("year"), F.col("month")).alias("month"),
-        *(by or []),
         (F.col("inflow") / scale).alias("inflow"),
         (-F.col("outflow") / scale).alias("outflow"),
         (F.col("inflow") / scale - F.col("outflow") / scale).alias("net"),

@@ -101,8 +101,7 @@ def funds_by_type(returns: DataFrame) -> DataFrame:
 
 def main_types(returns: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` types with most funds."""
-    counts = returns.select("fund", "type").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-    return largest_groups(counts, "type", "n", k)
+    return largest_groups(funds_by_type(returns), "type", "n", k)
 
 
 def trimmed_returns(returns: DataFrame, k: int = 5, prefix: str = "Multimercados", method: str = "auto") -> DataFrame:

@@ -401,7 +401,8 @@ def custody_sum_fanout(spark, sf):
 
 
 def _fund_years(spark, sf):
-    return balances.fund_years(t.daily(spark, sf), *YEARS, ["moment"])
+    moment = periods.dated_sequence(F.col("dt"), F.col("seq"))
+    return balances.fund_years(t.daily(spark, sf).withColumn("moment", moment), *YEARS, ["moment"])
 
 
 @query
