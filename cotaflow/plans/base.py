@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cotaflow.functions.labels import REST
 from cotaflow.functions.periods import in_quarters, in_years
 from cotaflow.operators.joins import keep_members, lookup_join
+from cotaflow.operators.ordered import latest_row
 from cotaflow.operators.sizing import fits_broadcast
 
 # Funds the studies leave out because the source repeats them.
@@ -44,6 +45,12 @@ def classified_daily(daily: DataFrame, classes: DataFrame, columns: list[str] |
     return lookup_join(daily, attributes, "fund", "inner")
 
 
+def with_latest_snapshot(daily: DataFrame, snapshots: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
+    """Daily rows with the given columns of the fund's latest snapshot, one row for each."""
+    latest = snapshots.groupBy("fund").agg(latest_row(columns, "dt", ties, False).alias("row"))
+    return lookup_join(daily, latest.select("fund", "row.*"), "fund")
+
+
 def within_years(daily: DataFrame, first: int, last: int) -> DataFrame:
     """Daily rows of the years ``first`` to ``last``.
 

@@ -149,9 +149,9 @@ def test_table_modes(spark, tmp_path, frame):
     with pytest.raises(AnalysisException):
         tables.write_table(first, path, "create", "year")
     tables.write_table(frame("year int, x double", (2001, 5.0)), path, "restate", "year")
-    assert rows(tables.read_table(spark, path).select("year", "x")) == [(2000, 1.0), (2001, 5.0)]
+    assert rows(spark.read.parquet(path).select("year", "x")) == [(2000, 1.0), (2001, 5.0)]
     tables.write_table(frame("year int, x double", (2002, 7.0)), path, "replace", "year")
-    assert rows(tables.read_table(spark, path).select("year", "x")) == [(2002, 7.0)]
+    assert rows(spark.read.parquet(path).select("year", "x")) == [(2002, 7.0)]
     with pytest.raises(ValueError):
         tables.write_table(first, path, "restate")
 
@@ -162,7 +162,7 @@ def test_periods_skip_partitions(spark, tmp_path, frame):
     path = str(tmp_path / "t")
     reports = frame("fund string, dt date", *[("a", dt.date(y, m, 1)) for y in (2000, 2001, 2002) for m in (1, 5, 12)])
     ingest.consolidate(reports, path)
-    daily = tables.read_table(spark, path)
+    daily = spark.read.parquet(path)
     years, quarters = base.within_years(daily, 2001, 2001), base.within_quarters(daily, (2000, 4), (2001, 1))
     for found, count in ((years, 3), (quarters, 2)):
         assert re.search(r"PartitionFilters: \[[^]]*year", found._jdf.queryExecution().executedPlan().toString())
@@ -179,7 +179,7 @@ def test_clustered_table_keeps_a_fund_together(spark, tmp_path):
         ingest.consolidate(spark.range(30_000).select(fund.alias("fund"), days).repartition(6), path)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    files = tables.read_table(spark, path).withColumn("file", F.input_file_name())
+    files = spark.read.parquet(path).withColumn("file", F.input_file_name())
     spread = files.groupBy("fund").agg(F.count_distinct("file").alias("n")).collect()
     assert files.select("file").distinct().count() > 2
     assert {r.fund for r in spread if r.n > 2} <= {"hot"} and max(r.n for r in spread if r.fund == "hot") > 1
@@ -190,7 +190,7 @@ def test_year_filter_skips_partitions(spark, tmp_path, frame):
     path = str(tmp_path / "t")
     reports = frame("fund string, dt date", ("a", dt.date(2000, 5, 1)), ("a", dt.date(2001, 5, 1)))
     ingest.consolidate(reports, path)
-    plan = tables.read_table(spark, path).where(F.col("year") == 2001)
+    plan = spark.read.parquet(path).where(F.col("year") == 2001)
     assert "PartitionFilters: [isnotnull(year" in plan._jdf.queryExecution().executedPlan().toString()
     assert os.path.isdir(f"{path}/year=2000") and plan.count() == 1
 

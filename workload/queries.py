@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotaflow.functions import labels, missing, periods, report, text
-from cotaflow.operators import distribution, joins, ordered, reshape, totals
+from cotaflow.operators import distribution, joins, reshape, totals
 from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
 from cotaflow.sources.scratch import scratch_path, staged
@@ -116,11 +116,8 @@ def snapshot_latest_sum(spark, sf):
 
 @query
 def snapshot_latest_join(spark, sf):
-    latest = t.snapshots(spark, sf).groupBy("fund").agg(
-        ordered.latest_row(["policy", "perf_fee"], "dt", ["seq"], False).alias("row")
-    )
     rows = t.daily(spark, sf).select("fund", "seq", "quota")
-    return joins.lookup_join(rows, latest.select("fund", "row.*"), "fund")
+    return base.with_latest_snapshot(rows, t.snapshots(spark, sf), ["policy", "perf_fee"], ["seq"])
 
 
 # Text, labels, periods and formats
@@ -644,7 +641,7 @@ def ingest_consolidated(spark, sf):
     old = ingest.landed_reports(spark, f"{folder}/landed", files=None)
     new = ingest.landed_reports(spark, f"{folder}/landed/new", archives=None)
     ingest.consolidate(delimited.union_by_name([old, new]), f"{folder}/daily")
-    return _per_year(store.read_table(spark, f"{folder}/daily"))
+    return _per_year(spark.read.parquet(f"{folder}/daily"))
 
 
 @query
@@ -672,7 +669,7 @@ def table_write_modes(spark, sf):
         refused = True
     restated = rows.where(F.col("year") == t.LAST).withColumn("inflow", F.col("inflow") * 2)
     store.write_table(restated, folder, "restate", "year")
-    back = store.read_table(spark, folder).groupBy("year").agg(F.count("*").alias("n"), F.sum("inflow").alias("inflow"))
+    back = spark.read.parquet(folder).groupBy("year").agg(F.count("*").alias("n"), F.sum("inflow").alias("inflow"))
     return rounded(back, 2).withColumn("refused", F.lit(refused))
 
 
