@@ -28,9 +28,9 @@ def schema_for(header: str, types: dict[str, str], sep: str = ";") -> str:
 
 
 def csv_options(sep: str, quote: str) -> dict[str, str]:
-    """Fields are trimmed; an empty field and the text NA are missing."""
+    """Fields are trimmed, an empty field and the text NA are missing, and a backslash is just a backslash."""
     trimmed = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    return {"sep": sep, "quote": quote, "nullValue": "NA", "emptyValue": "NA", **trimmed}
+    return {"sep": sep, "quote": quote, "escape": "", "nullValue": "NA", "emptyValue": "NA", **trimmed}
 
 
 def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "utf-8") -> DataFrame:

@@ -98,3 +98,13 @@ def test_library_collects_no_tables():
     for module in pkgutil.walk_packages(cotaflow.__path__, "cotaflow."):
         source = inspect.getsource(__import__(module.name, fromlist=["x"]))
         assert not re.search(r"\.(collect|toPandas|localCheckpoint|crossJoin)\(", source), module.name
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES.keys() - WRITING))
+def test_only_aggregated_rows_meet_in_one_task(spark, name):
+    """Below every exchange to a single partition the rows come out of an aggregation."""
+    lines = [re.sub(r"^[\s:+\-|]*(\*\(\d+\) )?", "", x) for x in plan_of(QUERIES[name](spark, SF)).splitlines()]
+    for at, line in enumerate(lines):
+        if line.startswith("Exchange SinglePartition"):
+            below = next(x for x in lines[at + 1 :] if not x.startswith(("Project", "Filter", "Sort ", "Window")))
+            assert re.match("(Hash|Sort|ObjectHash)Aggregate", below), below

@@ -60,6 +60,15 @@ def test_missing_fields(spark, tmp_path):
     assert found == [(1, None, None, " y "), (2, None, None, None), (None, None, None, "x")]
 
 
+def test_backslash_before_a_quote(spark, tmp_path):
+    line = '"C:\\dir\\";x\\;"y;z"'
+    (tmp_path / "a.csv").write_text(f"a;b;c\n{line}\n")
+    archive(tmp_path / "a.zip", x=f"a;b;c\n{line}\n")
+    expected = [("C:\\dir\\", "x\\", "y;z")]
+    assert rows(delimited.read_delimited(spark, str(tmp_path), {})) == expected
+    assert rows(archives.read_archives(spark, str(tmp_path), {}).select("a", "b", "c")) == expected
+
+
 def test_archive_fields_follow_the_same_rules(spark, tmp_path):
     archive(tmp_path / "a.zip", x='a;b;c\nNA;"";"q;r"\n')
     found = archives.read_archives(spark, str(tmp_path), {"a": "int"}).select("a", "b", "c")
