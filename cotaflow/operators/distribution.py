@@ -36,8 +36,8 @@ def group_stats(
 ) -> DataFrame:
     """``n``, ``low``, ``high``, ``sd`` and the named quantiles of ``value`` per group.
 
-    Missing values and NaN are left out; a group of nothing else keeps its row, with ``n`` 0.  Quantiles interpolate linearly between neighbours (type 7).
-    ``method`` is ``"builtin"`` (Spark's exact percentile), ``"select"`` (exact, for groups of any
+    Missing values and NaN are left out; a group of nothing else keeps its row, with ``n`` 0.
+    Quantiles interpolate linearly between neighbours (type 7).  ``method`` is ``"builtin"`` (Spark's exact percentile), ``"select"`` (exact, for groups of any
     size), ``"auto"`` (the first within ``ONE_TASK_BYTES`` of input, else the second) or ``"approx"``.
     """
     x = F.col(value)

@@ -109,7 +109,10 @@ def qualified_types(counts: DataFrame, more_than: int = 100) -> DataFrame:
 
 
 def lump_unqualified(classes: DataFrame, qualified: DataFrame) -> DataFrame:
-    """Classification with every type that does not qualify folded into the rest."""
+    """Classification with every type that does not qualify folded into the rest.
+
+    ``qualified`` has a row per type but comes from the daily rows; staged, it is known to be small.
+    """
     marked = lookup_join(classes, qualified.select("type", F.col("type").alias("kept")), "type", "left")
     return marked.withColumn("type", F.coalesce("kept", F.lit(REST))).drop("kept")
 

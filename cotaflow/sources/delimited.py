@@ -89,4 +89,5 @@ def cp1252_text(x: Column) -> Column:
 
 
 def _as_cp1252(df: DataFrame) -> DataFrame:
-    return df.select(*[cp1252_text(F.col(f"`{n}`")).alias(n) if t == "string" else F.col(f"`{n}`") for n, t in df.dtypes])
+    names = [n for n, kind in df.dtypes if kind == "string"]
+    return df.withColumns({n: cp1252_text(F.col(f"`{n}`")) for n in names})

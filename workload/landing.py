@@ -22,9 +22,8 @@ def write_csv(df: DataFrame, folder: str, **options: str) -> None:
 
 def write_cp1252(df: DataFrame, folder: str) -> None:
     """Text columns in windows-1252 bytes, without quoting."""
-    coded = df.select(
-        *[F.translate(n, CP1252_PRINTABLE, LATIN1_CONTROLS).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes]
-    )
+    names = [n for n, kind in df.dtypes if kind == "string"]
+    coded = df.withColumns({n: F.translate(n, CP1252_PRINTABLE, LATIN1_CONTROLS) for n in names})
     write_csv(coded, folder, encoding="ISO-8859-1", quote="", emptyValue="")
 
 

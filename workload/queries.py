@@ -255,7 +255,7 @@ def qualified_types_strict(spark, sf):
 
 @query
 def qualified_lumped_counts(spark, sf):
-    qualified = profile.qualified_types(_full_years(spark, sf), more_than=190)
+    qualified = staged(profile.qualified_types(_full_years(spark, sf), more_than=190), "qualified")
     lumped = profile.lump_unqualified(t.classes(spark, sf), qualified)
     return lumped.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -351,7 +351,8 @@ def wide_keeps_missing(spark, sf):
     """A present missing value stays missing in a filled wide table; only absent cells are filled."""
     rows = _daily_with_gaps(spark, sf).withColumn("year", F.year("dt"))
     yearly = rows.where(F.col("status") != "F").groupBy("fund", "year").agg(F.max("inflow").alias("inflow"))
-    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", {f"y{y}": y for y in range(1995, 2002)}, fill=0.0), 2)
+    columns = {f"y{y}": y for y in range(t.FIRST, t.LAST + 1)}
+    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", columns, fill=0.0), 2)
 
 
 @query
