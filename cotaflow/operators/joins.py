@@ -33,6 +33,8 @@ def lookup_join(
 
     A lookup with several rows per key repeats the fact rows.  ``nulls_match`` lets a missing key
     find a missing key, as joins of in-memory tables do in the studies; database joins do not.
+    Beyond the broadcast limit the adaptive planner splits hot keys, provided neither side comes
+    straight out of an aggregation by the key; stage such a side when the other one is raw rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
     lookup = checked_broadcast(lookup)
@@ -44,7 +46,7 @@ def lookup_join(
 
 
 def keep_members(df: DataFrame, members: DataFrame, key: str, nulls_match: bool = False) -> DataFrame:
-    """Rows whose key occurs in ``members`` (semi join)."""
+    """Rows whose key occurs in ``members`` (semi join), which may repeat a key."""
     return _membership(df, members, key, "left_semi", nulls_match)
 
 

@@ -12,6 +12,7 @@ from cotaflow.functions.periods import in_quarters, in_years
 from cotaflow.operators.joins import keep_members, lookup_join
 from cotaflow.operators.ordered import latest_row
 from cotaflow.operators.sizing import fits_broadcast
+from cotaflow.sources.scratch import staged
 
 # Funds the studies leave out because the source repeats them.
 REPEATED_FUND = "58137699000116"
@@ -46,9 +47,13 @@ def classified_daily(daily: DataFrame, classes: DataFrame, columns: list[str] |
 
 
 def with_latest_snapshot(daily: DataFrame, snapshots: DataFrame, columns: list[str], ties: list[str]) -> DataFrame:
-    """Daily rows with the given columns of the fund's latest snapshot, one row for each."""
+    """Daily rows with the given columns of the fund's latest snapshot, one row for each.
+
+    The latest snapshots are staged: a join whose side comes straight out of an aggregation is one
+    the adaptive planner does not split for a hot fund.
+    """
     latest = snapshots.groupBy("fund").agg(latest_row(columns, "dt", ties, False).alias("row"))
-    return lookup_join(daily, latest.select("fund", "row.*"), "fund")
+    return lookup_join(daily, staged(latest.select("fund", "row.*"), "latest"), "fund")
 
 
 def within_years(daily: DataFrame, first: int, last: int) -> DataFrame:

@@ -107,3 +107,37 @@ def test_size_check(spark, facts, no_broadcast):
     assert not sizing.fits_broadcast(spark.range(10_000_000))
     unknown = spark.createDataFrame([(1,)], "fund int")
     assert not sizing.fits_broadcast(unknown)
+
+
+def test_joins_of_raw_rows_split_a_hot_fund(spark):
+    """A third of the rows has one key; the adaptive planner spreads it over several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "40KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "0",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        fund = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000)
+        daily = spark.range(0, 60_000, 1, 6).select(fund.alias("fund"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+        lookup = spark.range(5000).select(F.col("id").alias("fund"), F.col("id").alias("type"))
+        snapshots = spark.range(20_000).select(
+            (F.col("id") % 5000).alias("fund"), F.lit(None).cast("date").alias("dt"), "id", F.col("id").alias("policy")
+        )
+        for joined in (
+            base.classified_daily(daily, lookup),
+            joins.lookup_join(daily, lookup, "fund", nulls_match=True),
+            joins.keep_members(daily, lookup, "fund"),
+            joins.drop_members(daily, lookup.where("fund % 2 = 1"), "fund"),
+            base.with_latest_snapshot(daily, snapshots, ["policy"], ["id"]),
+        ):
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
