@@ -170,3 +170,68 @@ def test_published_names_of_the_small_tables(frame):
     assert schemas.closes(frame("index date, `BVSP.Close` double", (dt.date(2024, 1, 2), 9.0))).first().close == 9.0
     ddl = ", ".join(f"`{n}` string" for n in schemas.JOB_COLUMNS)
     assert schemas.job_entries(frame(ddl)).columns == list(schemas.JOB_COLUMNS.values())
+
+
+def test_from_landing_folder_to_study(spark, industry, tables, tmp_path):
+    """The same study from published files and from ready tables."""
+    import zipfile
+
+    from cotaflow.plans import ingest
+    from cotaflow.sources import delimited
+
+    pc, pdaily, pstates, prates, _ = industry
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    names = {"dt": "DT_COMPTC", "quota": "VL_QUOTA", "balance": "VL_PATRIM_LIQ"}
+    names |= {"inflow": "CAPTC_DIA", "outflow": "RESG_DIA"}
+
+    def marked(fund):
+        return f"{fund[:2]}.{fund[2:5]}.{fund[5:8]}/{fund[8:12]}-{fund[12:]}"
+
+    raw = pdaily.rename(columns=names).assign(fund=pdaily.fund.map(marked), year=[d.year for d in pdaily.dt])
+    for year, part in raw.groupby("year"):
+        part = part.drop(columns="year")
+        if year < 2021:
+            text = part.rename(columns={"fund": "CNPJ_FUNDO"}).to_csv(sep=";", index=False)
+            with zipfile.ZipFile(landed / f"{year}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+                out.writestr(f"inf_{year}.csv", text)
+        else:
+            new = part.rename(columns={"fund": "CNPJ_FUNDO_CLASSE"}).assign(TP_FUNDO_CLASSE="FIF")
+            new.to_csv(landed / f"inf_{year}.csv", sep=";", index=False)
+
+    ingest.consolidate(ingest.landed_reports(spark, str(landed)), str(tmp_path / "daily"))
+    daily = spark.read.parquet(str(tmp_path / "daily"))
+    assert daily.count() == len(pdaily)
+
+    short = {v: k for k, v in schemas.CLASS_COLUMNS.items()}
+    sheet = pc.rename(columns=short)
+    for absent in set(short.values()) - set(sheet.columns):
+        sheet[absent] = "x"
+    (tmp_path / "classes").mkdir()
+    sheet.to_csv(tmp_path / "classes" / "c.csv", sep=";", index=False)
+    classes = schemas.classes(delimited.read_delimited(spark, str(tmp_path / "classes"), {}))
+
+    short = {v: k for k, v in schemas.SNAPSHOT_COLUMNS.items()}
+    extract = pstates.assign(fund=pstates.fund.map(marked)).rename(columns=short)
+    for absent in set(short.values()) - set(extract.columns):
+        extract[absent] = "é"
+    (tmp_path / "extract").mkdir()
+    extract.to_csv(tmp_path / "extract" / "e.csv", sep=";", index=False, encoding="cp1252")
+    snapshots = schemas.snapshots(
+        delimited.read_delimited(spark, str(tmp_path / "extract"), {}, quote="", encoding="windows-1252")
+    )
+    rates = spark.createDataFrame(pa.Table.from_pandas(prates, preserve_index=False))
+
+    def values(reports):
+        return {
+            name: sorted(
+                (tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in df.collect()), key=repr
+            )
+            for name, df in reports.items()
+            if not name.startswith("return_density")
+        }
+
+    ready = tables[1], tables[0], tables[2], tables[3]
+    assert values(studies.multimarket(daily, classes, snapshots, rates)) == values(studies.multimarket(*ready))
+    ready = tables[1], tables[0], tables[3]
+    assert values(studies.multimarket_flows(daily, classes, rates)) == values(studies.multimarket_flows(*ready))

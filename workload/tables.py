@@ -6,6 +6,8 @@ customers' market segments and regions the classification.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,16 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
+# A table is defined once per session and folder, like a name in a catalog; nothing of it is kept in memory.
+defined_once = lru_cache(maxsize=64)
+
 
+@defined_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@defined_once
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = F.col("o_orderstatus") == "F"
     price = F.col("o_totalprice")
@@ -57,6 +64,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE_ORDER = ["dt", "k1", "k2"]
 
 
+@defined_once
 def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("fund"),
@@ -68,11 +76,13 @@ def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@defined_once
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
     return nation.join(table(spark, sf_dir, "region"), "r_regionkey")
 
 
+@defined_once
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     balance = F.col("c_acctbal")
@@ -87,6 +97,7 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@defined_once
 def dense_classes(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
     return supplier.join(checked_broadcast(_regions(spark, sf_dir)), "n_nationkey").select(
@@ -94,6 +105,7 @@ def dense_classes(spark: SparkSession, sf_dir: str, by_nation: bool = False) ->
     )
 
 
+@defined_once
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, key = F.col("o_orderstatus"), F.col("o_orderkey")
 
@@ -118,6 +130,7 @@ def snapshots_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).withColumn("policy", F.nullif(F.col("policy"), F.lit("5-LOW")))
 
 
+@defined_once
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM").cast("date")
     return (
@@ -125,11 +138,13 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@defined_once
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date").alias("dt")
     return table(spark, sf_dir, "lineitem").groupBy(day).agg(F.max("l_extendedprice").alias("close"))
 
 
+@defined_once
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts; the date follows from the id."""
     return table(spark, sf_dir, "documents").select(
