@@ -62,13 +62,16 @@ def within_years(daily: DataFrame, first: int, last: int) -> DataFrame:
     The consolidated table is partitioned by ``year``; where that column is there, it is filtered as
     well, so that other years' files are never opened.
     """
-    rows = daily.where(in_years(F.col("dt"), first, last))
-    return rows.where(F.col("year").between(first, last)) if "year" in daily.columns else rows
+    return _year_partitions(daily, first, last).where(in_years(F.col("dt"), first, last))
 
 
 def within_quarters(daily: DataFrame, first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
     """Daily rows of the quarters ``(year, quarter)`` from ``first`` to ``last``."""
-    return within_years(daily, first[0], last[0]).where(in_quarters(F.col("dt"), first, last))
+    return _year_partitions(daily, first[0], last[0]).where(in_quarters(F.col("dt"), first, last))
+
+
+def _year_partitions(daily: DataFrame, first: int, last: int) -> DataFrame:
+    return daily.where(F.col("year").between(first, last)) if "year" in daily.columns else daily
 
 
 def for_funds(daily: DataFrame, chosen: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
