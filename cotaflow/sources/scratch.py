@@ -39,6 +39,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Worth it where a small table that is dear to compute, such as fund-years, feeds several steps: the
     daily rows are read once, a lost executor costs nothing, and the size checks see its real size.
+    The files stay for as long as the folder's owner keeps them, like checkpoints do.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
