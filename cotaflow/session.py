@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 # Settings that hold on a laptop and on a cluster alike.
@@ -34,3 +38,21 @@ def local_session(cores: int | str = "*", name: str = "cotaflow", memory: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context.
+
+    Task functions can then import it whatever folder the driver was started in.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cotaflow_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="cotaflow-")) / "cotaflow_package.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for path in sorted(package.rglob("*.py")):
+            target.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._cotaflow_shipped = True

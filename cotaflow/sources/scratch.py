@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,20 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder of this machine, which
-    goes when the process ends.
+    A session without that setting uses a folder below its warehouse, which is shared wherever tables
+    are, and keeps it in the setting.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder().name
-    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-
-
-@functools.cache
-def _local_folder() -> tempfile.TemporaryDirectory:
-    return tempfile.TemporaryDirectory(prefix="cotaflow-", ignore_cleanup_errors=True)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -34,13 +26,51 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path that ``scratch_path`` gave, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Staging:
+    """Tables a computation writes for itself, deleted when the block that made them ends.
+
+    Use it around work whose result is written or counted inside the block::
+
+        with Staging(spark) as stage:
+            years = stage(fund_years, "fund-years")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __call__(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(path := scratch_path(self.spark, label))
+        return written(df, path)
+
+    def drop(self) -> None:
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+
+    def __enter__(self) -> Staging:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` as Parquet and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Worth it where a small table that is dear to compute, such as fund-years, feeds several steps: the
     daily rows are read once, a lost executor costs nothing, and the size checks see its real size.
-    The files stay for as long as the folder's owner keeps them, like checkpoints do.
+    The files stay for as long as the folder's owner keeps them, like checkpoints do, since lazy plans
+    may read them later; ``Staging`` deletes its own.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, scratch_path(df.sparkSession, label))
