@@ -42,10 +42,13 @@ def local_session(cores: int | str = "*", name: str = "cotaflow", memory: str =
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context.
+    """Send this package to the executors, once for each Spark context, and keep Arrow batches small.
 
-    Task functions can then import it whatever folder the driver was started in.
+    Task functions can then import it whatever folder the driver was started in.  A batch of Spark's default
+    of ten thousand rows is too much where rows are texts; another number that the user has set stays.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if getattr(context, "_cotaflow_shipped", False):
         return
