@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes hashed at a time; keeps the arrays of eight bytes per byte of text within a few megabytes.
 CHUNK = 1 << 18
@@ -168,3 +171,13 @@ def slices(batches, texts: str, most: int = SLICE):
 def signed(values: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's long."""
     return pa.array(values.view(np.int64), pa.int64())
+
+
+def carried(names) -> Column:
+    """Columns that an operator hands on unread, as one struct, so that no name clashes with its own."""
+    return F.struct(*(F.col(n) for n in names) if names else [F.lit(None).alias("none")]).alias("row")
+
+
+def with_row(frame: DataFrame, ddl: str) -> StructType:
+    """The schema of ``ddl`` and the column ``row`` of ``frame``."""
+    return StructType([*StructType.fromDDL(ddl).fields, frame.schema["row"]])

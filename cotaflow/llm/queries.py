@@ -2,23 +2,76 @@
 
 from __future__ import annotations
 
+import importlib
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cotaflow.llm import neardup
+from cotaflow.llm import bpe, mixing, neardup, quality, substring, toxicity
 
+#: Folder of the public tokenizers' files on the driver.
+TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+def tokenizer_path(name: str) -> str:
+    path = os.path.join(TOKENIZERS, name)
+    return path if os.path.exists(path) else importlib.import_module("public_tokenizers").path(name)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _remainder(parts: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of the held-out third (remainder 1) are not learned from."""
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.where(_remainder(3) != 1), "quality")
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out fifth (remainder 0) are not learned from."""
+    docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels.where(_remainder(5) != 0), "toxic")
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted", "n_matches")
 
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_documents(spark, sf_dir))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return encoded.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": quality_classifier,
+    "op4_toxicity": toxicity_scores,
     "op5_minhash_near_dedup": near_duplicates,
+    "op6_bpe_encode_decode": bpe_round_trip,
+    "op7_substring_dedup": substring_dedup,
+    "op10_source_mix": source_mix,
 }
 
 ORACLES: dict[str, str] = {}
