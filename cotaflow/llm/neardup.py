@@ -11,7 +11,8 @@ symbols, at which such a pair is lost once in some ten millions.  Each pair left
 Equal sets are one class from the start.  Links are looked for in two rounds: first each class with the hub of
 its buckets, the class that shares keys most; then, within buckets whose classes are still in several
 components, between these.  A group of near copies so costs a link a member, not all its pairs, and no link
-that could join two components is left out.
+that could join two components is left out: pairs of members are only ruled out by bounds that hold for sure, from
+what both share with their hub.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ CHUNKS, CHUNK_SYMBOLS = 12, 5
 GUARANTEED = CHUNKS * 2 - 1
 #: Of all symbols; 5.5 standard deviations above the mean at a similarity of 0.75.
 MOST_DIFFERENT = 59
+#: Bits of the map of a set's elements outside its hub.
+EXTRA_BITS = 2048
 _MULTIPLIERS = np.random.default_rng(75).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -210,21 +213,45 @@ def _links(texts: DataFrame, classes: DataFrame, stage: Staging) -> DataFrame:
         .groupBy("class").agg(F.first("shingles").alias("shingles")),
         "sets",
     )
-    found = stage(_confirmed(_close(first, classes), sets), "links")
+    tried = stage(_compared(_close(first, classes), sets), "tried")
+    found = tried.where(_linked("common", "n", "n_hub")).select("a", "b")
 
-    # Classes of one bucket that are still apart are all held against each other.
+    # Classes of one bucket that are still apart are held against each other, unless what both have in common
+    # with their hub shows that they can't be linked.
     together = stage(components(found, stage).withColumnRenamed("node", "class"), "together")
     placed = members.join(together, "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split_keys = stage(apart.where("low <> high").select("key"), "split-keys")
-    signs = classes.select("class", "n", "signature")
+    known = tried.select(F.col("a").alias("class"), F.col("b").alias("hub"), "common", "extra")
+    signs = classes.select("class", "n", "signature").join(known, "class", "left")
     placed = stage(placed.join(split_keys, "key", "left_semi").join(signs, "class"), "placed")
-    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "component", "n", "signature"))) for s in "ab")
+    columns = ("class", "component", "n", "hub", "common", "extra", "signature")
+    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
     near = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b"))
-    near &= _similar_size("n_a", "n_b") & (_distance("signature_a", "signature_b") <= MOST_DIFFERENT)
+    near &= _similar_size("n_a", "n_b") & _not_excluded() & (_distance("signature_a", "signature_b") <= MOST_DIFFERENT)
     pairs = a.join(b, (a["key"] == b["key"]) & near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
-    more = stage(_confirmed(stage(pairs, "pairs"), sets), "links")
-    return found.union(more)
+    more = _compared(stage(pairs, "pairs"), sets).where(_linked("common", "n", "n_hub"))
+    return found.union(stage(more.select("a", "b"), "links"))
+
+
+def _linked(common: str, n_a: str, n_b: str) -> Column:
+    return F.col(common) * 100 >= (F.col(n_a) + F.col(n_b) - F.col(common)) * 75
+
+
+def _not_excluded() -> Column:
+    """False where two classes were compared, or where their comparisons with one hub rule a link out.
+
+    What two sets share lies in the hub, which bounds it by the smaller overlap with the hub, or outside, where
+    each keeps a map of bits of its elements: shared ones have shared bits, and no more of them can hide behind
+    one bit than a set has elements beyond its bits.
+    """
+    compared = F.col("hub_a").eqNullSafe(F.col("class_b")) | F.col("hub_b").eqNullSafe(F.col("class_a"))
+    count = F.aggregate(F.zip_with("extra_a", "extra_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+    bits = F.aggregate("extra_a", F.lit(0), lambda t, x: t + F.bit_count(x))
+    outside = count + (F.col("n_a") - F.col("common_a") - bits)
+    shared = F.least("common_a", "common_b") + outside
+    possible = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * 75
+    return ~compared & F.when(F.col("hub_a") == F.col("hub_b"), possible).otherwise(True)
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -236,10 +263,33 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where(near).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets share three quarters of their union."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [(c.flatten().to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b"))]
+        (left, ends), (right, hub_ends) = lists
+        ends, hub_ends = ends - ends[0], hub_ends - hub_ends[0]
+        common, maps = [], np.zeros((batch.num_rows, EXTRA_BITS), bool)
+        for i in range(batch.num_rows):
+            own, hub = left[ends[i] : ends[i + 1]], right[hub_ends[i] : hub_ends[i + 1]]
+            inside = hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own
+            common.append(int(inside.sum()))
+            maps[i, (own[~inside] % np.uint64(EXTRA_BITS)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("a"),
+                batch.column("b"),
+                pa.array(common, pa.int64()),
+                pa.array(np.diff(ends), pa.int64()),
+                pa.array(np.diff(hub_ends), pa.int64()),
+                _lists(np.packbits(maps, axis=1).view(np.int64)),
+            ],
+            names=["a", "b", "common", "n", "n_hub", "extra"],
+        )
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with what their full sets have in common, their sizes, and a map of the elements of a outside b."""
     for side in "ab":
         pairs = pairs.join(sets.toDF(side, f"set_{side}"), side)
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    sizes = F.size("set_a") + F.size("set_b")
-    return pairs.where(both * 100 >= (sizes - both) * 75).select("a", "b")
+    schema = "a long, b long, common long, n long, n_hub long, extra array<bigint>"
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, schema)
