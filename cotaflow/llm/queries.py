@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotaflow.llm import bpe, mixing, neardup, quality, substring, toxicity
+from cotaflow.llm import bpe, crosspolytope, licenses, maxmatch, mixing, neardup, quality, search, substring, toxicity
 
 #: Folder of the public tokenizers' files on the driver.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -28,6 +28,12 @@ def _remainder(parts: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 50, by its whole text."""
+    docs = _table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of the held-out third (remainder 1) are not learned from."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -36,6 +42,10 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxmatch.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the held-out fifth (remainder 0) are not learned from."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
@@ -60,17 +70,30 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    return crosspolytope.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))[0]
+
+
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bm25_search": bm25_search,
     "op2_quality_classifier": quality_classifier,
+    "op3_token_counts": token_counts,
     "op4_toxicity": toxicity_scores,
     "op5_minhash_near_dedup": near_duplicates,
     "op6_bpe_encode_decode": bpe_round_trip,
     "op7_substring_dedup": substring_dedup,
+    "op8_cross_polytope": nearest_vectors,
+    "op9_license_scan": license_scan,
     "op10_source_mix": source_mix,
 }
 
