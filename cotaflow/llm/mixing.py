@@ -10,8 +10,8 @@ Multipliers stay in tables; only the largest miss goes to the driver.
 
 Rates become copies: the whole part for each document, and one more for documents in the order of a hash of
 id and text until the cell's words are used up.  The order is found through sums of 4096 hash buckets a cell,
-so only the bucket in which the words run out is looked at row by row, and what a large document leaves over
-is filled with smaller ones.
+so only the bucket in which the words run out is looked at row by row.  What a large document that no longer fits
+leaves over is filled with smaller ones.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from cotaflow.sources.scratch import Staging, staged
 MOST_ITERATIONS = 100
 TOLERANCE = 1e-9
 BUCKETS = 4096
-#: After the first pass, each further one fills what is left with documents of at most this share of it.
+#: After the first pass, each further one fills what is left with documents of at most this share of it, which may
+#: then have a copy more than their rate says.
 FILLS = (0.25, 0.25, 0.5)
 
 
@@ -85,14 +86,16 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], stage: Staging) ->
     return state.withColumn("rate", F.exp("tilt")).drop("tilt")
 
 
-def _fill(rows: DataFrame, need: DataFrame, cell: str, share: float | None) -> DataFrame:
-    """Rows (cell, size, order, more) in which further rows get their copy, up to the words that ``need`` lacks.
+def _fill(rows: DataFrame, need: DataFrame, cell: str, share: float | None, cap: float) -> DataFrame:
+    """Rows (cell, size, order, base, more) in which further rows get a copy, up to the words that ``need`` lacks.
 
-    ``share`` limits the size of such rows to that part of what is lacking.
+    ``share`` limits the size of such rows to that part of what is lacking; without it each row gets its first
+    copy beyond ``base``.
     """
     lacking = need.select(F.col(cell).alias("_cell"), "lack")
     open_rows = rows.join(lacking, F.col(cell).eqNullSafe(F.col("_cell"))).drop("_cell")
-    fits = (F.col("more") == 0) & (F.col("size") > 0)
+    fits = (F.col("base") + F.col("more") + 1 <= cap) & (F.col("size") > 0)
+    fits = fits & (F.col("more") == 0) if share is None else fits
     fits &= F.col("size") <= F.col("lack") * (share if share is not None else 1.0) + 1e-6
     bucket = F.shiftrightunsigned("order", 52)
     open_rows = open_rows.withColumn("_fits", fits).withColumn("_bucket", bucket)
@@ -106,18 +109,18 @@ def _fill(rows: DataFrame, need: DataFrame, cell: str, share: float | None) -> D
     partly = F.col("_fits") & ~whole & (F.col("_before") <= F.col("lack"))
     running = Window.partitionBy(cell, "_bucket").orderBy("order", "size")
     last = open_rows.where(partly).withColumn("_upto", F.col("_before") + F.sum("size").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-    last = last.withColumn("more", F.when(F.col("_upto") <= F.col("lack") + 1e-6, 1).otherwise(0))
-    rest = open_rows.where(~partly | partly.isNull()).withColumn("more", F.when(whole, 1).otherwise(F.col("more")))
+    last = last.withColumn("more", F.col("more") + (F.col("_upto") <= F.col("lack") + 1e-6).cast("int"))
+    rest = open_rows.where(~partly | partly.isNull()).withColumn("more", F.col("more") + F.coalesce(whole, F.lit(False)).cast("int"))
     return rest.select(*rows.columns).union(last.select(*rows.columns))
 
 
-def round_to_copies(rows: DataFrame, cell: str, stage: Staging) -> DataFrame:
+def round_to_copies(rows: DataFrame, cell: str, cap: float, stage: Staging) -> DataFrame:
     """``rows`` (cell, size, rate, order) with ``copies``: near ``rate`` times each cell's words in all."""
     state = rows.withColumn("base", F.floor(F.col("rate") + 1e-9)).withColumn("more", F.lit(0))
     for share in (None, *FILLS):
         wanted = F.sum(F.col("size") * F.col("rate")) - F.sum(F.col("size") * (F.col("base") + F.col("more")))
         need = state.groupBy(cell).agg(wanted.alias("lack"))
-        state = stage(_fill(state, stage(need, "need"), cell, share), "copies")
+        state = stage(_fill(state, stage(need, "need"), cell, share, cap), "copies")
     return state.withColumn("copies", (F.col("base") + F.col("more")).cast("long")).drop("base", "more")
 
 
@@ -126,7 +129,7 @@ def mix(documents: DataFrame, cap: float = 3.0, id_col: str = "doc_id", text_col
 
     Size is the number of words of the text.  Sources, ordered by code point with null as a source of its own
     at the end, weigh 1, 2, 3, repeating, and share the corpus's words by ``capped_targets``.  ``copies`` is
-    the number of times the mix takes the row, at most ``cap`` rounded up, ``taken`` its words, repeats
+    the number of times the mix takes the row, at most ``cap``, ``taken`` its words, repeats
     counted; ``version`` is a hash of the text, to tell rows of one id apart.  Reruns agree.  Null and empty
     texts have size 0; a source without words has the target 0.  Rows that repeat each other are taken alike
     or in part.  No rows give no rows; other columns are ignored.
@@ -151,6 +154,6 @@ def mix(documents: DataFrame, cap: float = 3.0, id_col: str = "doc_id", text_col
         shares = rates.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         shares = shares.select("_source", "source_size", "target", F.least("rate", F.lit(float(cap))).alias("rate"))
         rows = sized.join(shares, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        mixed = round_to_copies(rows, "source", stage)
+        mixed = round_to_copies(rows, "source", cap, stage)
         taken = (F.col("size") * F.col("copies")).alias("taken")
         return staged(mixed.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", taken, "version"), "mix")

@@ -1,0 +1,68 @@
+"""Small awkward corpora, and plain versions of what the operators compute."""
+
+import random
+import re
+
+import pyarrow as pa
+
+SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+#: Names that operators use themselves, as columns of the input.
+CLASHES = ["id", "text2", "version", "row", "score", "kept", "key", "class", "rank", "size", "label", "n", "words", "order"]
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def words(text):
+    return SPACE.findall(text or "")
+
+
+def letter_words(text):
+    return LETTERS.findall(lower(text))
+
+
+def awkward_texts(seed=0):
+    """(doc_id, text): prose, copies, near copies, shared passages, nulls, empties, one word over and over, a long text."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeéß漢 xyz".replace(" ", "")) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+
+    def prose(n):
+        return [rng.choice(vocabulary) + rng.choice(["", "", ".", ","]) for _ in range(n)]
+
+    rows, passage = [], prose(60)
+    bases = [prose(rng.randint(40, 160)) for _ in range(12)]
+    for i, base in enumerate(bases):
+        rows.append(" ".join(base))
+        for k in range(3):
+            near = list(base)
+            for _ in range(rng.randint(0, 6)):
+                near[rng.randrange(len(near))] = rng.choice(vocabulary)
+            rows.append(" ".join(near).upper() if k == 2 and i % 3 == 0 else " ".join(near))
+    rows += [" ".join(prose(20) + passage[rng.randint(0, 20) :] + prose(15)) for _ in range(8)]
+    rows += [rows[0]] * 4 + ["", None, " \n\t ", "one", "one two three four", "One Two Three four", "a " * 300, "a " * 90 + "b", "b\x0ba\x0ca\ta"]
+    rows += ["nbsp\xa0stays in one word", "x" * 5000, " ".join(prose(9000)), "tail " + " ".join(passage)]
+    rng.shuffle(rows)
+    out = list(enumerate(rows))
+    out += [out[3], out[3]]  # repeated rows
+    return out
+
+
+def documents(spark, rows):
+    """A documents table of (doc_id, text) with a null here and there and columns of clashing names."""
+    n = len(rows)
+    columns = {
+        "doc_id": pa.array([r[0] for r in rows], pa.int64()),
+        "text": pa.array([r[1] for r in rows], pa.string()),
+        "lang": pa.array([None if i % 7 == 0 else "en" for i in range(n)], pa.string()),
+        "source": pa.array([None if i % 5 == 0 else f"src{i % 3}" for i in range(n)], pa.string()),
+        "n_chars": pa.array([None if i % 4 == 0 else len(r[1] or "") for i, r in enumerate(rows)], pa.int64()),
+        **{name: pa.array([f"{name}{i % 2}" if i % 3 else None for i in range(n)], pa.string()) for name in CLASHES},
+    }
+    return spark.createDataFrame(pa.table(columns))
+
+
+def collected(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
