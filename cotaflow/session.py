@@ -41,6 +41,13 @@ def local_session(cores: int | str = "*", name: str = "cotaflow", memory: str =
 
 
 
+def tune(spark: SparkSession) -> None:
+    """Give any session the settings above that can be changed while it runs, such as those for hot keys."""
+    for key, value in COMMON.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for each Spark context, and keep Arrow batches small.
 

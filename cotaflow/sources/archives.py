@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotaflow.sources.delimited import csv_options, schema_for, union_by_name
-from cotaflow.sources.files import clean_header, locate
+from cotaflow.session import ship_package
+from cotaflow.sources.delimited import parsed
+from cotaflow.sources.files import header_of, locate
+from cotaflow.sources.scratch import staged
 
 BLOCK_BYTES = 4 << 20
 
@@ -21,8 +23,10 @@ def archive_members(
 ) -> DataFrame:
     """``archive``, ``member`` and ``header`` of every matching file inside the matching archives.
 
-    Only the directory of an archive and the first line of each member are read.
+    An archive without a matching file has a row without ``member``.  Only the directory of an archive
+    and the first lines of each member are read.
     """
+    ship_package(spark)
     paths = spark.read.format("binaryFile").option("pathGlobFilter", archives).load(folder).select("path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,15 +38,15 @@ def archive_members(
                     for member in archive.namelist():
                         if fnmatch.fnmatch(member, members):
                             with archive.open(member) as stream:
-                                rows.append((path, member, clean_header(stream.readline().rstrip(b"\n"), encoding)))
-                columns = list(zip(*rows)) or [[], [], []]
+                                rows.append((path, member, header_of(stream, encoding)))
+                columns = list(zip(*(rows or [(path, None, None)])))
                 yield pa.record_batch([pa.array(c, pa.string()) for c in columns], ["archive", "member", "header"])
 
     return paths.mapInArrow(read, "archive string, member string, header string")
 
 
 def member_lines(members: DataFrame, tasks: int, encoding: str = "utf-8") -> DataFrame:
-    """The lines after the header of each member, as ``archive``, ``member``, ``line``.
+    """The lines after the header of each member, as ``archive``, ``member``, ``header``, ``line``.
 
     A compressed member can only be read from its start, so one member is one piece of work; it
     streams through its task in blocks.  ``tasks`` is the number of pieces worked on separately.
@@ -54,16 +58,14 @@ def member_lines(members: DataFrame, tasks: int, encoding: str = "utf-8") -> Dat
                 system, name = locate(row["archive"])
                 with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
                     with archive.open(row["member"]) as stream:
-                        stream.readline()
+                        header_of(stream, encoding)
                         for lines in _blocks(stream):
                             text = pa.array([x.decode(encoding) for x in lines], pa.string())
-                            yield pa.record_batch(
-                                [pa.repeat(row["archive"], len(lines)), pa.repeat(row["member"], len(lines)), text],
-                                ["archive", "member", "line"],
-                            )
+                            of = [pa.repeat(row[c], len(lines)) for c in ("archive", "member", "header")]
+                            yield pa.record_batch([*of, text], ["archive", "member", "header", "line"])
 
-    spread = members.select("archive", "member").repartition(tasks)
-    return spread.mapInArrow(read, "archive string, member string, line string")
+    spread = members.select("archive", "member", "header").repartition(tasks)
+    return spread.mapInArrow(read, "archive string, member string, header string, line string")
 
 
 def _blocks(stream) -> Iterator[list[bytes]]:
@@ -87,18 +89,20 @@ def read_archives(
     sep: str = ";",
     quote: str = '"',
     encoding: str = "utf-8",
+    problems: str | None = None,
 ) -> DataFrame:
     """All delimited members of all archives as one table, columns matched by name, absent ones NULL.
 
-    Unpacking is the only Python step; the lines are parsed by Spark's own CSV reader.
+    Every archive must have a matching member; one without is an error, not an empty table.  Unpacking is
+    the only Python step; the lines are parsed by Spark's own CSV reader, each under its own header.
+    ``problems`` is as for ``read_delimited``.
     """
-    found = archive_members(spark, folder, archives, members, encoding)
-    headers = found.where(F.length("header") > 0).groupBy("header").agg(F.count(F.lit(1)).alias("files"))
-    parts = []
-    for vintage in headers.orderBy("header").toLocalIterator():
-        lines = member_lines(found.where(F.col("header") == vintage.header), vintage.files, encoding)
-        parsed = F.from_csv("line", schema_for(vintage.header, types, sep), csv_options(sep, quote))
-        parts.append(lines.select("archive", "member", parsed.alias("row")).select("archive", "member", "row.*"))
-    if not parts:
-        raise FileNotFoundError(f"no member {members} in any {archives} of {folder}")
-    return union_by_name(parts)
+    found = staged(archive_members(spark, folder, archives, members, encoding), "members")
+    if empty := found.where("member IS NULL").first():
+        raise ValueError(f"no member {members} in {empty.archive}")
+    found = found.where("header <> ''")
+    counts = list(found.groupBy("header").agg(F.count("*").alias("files")).orderBy("header").toLocalIterator())
+    if not counts:
+        raise FileNotFoundError(f"no archive {archives} with a member that has a header in {folder}")
+    lines = member_lines(found, sum(c.files for c in counts), encoding)
+    return parsed(lines, [c.header for c in counts], types, sep, quote, problems)

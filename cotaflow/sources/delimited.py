@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotaflow.session import ship_package
 from cotaflow.sources.files import first_line
+from cotaflow.sources.scratch import staged
 
 # Bytes 0x80 to 0x9F are printable characters in windows-1252 and control characters in ISO-8859-1;
 # all other bytes mean the same in both.
@@ -33,16 +35,46 @@ def csv_options(sep: str, quote: str) -> dict[str, str]:
     return {"sep": sep, "quote": quote, "escape": "", "nullValue": "NA", "emptyValue": "NA", **trimmed}
 
 
+# A separator no text holds, so that the reader hands over whole lines in any encoding.
+WHOLE_LINES = {"sep": "\uffff", "quote": "", "escape": "", "header": "false"}
+
+
 def file_headers(spark: SparkSession, folder: str, pattern: str = "*.csv", encoding: str = "utf-8") -> DataFrame:
-    """``path`` and ``header`` of every matching file; the tasks open each file for its first line only."""
-    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    """``file`` and ``header`` of every matching file; the tasks open each file for its first lines only."""
+    ship_package(spark)
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    paths = paths.select("path", F.col("_metadata.file_path").alias("file"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             headers = [first_line(path.as_py(), encoding) for path in batch.column("path")]
-            yield pa.record_batch([batch.column("path"), pa.array(headers, pa.string())], ["path", "header"])
+            yield pa.record_batch([batch.column("file"), pa.array(headers, pa.string())], ["file", "header"])
 
-    return paths.mapInArrow(read, "path string, header string")
+    return paths.mapInArrow(read, "file string, header string")
+
+
+def parsed(
+    lines: DataFrame, headers: list[str], types: dict[str, str], sep: str, quote: str, problems: str | None = None
+) -> DataFrame:
+    """``lines`` (``header``, ``line``) as columns matched by name, absent ones NULL; other columns stay.
+
+    Each line is parsed once, under the schema of its own header.  ``problems`` names a column for the
+    whole line where a field does not fit its type or there are too many or too few.
+    """
+    names = list(dict.fromkeys(name for header in headers for name in column_names(header, sep)))
+    kinds = {name: types.get(name, "string") for name in names} | ({problems: "string"} if problems else {})
+    options = csv_options(sep, quote) | ({"columnNameOfCorruptRecord": problems} if problems else {})
+    row = None
+    for header in headers:
+        schema = schema_for(header, types, sep) + (f", `{problems}` string" if problems else "")
+        own = {*column_names(header, sep), problems}
+        found = F.from_csv("line", schema, options)
+        common = F.struct(*[(found[n] if n in own else F.lit(None).cast(k)).alias(n) for n, k in kinds.items()])
+        # The header line itself is no row, even where a later filter looks at fields first.
+        this = (F.col("header") == F.lit(header)) & (F.col("line") != F.lit(header))
+        row = F.when(this, common) if row is None else row.when(this, common)
+    kept = [c for c in lines.columns if c not in ("header", "line")]
+    return lines.select(*kept, row.alias("__row")).select(*kept, "__row.*")
 
 
 def read_delimited(
@@ -53,29 +85,27 @@ def read_delimited(
     sep: str = ";",
     quote: str = '"',
     encoding: str = "utf-8",
+    problems: str | None = None,
 ) -> DataFrame:
     """All matching files as one table, columns matched by name, absent ones NULL.
 
-    Files with the same header are read together under an explicit schema; reading a mixed folder
-    under one schema would put values into the wrong columns.  Only the file names and headers come
-    to the driver.  ``encoding`` may be ``windows-1252``.  ``quote=""`` switches quoting off.
+    Every line is parsed under the header of its own file; reading a mixed folder under one schema would
+    put values into the wrong columns.  A file's header is its first line that is not blank; files of
+    blank lines only are empty.  The driver sees the distinct headers, never the list of files.
+    ``encoding`` may be ``windows-1252``.  ``quote=""`` switches quoting off.  ``problems`` names a column
+    that holds the whole line where a field does not fit its type, or there are too many or too few.
     """
     latin = encoding.lower() in ("windows-1252", "cp1252")
-    found = file_headers(spark, folder, pattern, "cp1252" if latin else encoding)
-    vintages = (
-        found.where(F.length("header") > 0).groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    ).orderBy("header")
-    parts = []
-    for vintage in vintages.toLocalIterator():
-        part = (
-            spark.read.schema(schema_for(vintage.header, types, sep))
-            .options(header="true", encoding="ISO-8859-1" if latin else encoding, **csv_options(sep, quote))
-            .csv(list(vintage.paths))
-        )
-        parts.append(_as_cp1252(part) if latin else part)
-    if not parts:
+    found = staged(file_headers(spark, folder, pattern, "cp1252" if latin else encoding).where("header <> ''"), "headers")
+    headers = [r.header for r in found.select("header").distinct().orderBy("header").toLocalIterator()]
+    if not headers:
         raise FileNotFoundError(f"no file with a header matches {pattern} in {folder}")
-    return union_by_name(parts)
+    lines = spark.read.schema("line string").option("pathGlobFilter", pattern).options(**WHOLE_LINES)
+    lines = lines.option("encoding", "ISO-8859-1" if latin else encoding).csv(folder)
+    text = cp1252_text(F.col("line")) if latin else F.col("line")
+    lines = lines.select(F.ltrim(text, F.lit("\ufeff")).alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.join(found, "file").where((F.col("line") != F.col("header")) & (F.trim("line") != "")).drop("file")
+    return parsed(lines, headers, types, sep, quote, problems)
 
 
 def union_by_name(parts: list[DataFrame]) -> DataFrame:
@@ -86,8 +116,3 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 def cp1252_text(x: Column) -> Column:
     """Text that was decoded as ISO-8859-1 although it is windows-1252."""
     return F.when(x.rlike("[\\x80-\\x9f]"), F.translate(x, LATIN1_CONTROLS, CP1252_PRINTABLE)).otherwise(x)
-
-
-def _as_cp1252(df: DataFrame) -> DataFrame:
-    names = [n for n, kind in df.dtypes if kind == "string"]
-    return df.withColumns({n: cp1252_text(F.col(f"`{n}`")) for n in names})

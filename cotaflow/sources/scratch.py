@@ -20,16 +20,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_given: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing else uses, with its file system spelled out."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    _given.add(path)
+    return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a path that ``scratch_path`` gave, once nothing reads it any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _given.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this process has staged.  For when no DataFrame that reads it is needed any more."""
+    for path in list(_given):
+        discard(spark, path)
 
 
 class Staging:
@@ -70,7 +82,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
     Worth it where a small table that is dear to compute, such as fund-years, feeds several steps: the
     daily rows are read once, a lost executor costs nothing, and the size checks see its real size.
-    The files stay for as long as the folder's owner keeps them, like checkpoints do, since lazy plans
-    may read them later; ``Staging`` deletes its own.
+    Lazy plans may read the files later, so they stay until ``release``; ``Staging`` deletes its own.
     """
     return written(df, scratch_path(df.sparkSession, label))

@@ -9,29 +9,46 @@ MODES = {"create": "errorifexists", "replace": "overwrite", "restate": "overwrit
 
 
 def write_table(
-    df: DataFrame, path: str, mode: str = "create", partition_by: str | None = None, cluster_by: list[str] | None = None
+    df: DataFrame,
+    path: str,
+    mode: str = "create",
+    partition_by: list[str] | str | None = None,
+    cluster_by: list[str] | None = None,
+    covers: list[str] | None = None,
 ) -> None:
     """Write a Parquet table.
 
     ``create`` refuses an existing table, ``replace`` rewrites all of it, ``restate`` rewrites only the
-    partitions that occur in ``df``, for months that are published again.
+    partitions that occur in ``df``, for months that are published again.  Restating needs ``covers``,
+    columns such as the day: a partition is only rewritten if ``df`` has every value of them that the
+    table has there, so that a part of a partition can't take the place of all of it.
 
     Rows are rebalanced by partition before writing, which splits a partition that holds most of the
-    rows over several files and puts small ones together.  With ``cluster_by`` they are spread and
-    sorted by range instead: rows of equal keys lie side by side, so later totals per key shrink to
-    almost their final size before any shuffle.  End the list with a column that varies within a hot
-    key, and that key is spread over files too.  Finding the ranges evaluates ``df`` once more.
+    rows over several files and puts small ones together, without a look at the rows beforehand.  With
+    ``cluster_by`` each file is sorted, so rows of equal keys lie side by side and later totals per key
+    shrink before any shuffle.
     """
-    if mode == "restate" and partition_by is None:
-        raise ValueError("restating needs a partition column")
-    keys = [c for c in (partition_by, *(cluster_by or [])) if c]
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
+    if mode == "restate":
+        if not parts or not covers:
+            raise ValueError("restating needs partition columns and the columns that must be covered")
+        _check_coverage(df, path, parts, covers)
+    if parts:
+        df = df.hint("rebalance", *[F.col(c) for c in parts])
     if cluster_by:
-        df = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    elif partition_by:
-        df = df.hint("rebalance", F.col(partition_by))
+        df = df.sortWithinPartitions(*parts, *cluster_by)
     writer = df.write.mode(MODES[mode])
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
+    if parts:
+        writer = writer.partitionBy(*parts)
     if mode == "restate":
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
+
+
+def _check_coverage(df: DataFrame, path: str, parts: list[str], covers: list[str]) -> None:
+    """Raise if ``df`` lacks a value of ``covers`` in a partition that it would rewrite."""
+    new = df.select(*parts, *covers).distinct()
+    old = df.sparkSession.read.parquet(path).select(*parts, *covers).distinct()
+    lost = old.join(new.select(*parts).distinct(), parts, "left_semi").join(new, [*parts, *covers], "left_anti")
+    if found := lost.first():
+        raise ValueError(f"the table has {found.asDict()}, which the restated rows lack; nothing was written")

@@ -4,6 +4,7 @@ import re
 import zipfile
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -50,7 +51,7 @@ def test_reports_have_one_clean_id(spark, tmp_path):
 
 def test_headers_come_without_reading_the_files(spark, tmp_path):
     landing(tmp_path / "in")
-    found = {os.path.basename(r.path): r.header for r in delimited.file_headers(spark, str(tmp_path / "in")).collect()}
+    found = {os.path.basename(r.file): r.header for r in delimited.file_headers(spark, str(tmp_path / "in")).collect()}
     assert found == {"200001.csv": OLD, "200002.csv": OLD, "202401.csv": NEW}  # an empty file is no file
 
 
@@ -116,7 +117,6 @@ def test_archives_of_both_vintages(spark, tmp_path):
         feb=f"{OLD}\r\n00.1;2000-02-01;3;1;1;1\r\n\r\n",
     )
     archive(tmp_path / "202401.zip", jan=f"{NEW}\nFIF;00.2;2024-01-02;4;1;1;1\n", bare="", only_header=f"{NEW}\n")
-    archive(tmp_path / "none.zip")
     (tmp_path / "x.csv").write_text("not;in;an;archive")
     raw = archives.read_archives(spark, str(tmp_path), schemas.DAILY_TYPES)
     found = rows(raw.select("member", "CNPJ_FUNDO", "CNPJ_FUNDO_CLASSE", "VL_QUOTA"))
@@ -157,12 +157,93 @@ def test_table_modes(spark, tmp_path, frame):
     tables.write_table(first, path, "create", "year")
     with pytest.raises(AnalysisException):
         tables.write_table(first, path, "create", "year")
-    tables.write_table(frame("year int, x double", (2001, 5.0)), path, "restate", "year")
+    tables.write_table(frame("year int, x double", (2001, 5.0)), path, "restate", "year", covers=["year"])
     assert rows(spark.read.parquet(path).select("year", "x")) == [(2000, 1.0), (2001, 5.0)]
     tables.write_table(frame("year int, x double", (2002, 7.0)), path, "replace", "year")
     assert rows(spark.read.parquet(path).select("year", "x")) == [(2002, 7.0)]
     with pytest.raises(ValueError):
         tables.write_table(first, path, "restate")
+    with pytest.raises(ValueError):
+        tables.write_table(first, path, "restate", "year")
+
+
+def test_restating_a_month_leaves_the_others(spark, tmp_path, frame):
+    path = str(tmp_path / "t")
+    ddl = "fund string, dt date, inflow double"
+    days = [dt.date(2024, m, d) for m in range(1, 13) for d in (1, 20)]
+    ingest.consolidate(frame(ddl, *[("a", d, 1.0) for d in days], ("b", dt.date(2023, 12, 1), 1.0)), path)
+    december = [("a", d, 2.0) for d in days[-2:]] + [("new", dt.date(2024, 12, 2), 3.0)]
+    ingest.consolidate(frame(ddl, *december), path, "restate")
+    found = spark.read.parquet(path).groupBy(F.year("dt"), F.month("dt")).agg(F.sum("inflow"), F.count("*"))
+    assert rows(found) == sorted([(2023, 12, 1.0, 1), (2024, 12, 7.0, 3)] + [(2024, m, 2.0, 2) for m in range(1, 12)], key=repr)
+    with pytest.raises(ValueError, match="lack"):
+        ingest.consolidate(frame(ddl, ("a", days[-1], 9.0)), path, "restate")
+    assert spark.read.parquet(path).agg(F.sum("inflow")).first()[0] == 30.0
+    ingest.consolidate(frame(ddl, ("a", dt.date(2025, 1, 1), 4.0)), path, "restate")  # a month that is not there yet
+    assert spark.read.parquet(path).agg(F.sum("inflow")).first()[0] == 34.0
+
+
+def test_blank_first_lines_are_no_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n  \r\n\nx;y\n1;2\n\n3;4\n")
+    (tmp_path / "b.csv").write_text("\n\n")
+    archive(tmp_path / "a.zip", x="\n\nx;y\n5;6\n")
+    assert rows(delimited.read_delimited(spark, str(tmp_path), {"x": "int"})) == [(1, "2"), (3, "4")]
+    assert rows(archives.read_archives(spark, str(tmp_path), {"x": "int"}).select("x", "y")) == [(5, "6")]
+
+
+def test_an_archive_without_a_matching_member_is_an_error(spark, tmp_path):
+    (tmp_path / "202401.csv").write_text(f"{NEW}\nFIF;11.222.333/0001-44;2024-01-02;2;20;3;4\n")
+    assert ingest.landed_reports(spark, str(tmp_path)).count() == 1  # no archive at all is fine
+    with zipfile.ZipFile(tmp_path / "old.zip", "w") as out:
+        out.writestr("inf.CSV", f"{OLD}\n00.123.456/0001-90;2000-01-03;1;10;1;2\n")
+    with pytest.raises(ValueError, match="old.zip"):
+        ingest.landed_reports(spark, str(tmp_path))
+
+
+def test_lines_that_can_not_be_read_are_kept_and_told(spark, tmp_path):
+    good, number, surplus, short = "1;1.5;a", "2;1,5;b", "3;2.5;c;d", "4;3.5"
+    text = "\n".join(["n;x;t", good, number, surplus, short]) + "\n"
+    (tmp_path / "a.csv").write_text(text)
+    archive(tmp_path / "a.zip", x=text)
+    types = {"n": "int", "x": "double"}
+    for found in (
+        delimited.read_delimited(spark, str(tmp_path), types, problems="bad"),
+        archives.read_archives(spark, str(tmp_path), types, problems="bad").drop("archive", "member"),
+    ):
+        assert rows(found.select("n", "x", "bad")) == sorted(
+            [(1, 1.5, None), (2, None, number), (3, 2.5, surplus), (4, 3.5, short)], key=repr
+        )
+
+
+def test_wide_tells_of_values_without_a_column(frame):
+    from cotaflow.operators.reshape import wide
+
+    table = frame("g int, k string, x double", (1, "a", 1.0), (1, "b", 2.0), (2, "c", 4.0))
+    with pytest.raises(Exception, match="without a column: c"):
+        wide(table, ["g"], "k", "x", {"a": "a", "b": "b"}).collect()
+    found = wide(table, ["g"], "k", "x", {"a": "a", "b": "b"}, fill=0.0, total="t", others=True)
+    assert rows(found) == [(1, 1.0, 2.0, 3.0), (2, 0.0, 0.0, 4.0)]
+
+
+def test_ingest_works_from_another_folder(tmp_path):
+    """The tasks find the package although the process starts elsewhere."""
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as contract
+from cotaflow.session import local_session
+spark = local_session(2, "elsewhere", "2g", spark__sql__warehouse__dir={str(tmp_path / "warehouse")!r})
+for name in ("csv_two_vintages", "zip_ingest", "ingest_consolidated", "csv_codepage_roundtrip"):
+    assert contract.queries()[name](spark, "/root/testdata/sf0.001").count() > 0, name
+print("all read")
+"""
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=environment, capture_output=True, text=True, timeout=300)
+    assert "all read" in run.stdout, run.stderr[-2000:]
 
 
 def test_periods_skip_partitions(spark, tmp_path, frame):
@@ -174,34 +255,29 @@ def test_periods_skip_partitions(spark, tmp_path, frame):
     daily = spark.read.parquet(path)
     years, quarters = base.within_years(daily, 2001, 2001), base.within_quarters(daily, (2000, 4), (2001, 1))
     for found, count in ((years, 3), (quarters, 2)):
-        assert re.search(r"PartitionFilters: \[[^]]*year", found._jdf.queryExecution().executedPlan().toString())
+        assert re.search(r"PartitionFilters: \[[^]]*dt_year", found._jdf.queryExecution().executedPlan().toString())
         assert found.count() == count
 
 
-def test_clustered_table_keeps_a_fund_together(spark, tmp_path):
-    """Also a fund with a third of the rows: it spans files, in order."""
+def test_clustered_files_are_sorted_by_fund_and_day(spark, tmp_path):
+    """Also those of a fund with a third of the rows; the table is written in one pass over its input."""
     path = str(tmp_path / "t")
     days = F.date_add(F.lit(dt.date(2000, 1, 1)), (F.col("id") % 366).cast("int")).alias("dt")
     fund = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), (F.col("id") % 50).cast("string")))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        ingest.consolidate(spark.range(30_000).select(fund.alias("fund"), days).repartition(6), path)
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    files = spark.read.parquet(path).withColumn("file", F.input_file_name())
-    spread = files.groupBy("fund").agg(F.count_distinct("file").alias("n")).collect()
-    assert files.select("file").distinct().count() > 2
-    assert {r.fund for r in spread if r.n > 2} <= {"hot"} and max(r.n for r in spread if r.fund == "hot") > 1
-    assert files.count() == 30_000
+    ingest.consolidate(spark.range(30_000).select(fund.alias("fund"), days).repartition(6), path)
+    assert spark.read.parquet(path).count() == 30_000
+    for name in (p for p, _, names in os.walk(path) for n in names if n.endswith(".parquet") for p in [os.path.join(p, n)]):
+        part = pq.read_table(name, columns=["fund", "dt"]).to_pylist()
+        assert part == sorted(part, key=lambda r: (r["fund"], r["dt"]))
 
 
 def test_year_filter_skips_partitions(spark, tmp_path, frame):
     path = str(tmp_path / "t")
     reports = frame("fund string, dt date", ("a", dt.date(2000, 5, 1)), ("a", dt.date(2001, 5, 1)))
     ingest.consolidate(reports, path)
-    plan = spark.read.parquet(path).where(F.col("year") == 2001)
-    assert "PartitionFilters: [isnotnull(year" in plan._jdf.queryExecution().executedPlan().toString()
-    assert os.path.isdir(f"{path}/year=2000") and plan.count() == 1
+    plan = spark.read.parquet(path).where(F.col("dt_year") == 2001)
+    assert "PartitionFilters: [isnotnull(dt_year" in plan._jdf.queryExecution().executedPlan().toString()
+    assert os.path.isdir(f"{path}/dt_year=2000/dt_month=5") and plan.count() == 1
 
 
 def test_spines(frame):
@@ -211,17 +287,24 @@ def test_spines(frame):
 
 
 def test_shared_folder_comes_from_the_session(spark):
-    def session(master, **settings):
-        conf = SimpleNamespace(get=lambda name, default: settings.get(name.replace(".", "_"), default))
-        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
-
-    cluster = session("yarn", spark_checkpoint_dir="hdfs://nn/shared/")
-    assert scratch.shared_folder(cluster) == "hdfs://nn/shared"
-    assert os.path.isdir(scratch.shared_folder(spark))
+    def session(**settings):
+        settings = {k.replace("_", ".").replace("..", "_"): v for k, v in settings.items()}
+        conf = SimpleNamespace(get=lambda name, default=None: settings.get(name, default), set=settings.__setitem__)
+        return SimpleNamespace(conf=conf)
+
+    assert scratch.shared_folder(session(spark_checkpoint_dir="hdfs://nn/shared/")) == "hdfs://nn/shared"
+    unset = session(spark_sql_warehouse_dir="hdfs://nn/warehouse")
+    assert scratch.shared_folder(unset) == scratch.shared_folder(unset) == "hdfs://nn/warehouse/scratch"
     one, two = (scratch.scratch_path(spark, "a") for _ in range(2))
     assert one != two and one.startswith("file:/")
-    with pytest.raises(ValueError):
-        scratch.shared_folder(session("yarn"))
+
+
+def test_staged_tables_go_when_their_work_is_done(spark):
+    with scratch.Staging(spark) as stage:
+        assert stage(spark.range(5), "five").count() == 5
+        (path,) = stage.paths
+        assert os.path.isdir(path.removeprefix("file:"))
+    assert not os.path.isdir(path.removeprefix("file:"))
 
 
 def test_paths_as_spark_reports_them(tmp_path):
