@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,20 +41,15 @@ def in_quarters(d: Column, first: tuple[int, int], last: tuple[int, int]) -> Col
     return (d >= F.lit(start)) & (d < F.lit(stop))
 
 
-SEQUENCE_LIMIT = 1 << 46
-
-
 def dated_sequence(d: Column, sequence: Column) -> Column:
-    """Day and sequence number as one whole number that sorts by day, then by number.
+    """Day and sequence number as one number that sorts by day, then by number; a missing one comes first.
 
-    First and last values ordered by a single number are found by hash aggregation, several times
-    faster than by a day and a number side by side.  A number that does not fit is an error.
+    First and last values ordered by a single number are found by hash aggregation, without sorting the
+    rows by group as a day and a number side by side need.  Any day and any long fit.
     """
-    fits = sequence.between(0, SEQUENCE_LIMIT - 1)
-    packed = F.unix_date(d).cast("bigint") * SEQUENCE_LIMIT + sequence
-    return F.when(fits, packed).when(
-        sequence.isNotNull(), F.raise_error(F.concat(F.lit("sequence number out of range: "), sequence.cast("string")))
-    )
+    day = F.coalesce(F.unix_date(d).cast("bigint"), F.lit(-(1 << 32))).cast("decimal(10,0)")
+    number = F.coalesce(sequence.cast("decimal(20,0)"), F.lit(Decimal(-(1 << 63) - 1)))
+    return day * F.lit(Decimal(1 << 65)) + number
 
 
 def number_from_text(x: Column) -> Column:

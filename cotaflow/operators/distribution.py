@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -11,13 +10,8 @@ from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import present
 from cotaflow.operators.joins import lookup_join
-from cotaflow.operators.sizing import input_bytes
 from cotaflow.sources.scratch import staged
 
-# The built-in exact percentile keeps every distinct value of a group in one task, so it is used only
-# while all input together is at most this many bytes.
-ONE_TASK_BYTES = 64 << 20
-
 # Half width, in ranks, of the band that is searched for an exact quantile, and the sketch accuracy.
 BAND = 0.0005
 ACCURACY = 10_000
@@ -32,13 +26,14 @@ def group_stats(
     by: list[str],
     value: str,
     probs: dict[str, float],
-    method: str = "auto",
+    method: str = "select",
 ) -> DataFrame:
     """``n``, ``low``, ``high``, ``sd`` and the named quantiles of ``value`` per group.
 
     Missing values and NaN are left out; a group of nothing else keeps its row, with ``n`` 0.
-    Quantiles interpolate linearly between neighbours (type 7).  ``method`` is ``"builtin"`` (Spark's exact percentile), ``"select"`` (exact, for groups of any
-    size), ``"auto"`` (the first within ``ONE_TASK_BYTES`` of input, else the second) or ``"approx"``.
+    Quantiles interpolate linearly between neighbours (type 7).  ``method`` is ``"select"`` (exact, for
+    groups of any size; runs jobs and writes to the shared folder), ``"builtin"`` (Spark's exact percentile,
+    which keeps the distinct values of a group in one task) or ``"approx"``.
     """
     x = F.col(value)
     rows = df.select(*by, F.when(present(x), x.cast("double")).alias(value))
@@ -48,9 +43,6 @@ def group_stats(
         F.max(value).alias("high"),
         F.stddev_samp(value).alias("sd"),
     ]
-    if method == "auto":
-        size = input_bytes(rows)
-        method = "builtin" if size is not None and size <= ONE_TASK_BYTES else "select"
     if method in ("builtin", "approx"):
         points = F.array(*[F.lit(p) for p in probs.values()])
         pick = F.percentile(x, points) if method == "builtin" else F.percentile_approx(x, points, ACCURACY)
@@ -98,10 +90,12 @@ def _select_quantiles(
     pieces = banded.withColumnRenamed("__band", "__piece")
     cells = lookup_join(pieces, targets.select(*by, "__piece"), [*by, "__piece"], "inner", nulls_match=True)
     cells = staged(cells.groupBy(*by, "__piece", value).agg(F.count(F.lit(1)).alias("__rows")), "quantile-values")
-    size, last = _largest_piece(cells, by), math.inf
-    while PIECE_VALUES < size < last:
+    size = _largest_piece(cells, by)
+    while size > PIECE_VALUES:
         cells, targets = _cut_again(cells, targets, by, value, list(ranks))
         size, last = _largest_piece(cells, by), size
+        if size >= last:  # distinct values always part at the sketch's cut points
+            raise RuntimeError(f"a band of {size} distinct values could not be cut")
 
     up_to = (
         Window.partitionBy(*by, "__piece").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -183,7 +177,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 SIDES = {"q1": 0.25, "q3": 0.75}
 
 
-def fences(df: DataFrame, by: list[str], value: str, method: str = "auto") -> DataFrame:
+def fences(df: DataFrame, by: list[str], value: str, method: str = "select") -> DataFrame:
     """Per group the quartiles, their distance and the limits 1.5 distances beyond them."""
     return (
         group_stats(df, by, value, SIDES, method)
@@ -194,14 +188,14 @@ def fences(df: DataFrame, by: list[str], value: str, method: str = "auto") -> Da
     )
 
 
-def within_fences(df: DataFrame, by: list[str], value: str, method: str = "auto") -> DataFrame:
+def within_fences(df: DataFrame, by: list[str], value: str, method: str = "select") -> DataFrame:
     """Rows inside their group's fences, limits included, with the fences attached."""
     limits = fences(df, by, value, method)
     joined = lookup_join(df, limits, by, "inner", nulls_match=True)
     return joined.where(F.col(value).between(F.col("lower"), F.col("upper")))
 
 
-def box_stats(df: DataFrame, by: list[str], value: str, method: str = "auto") -> DataFrame:
+def box_stats(df: DataFrame, by: list[str], value: str, method: str = "select") -> DataFrame:
     """Box-plot numbers per group: ``n``, quartiles and whiskers.
 
     The whiskers end at the outermost values within 1.5 quartile distances of the box.
@@ -216,7 +210,7 @@ def box_stats(df: DataFrame, by: list[str], value: str, method: str = "auto") ->
     )
 
 
-def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, method: str = "auto") -> DataFrame:
+def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, method: str = "select") -> DataFrame:
     """Gaussian density of each group at evenly spaced points from its lowest to its highest value.
 
     The bandwidth is the rule-of-thumb one: 0.9 times the smaller of standard deviation and quartile
@@ -238,9 +232,13 @@ def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, m
     )
     rows = lookup_join(df.where(present(x)).select(*by, x), shape, by, "inner", nulls_match=True)
     step = (F.col("high") - F.col("low")) / (points - 1)
+    # Per row only its distance from the first point and the distance of two points, both in bandwidths, go on.
+    away = ((F.col("low") - x) / F.col("bandwidth")).alias("__away")
+    rows = rows.select(*by, away, (step / F.col("bandwidth")).alias("__step"))
     grid = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    at = F.col("low") + F.col("point") * step
-    kernel = F.exp(-0.5 * F.pow((at - x) / F.col("bandwidth"), F.lit(2)))
-    sums = grid.groupBy(*by, "n", "low", "high", "bandwidth", "point").agg(F.sum(kernel).alias("mass"))
+    gap = F.col("__away") + F.col("point") * F.col("__step")
+    sums = grid.groupBy(*by, "point").agg(F.sum(F.exp(-0.5 * gap * gap)).alias("mass"))
     scale = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2) * F.pi())
-    return sums.select(*by, "point", at.alias("at"), "bandwidth", (F.col("mass") / scale).alias("density"))
+    placed = lookup_join(sums, shape, by, "inner", nulls_match=True)
+    at = F.col("low") + F.col("point") * step
+    return placed.select(*by, "point", at.alias("at"), "bandwidth", (F.col("mass") / scale).alias("density"))

@@ -7,16 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotaflow.operators.sizing import fits_broadcast
-
-
-def checked_broadcast(df: DataFrame) -> DataFrame:
-    """Mark ``df`` for broadcast when its size allows; otherwise leave the choice to Spark.
-
-    Beyond the limit the join is a shuffle join, whose hot keys the adaptive planner splits.
-    """
-    return F.broadcast(df) if fits_broadcast(df) else df
-
 
 def same_key(left: Column, right: Column, nulls_match: bool) -> Column:
     return left.eqNullSafe(right) if nulls_match else left == right
@@ -33,11 +23,10 @@ def lookup_join(
 
     A lookup with several rows per key repeats the fact rows.  ``nulls_match`` lets a missing key
     find a missing key, as joins of in-memory tables do in the studies; database joins do not.
-    Beyond the broadcast limit the adaptive planner splits hot keys, provided neither side comes
-    straight out of an aggregation by the key; stage such a side when the other one is raw rows.
+    The planner broadcasts a side that it knows to be small; else it splits hot keys, provided neither side
+    comes straight out of an aggregation by the key; stage such a side when the other one is raw rows.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    lookup = checked_broadcast(lookup)
     if not nulls_match:
         return fact.join(lookup, keys, how)
     other = lookup.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -56,10 +45,10 @@ def drop_members(df: DataFrame, members: DataFrame, key: str, nulls_match: bool
 
 
 def _membership(df: DataFrame, members: DataFrame, key: str, how: str, nulls_match: bool) -> DataFrame:
-    keys = checked_broadcast(members.select(F.col(key).alias("__member")))
+    keys = members.select(F.col(key).alias("__member"))
     return df.join(keys, same_key(F.col(key), F.col("__member"), nulls_match), how)
 
 
 def calendar_join(df: DataFrame, yearly: DataFrame, on: str = "year") -> DataFrame:
-    """Left join of a table with one row per calendar period, small whatever the data size."""
-    return df.join(F.broadcast(yearly), on, "left")
+    """Left join of a table with one row per calendar period."""
+    return df.join(yearly, on, "left")

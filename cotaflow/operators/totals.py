@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cotaflow.operators.sizing import fits_broadcast
-
 
 def totals_by_lookup(
     daily: DataFrame,
@@ -26,10 +24,9 @@ def totals_by_lookup(
     fact of a key that many times, which is what joining a table with that many rows per key and then
     summing amounts to, without building the repeated rows.
 
-    A lookup within the broadcast limit is joined to the raw rows, so only finished totals are
-    shuffled.  A larger one is joined after the rows are summed per key and period: the shuffle then
-    carries one row per key and period from each task, and a key that holds a large part of the rows
-    takes no more of the join than any other key does.
+    Rows are summed per key and period before they meet the lookup: the shuffle carries one row per key
+    and period from each task, and a key that holds a large part of the rows takes no more of the join
+    than any other key does.
     """
     attributes = lookup.select(key, *by)
     if weights is not None:
@@ -37,11 +34,8 @@ def totals_by_lookup(
     facts = daily.select(
         key, *[c.alias(n) for n, c in periods.items()], *[c.alias(n) for n, c in measures.items()]
     )
-    if fits_broadcast(attributes):
-        joined = facts.join(F.broadcast(attributes), key)
-    else:
-        cells = facts.groupBy(key, *periods).agg(*[rule(F.col(m)).alias(m) for m in measures])
-        joined = cells.join(attributes, key)
+    cells = facts.groupBy(key, *periods).agg(*[rule(F.col(m)).alias(m) for m in measures])
+    joined = cells.join(attributes, key)
     if weights is not None:
         joined = joined.withColumns({m: F.col(m) * F.col("weight") for m in measures})
     return joined.groupBy(*periods, *by).agg(*[rule(F.col(m)).alias(m) for m in measures])

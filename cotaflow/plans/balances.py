@@ -59,8 +59,8 @@ def fund_years(daily: DataFrame, first: int, last: int, order_by: list[str], sca
 
 
 def year_end_balance(closing: DataFrame, classes: DataFrame) -> DataFrame:
-    """Closing balances per year and type, from ``fund_years``."""
-    typed = lookup_join(closing, classes.select("fund", "type"), "fund", "inner")
+    """Closing balances per year and type, from ``fund_years``; repeated class rows count once."""
+    typed = lookup_join(closing, classes.select("fund", "type").distinct(), "fund", "inner")
     return typed.groupBy("year", "type").agg(
         zero_sum(F.col("balance")).alias("balance"), F.max("dt").alias("dt")
     )
@@ -71,16 +71,24 @@ def year_end_balance_wide(closing: DataFrame, classes: DataFrame, types: dict[st
 
     Types close on different dates, and the date stays part of the row's identity, as in the studies.
     """
-    table = wide(year_end_balance(closing, classes), ["year", "dt"], "type", "balance", types, fill=0.0)
-    total = sum((F.col(c) for c in types), F.lit(0.0))
-    return table.withColumns({"total": total, "year": F.col("year").cast("string")})
+    table = wide(year_end_balance(closing, classes), ["year", "dt"], "type", "balance", types, fill=0.0, total="total")
+    return table.withColumn("year", F.col("year").cast("string"))
 
 
 def reconciliation(closing: DataFrame, classes: DataFrame) -> DataFrame:
-    """Yearly change of the total balance, split into net flow and the return it implies."""
-    kept = lookup_join(closing, classes.select("fund"), "fund", "inner")
+    """Yearly change of the total balance, split into net flow and the return it implies.
+
+    A balance counts once for each type of its fund, as in ``year_end_balance``; flows count once for each
+    class row, as in the flow reports.
+    """
+    per_fund = classes.groupBy("fund").agg(
+        F.count(F.lit(1)).alias("class_rows"), F.size(F.collect_set(F.coalesce("type", F.lit("")))).alias("types")
+    )
+    kept = lookup_join(closing, per_fund, "fund", "inner")
     yearly = kept.groupBy("year").agg(
-        F.max("dt").alias("dt"), zero_sum(F.col("balance")).alias("balance"), zero_sum(F.col("net")).alias("net")
+        F.max("dt").alias("dt"),
+        zero_sum(F.col("balance") * F.col("types")).alias("balance"),
+        zero_sum(F.col("net") * F.col("class_rows")).alias("net"),
     )
     return (
         yearly.withColumn("change", step_change("balance", [F.asc_nulls_last("year")]))

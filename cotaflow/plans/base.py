@@ -11,7 +11,6 @@ from cotaflow.functions.labels import REST
 from cotaflow.functions.periods import in_quarters, in_years
 from cotaflow.operators.joins import keep_members, lookup_join
 from cotaflow.operators.ordered import latest_row
-from cotaflow.operators.sizing import fits_broadcast
 from cotaflow.sources.scratch import staged
 
 # Funds the studies leave out because the source repeats them.
@@ -56,11 +55,15 @@ def with_latest_snapshot(daily: DataFrame, snapshots: DataFrame, columns: list[s
     return lookup_join(daily, staged(latest.select("fund", "row.*"), "latest"), "fund")
 
 
+# Partition columns of the consolidated daily table.
+YEAR_PARTITION, MONTH_PARTITION = "dt_year", "dt_month"
+
+
 def within_years(daily: DataFrame, first: int, last: int) -> DataFrame:
     """Daily rows of the years ``first`` to ``last``.
 
-    The consolidated table is partitioned by ``year``; where that column is there, it is filtered as
-    well, so that other years' files are never opened.
+    The consolidated table is partitioned by the year of ``dt``; where that column is there, it is filtered
+    as well, so that other years' files are never opened.
     """
     return _year_partitions(daily, first, last).where(in_years(F.col("dt"), first, last))
 
@@ -71,19 +74,16 @@ def within_quarters(daily: DataFrame, first: tuple[int, int], last: tuple[int, i
 
 
 def _year_partitions(daily: DataFrame, first: int, last: int) -> DataFrame:
-    return daily.where(F.col("year").between(first, last)) if "year" in daily.columns else daily
+    return daily.where(F.col(YEAR_PARTITION).between(first, last)) if YEAR_PARTITION in daily.columns else daily
 
 
 def for_funds(daily: DataFrame, chosen: DataFrame, summarise: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``summarise(daily)``, a table with few rows per fund, for the chosen funds.
 
-    A list of funds within the broadcast limit thins out the daily rows first.  A larger one is
-    matched afterwards, so the daily rows are never shuffled to meet it.
+    Funds are matched after the rows of each are summed, so the daily rows are never shuffled to meet
+    the list, however long it is.
     """
-    funds = chosen.select("fund")
-    if fits_broadcast(funds):
-        return summarise(keep_members(daily, funds, "fund"))
-    return keep_members(summarise(daily), funds, "fund")
+    return keep_members(summarise(daily), chosen.select("fund"), "fund")
 
 
 def snapshot_weights(snapshots: DataFrame, wanted: Column | None = None) -> DataFrame:

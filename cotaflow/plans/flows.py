@@ -100,9 +100,8 @@ def annual_net_by_type_wide(
     daily: DataFrame, classes: DataFrame, types: dict[str, str], first: int, last: int, scale: float = BILLION
 ) -> DataFrame:
     """Net flow per year with one column per type and their total."""
-    table = wide(annual_net(daily, classes, first, last, scale), ["year"], "type", "net", types, fill=0.0)
-    total = sum((F.col(c) for c in types), F.lit(0.0))
-    return table.withColumns({"total": total, "year": F.col("year").cast("string")})
+    table = wide(annual_net(daily, classes, first, last, scale), ["year"], "type", "net", types, fill=0.0, total="total")
+    return table.withColumn("year", F.col("year").cast("string"))
 
 
 def annual_net_by_year_wide(

@@ -1,7 +1,9 @@
 """The four published studies with their own parameters.
 
-Each takes the tables in library names and returns its reports by name.  The returns of a study feed
-several reports and are staged; everything else is lazy.
+Each takes the tables in library names and returns its reports by name.  The daily rows are read twice, once to
+sum them per fund and month and once per fund and year; these tables and the returns are staged, and everything
+else is lazy.  Rows that tie on ``order_by`` are told apart by all their other columns, so a study does not depend
+on the order in which rows are stored.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import functions as F
 from cotaflow.functions.labels import REST
 from cotaflow.functions.missing import not_in, skip_sum, strict_sum
 from cotaflow.operators.distribution import density_curve
-from cotaflow.operators.joins import lookup_join
-from cotaflow.plans import balances, base, distributions, flows, profile, returns
+from cotaflow.operators.joins import keep_members, lookup_join
+from cotaflow.plans import balances, base, distributions, flows, partials, profile, returns
 from cotaflow.sources.scratch import staged
 
 # Categories, types, facets, spans and limits of the studies.
@@ -64,6 +66,8 @@ EQUITY_FACETS = [
 ]
 OPEN_TYPES = ["Multimercados Investimento no Exterior", "Multimercados Livre", "Multimercados Macro"]
 BAD_CLOSE = dt.date(2012, 1, 2)
+FIXED_INCOME_LIMIT, MULTIMARKET_LIMIT, EARLIER_MULTIMARKET_LIMIT, EQUITY_LIMIT = 50, 50, 200, 500
+MAIN_TYPES = 5
 
 Reports = dict[str, DataFrame]
 
@@ -75,15 +79,17 @@ def fixed_income(
     chosen = base.study_classes(classes, "Renda Fixa")
     lumped = profile.lump_types(chosen, FIXED_INCOME_TYPES)
     weights = base.with_policy(snapshots)
-    reports = _profiles(daily, chosen, snapshots)
-    reports["quarterly_flow"] = flows.quarterly_flow(daily, chosen, *QUARTERS, weights)
+    months, years = _summed(daily, chosen, *YEARS, list(order_by))
+    strict = partials.strict(months)
+    reports = _profiles(months, chosen, snapshots)
+    reports["quarterly_flow"] = flows.quarterly_flow(strict, chosen, *QUARTERS, weights)
     reports["flow_by_type"] = flows.quarterly_flow_by_type(
-        daily, lumped, *QUARTERS, weights, strict_sum, labelled=False
+        strict, lumped, *QUARTERS, weights, strict_sum, labelled=False
     )
-    reports["custody_by_type"] = balances.custody_sum(daily, lumped, *QUARTERS, weights, strict_sum, labelled=False)
-    annual = base.for_funds(daily, chosen, lambda rows: returns.annual_return(rows, *YEARS, list(order_by)))
+    reports["custody_by_type"] = balances.custody_sum(strict, lumped, *QUARTERS, weights, strict_sum, labelled=False)
     cdi = returns.rate_by_year(rates, *YEARS, strict=True)
-    marked = _marked(returns.with_type_and_benchmark(annual, lumped, cdi), 50)
+    annual = partials.returns_of(years)
+    marked = _marked(returns.with_type_and_benchmark(annual, lumped, cdi), FIXED_INCOME_LIMIT)
     in_facet = F.col("type").isin(FIXED_INCOME_FACET)
     reports |= _facets([marked.where(in_facet), marked.where(not_in(F.col("type"), FIXED_INCOME_FACET))])
     return reports
@@ -95,9 +101,9 @@ def multimarket(
     snapshots: DataFrame,
     rates: DataFrame,
     order_by: tuple[str, ...] = ("dt",),
-    limit: float = 50,
+    limit: float = MULTIMARKET_LIMIT,
 ) -> Reports:
-    """Multi-market funds against the interest rate.  An earlier version of the study has ``limit`` 200."""
+    """Multi-market funds against the interest rate.  An earlier version has ``EARLIER_MULTIMARKET_LIMIT``."""
     cdi = returns.rate_by_year(rates, *YEARS, strict=True)
     return _database_study(
         daily, classes, snapshots, "Multimercados", cdi, limit, MULTIMARKET_FACETS, order_by
@@ -109,48 +115,56 @@ def equity(
 ) -> Reports:
     """Equity funds against the share index."""
     index = returns.index_by_year(closes, *YEARS, BAD_CLOSE)
-    return _database_study(daily, classes, snapshots, "Ações", index, 500, EQUITY_FACETS, order_by)
+    return _database_study(daily, classes, snapshots, "Ações", index, EQUITY_LIMIT, EQUITY_FACETS, order_by)
 
 
 def multimarket_flows(
     daily: DataFrame, classes: DataFrame, rates: DataFrame, order_by: tuple[str, ...] = ("dt",)
 ) -> Reports:
     """A decade of multi-market flows, balances and returns."""
-    order = list(order_by)
     chosen = base.open_class_rows(classes, "Multimercados")
     lumped = profile.lump_types(chosen, OPEN_TYPES)
     columns = {name: name for name in [*OPEN_TYPES, REST]}
-    monthly = flows.monthly_flow(daily, chosen, *FLOW_YEARS)
-    monthly_by_type = flows.monthly_net_by_type(daily, lumped, *FLOW_YEARS)
-    closing = base.for_funds(daily, chosen, lambda rows: balances.fund_years(rows, *FLOW_YEARS, order))
-    closing = staged(closing, "fund-years")
-    annual = base.for_funds(
-        daily, chosen, lambda rows: returns.annual_return(rows, *FLOW_YEARS, order, skip_missing=True)
-    )
-    typed = lookup_join(returns.plausible(annual), lumped.select("fund", "type"), "fund", "inner")
+    months, years = _summed(daily, chosen, *FLOW_YEARS, list(order_by), skip_missing=True)
+    skipping, netted = partials.skipping(months), partials.netted(months)
+    monthly = flows.monthly_flow(skipping, chosen, *FLOW_YEARS)
+    monthly_by_type = flows.monthly_net_by_type(netted, lumped, *FLOW_YEARS)
+    closing = partials.closing_of(years)
+    annual = returns.plausible(partials.returns_of(years))
+    typed = lookup_join(annual, lumped.select("fund", "type").distinct(), "fund", "inner")
     typed = staged(typed, "returns")
-    trimmed = returns.trimmed_returns(typed, 5, "Multimercados")
+    trimmed = returns.trimmed_returns(typed, MAIN_TYPES, "Multimercados")
     return {
-        "type_year_counts": profile.type_year_counts_wide(daily, chosen, *FLOW_YEARS),
-        "annual_net_by_type": flows.annual_net_by_type_wide(daily, lumped, columns, *FLOW_YEARS),
-        "annual_net_by_year": flows.annual_net_by_year_wide(daily, lumped, *FLOW_YEARS),
+        "type_year_counts": profile.type_year_counts_wide(months, chosen, *FLOW_YEARS),
+        "annual_net_by_type": flows.annual_net_by_type_wide(netted, lumped, columns, *FLOW_YEARS),
+        "annual_net_by_year": flows.annual_net_by_year_wide(netted, lumped, *FLOW_YEARS),
         "monthly_flow": monthly,
         "rolling_flow": flows.rolling_flow(monthly_by_type),
         "cumulative_flow": flows.cumulative_flow(monthly),
         "cumulative_flow_by_type": flows.cumulative_flow(monthly_by_type, ["type"]),
         "year_end_balance": balances.year_end_balance_wide(closing, lumped, columns),
-        "reconciliation": balances.reconciliation(closing, chosen),
+        "reconciliation": balances.reconciliation(closing, lumped),
         "returns": trimmed,
         "return_boxes": distributions.return_boxes(trimmed, returns.rate_by_year(rates, *FLOW_YEARS)),
     }
 
 
+def _summed(
+    daily: DataFrame, chosen: DataFrame, first: int, last: int, order_by: list[str], skip_missing: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The chosen funds' months and years, each from one pass over the daily rows."""
+    order = partials.total_order(daily, order_by)
+    months = base.for_funds(daily, chosen, partials.fund_months)
+    years = base.for_funds(daily, chosen, lambda rows: partials.fund_years(rows, first, last, order, skip_missing))
+    return staged(months, "fund-months"), staged(years, "fund-years")
+
+
 def _profiles(daily: DataFrame, chosen: DataFrame, snapshots: DataFrame) -> Reports:
     funds = profile.reporting_funds_of(daily, chosen)
     return {
         "type_share": profile.type_share(daily, chosen),
         "investor_profile": profile.investor_profile(daily, chosen),
-        "latest_structure": profile.latest_structure(snapshots, funds, []),
+        "latest_structure": profile.latest_structure(snapshots, funds, partials.total_order(snapshots, ["dt"])[1:]),
         "fee_matrix": profile.fee_matrix(snapshots, funds),
     }
 
@@ -168,12 +182,13 @@ def _database_study(
     """The two studies whose sums run in the database, which skips gaps, and need a stated policy."""
     chosen = base.study_classes(classes, category)
     weights = base.with_policy(snapshots)
-    reports = _profiles(daily, chosen, snapshots)
-    reports["quarterly_flow"] = flows.quarterly_flow(daily, chosen, *QUARTERS, weights)
-    reports["flow_by_type"] = flows.quarterly_flow_by_type(daily, chosen, *QUARTERS, weights, skip_sum)
-    reports["custody_by_type"] = balances.custody_sum(daily, chosen, *QUARTERS, weights, skip_sum)
-    stated = lookup_join(chosen, weights.select("fund"), "fund", "inner")
-    annual = base.for_funds(daily, stated, lambda rows: returns.annual_return(rows, *YEARS, list(order_by)))
+    months, years = _summed(daily, chosen, *YEARS, list(order_by))
+    skipping = partials.skipping(months)
+    reports = _profiles(months, chosen, snapshots)
+    reports["quarterly_flow"] = flows.quarterly_flow(partials.strict(months), chosen, *QUARTERS, weights)
+    reports["flow_by_type"] = flows.quarterly_flow_by_type(skipping, chosen, *QUARTERS, weights, skip_sum)
+    reports["custody_by_type"] = balances.custody_sum(skipping, chosen, *QUARTERS, weights, skip_sum)
+    annual = keep_members(partials.returns_of(years), weights, "fund")
     marked = _marked(returns.with_type_and_benchmark(annual, chosen, benchmark), limit)
     return reports | _facets([marked.where(F.col("type").isin(facet)) for facet in facets])
 

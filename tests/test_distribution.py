@@ -81,11 +81,9 @@ def test_selection_does_not_rely_on_the_sketch(spark, monkeypatch):
         assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:])
 
 
-def test_auto_switches_by_size(spark, monkeypatch):
+def test_default_is_the_method_for_any_size(spark):
     df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("x"))
-    small = dist.group_stats(df, ["g"], "x", dist.QUARTILES)
-    assert " percentile(" in small._jdf.queryExecution().optimizedPlan().toString()
-    monkeypatch.setattr(dist, "ONE_TASK_BYTES", 0)
+    small = dist.group_stats(df, ["g"], "x", dist.QUARTILES, "builtin")
     large = dist.group_stats(df, ["g"], "x", dist.QUARTILES)
     assert " percentile(" not in large._jdf.queryExecution().optimizedPlan().toString()
     assert rows(small) == rows(large)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import skip_sum, strict_sum, zero_sum
-from cotaflow.operators import joins, sizing
+from cotaflow.operators import joins
 from cotaflow.operators.totals import totals_by_lookup
 from cotaflow.plans import base
 from tests.conftest import rows
@@ -99,16 +99,6 @@ def test_both_plans_agree(spark, facts, lookup, frame, rule, weighted):
         spark.conf.set(name, before)
 
 
-def test_size_check(spark, facts, no_broadcast):
-    assert 0 < sizing.input_bytes(facts) < 10_000
-    assert not sizing.fits_broadcast(facts)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
-    assert sizing.fits_broadcast(facts)
-    assert not sizing.fits_broadcast(spark.range(10_000_000))
-    unknown = spark.createDataFrame([(1,)], "fund int")
-    assert not sizing.fits_broadcast(unknown)
-
-
 def test_joins_of_raw_rows_split_a_hot_fund(spark):
     """A third of the rows has one key; the adaptive planner spreads it over several tasks."""
     settings = {

@@ -112,7 +112,7 @@ def test_trailing_and_running_sums(frame, values, rows):
 )
 def test_wide(frame, cells, fill):
     table = frame("g int, name string, x double", *[(g, n, x) for (g, n), x in cells.items()])
-    found = reshape.wide(table, ["g"], "name", "x", {"A": "a", "B": "b"}, fill=fill)
+    found = reshape.wide(table, ["g"], "name", "x", {"A": "a", "B": "b"}, fill=fill, others=True)
     want = {g: (cells.get((g, "a"), fill), cells.get((g, "b"), fill)) for g, _ in cells}
     assert {r.g: (r.A, r.B) for r in found.collect()} == want
 

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -165,6 +166,43 @@ def test_multimarket_flows(tables, industry, limit_of_broadcasts):
     assert rolled and all(r["count"] == 30 - 11 for r in rolled)
 
 
+def test_stored_order_does_not_matter(spark, tables):
+    """Two rows of a day and two snapshots of a day that differ: the same reports however the rows are stored."""
+    classes, daily, states, rates, _ = tables
+    daily = daily.union(daily.where("dt < '2020-01-01'").selectExpr("fund", "dt", "quota * 3", "balance", "inflow", "outflow"))
+    states = states.union(states.selectExpr("fund", "dt", "'C'", "feeder", "mirror", "'S'", "'S'", "'N'"))
+
+    def found(seed):
+        mixed = [t.orderBy(F.rand(seed)).repartition(3) for t in (daily, states)]
+        reports = studies.multimarket(mixed[0], classes, mixed[1], rates, limit=10_000)
+        flows = studies.multimarket_flows(mixed[0], classes, rates)
+        wanted = [reports[n] for n in ("return_quartiles_1", "latest_structure", "fee_matrix")] + [flows["reconciliation"], flows["returns"]]
+        return [sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr) for df in wanted]
+
+    assert found(1) == found(2)
+
+
+def test_a_study_reads_the_daily_rows_twice(spark, tables, tmp_path):
+    """Once for the months and once for the years, whatever the number of reports."""
+    classes, daily, states, rates, _ = tables
+    path = str(tmp_path / "daily")
+    daily.write.parquet(path)
+    for run in (
+        lambda rows: studies.fixed_income(rows, classes, states, rates),
+        lambda rows: studies.multimarket_flows(rows, classes, rates),
+    ):
+        written = []
+        original = studies.staged
+        studies.staged = lambda df, label: (written.append(df._jdf.queryExecution().executedPlan().toString()), original(df, label))[1]
+        try:
+            reports = run(spark.read.parquet(path))
+        finally:
+            studies.staged = original
+        plans = written + [df._jdf.queryExecution().executedPlan().toString() for df in reports.values()]
+        scans = sum(plan.count(f"InMemoryFileIndex(1 paths)[file:{path}]") for plan in plans)
+        assert scans == 2
+
+
 def test_published_names_of_the_small_tables(frame):
     assert schemas.rates(frame("date string, `4391` double", ("2024-01-01", 0.9))).first().dt == dt.date(2024, 1, 1)
     assert schemas.closes(frame("index date, `BVSP.Close` double", (dt.date(2024, 1, 2), 9.0))).first().close == 9.0
