@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cotaflow.session import ship_package
 from cotaflow.sources.delimited import CP1252_PRINTABLE, LATIN1_CONTROLS
 from cotaflow.sources.files import locate
 
@@ -32,6 +33,7 @@ def zip_files(spark: SparkSession, folder: str, target: str) -> None:
 
     An archive gets its name only when complete, so a task that is run again does no harm.
     """
+    ship_package(spark)
     system, plain = locate(target)
     system.create_dir(plain, recursive=True)
     paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path")
@@ -51,3 +53,28 @@ def zip_files(spark: SparkSession, folder: str, target: str) -> None:
             yield batch
 
     paths.mapInArrow(pack, "path string").write.format("noop").mode("overwrite").save()
+
+
+def write_lines(lines: DataFrame, header: str, folder: str, blank_lines: int = 0) -> None:
+    """Text files of the column ``line``, each below ``blank_lines`` empty lines and a header."""
+    ship_package(lines.sparkSession)
+    system, plain = locate(folder)
+    system.create_dir(plain, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, goal = locate(folder)
+        name = f"{goal}/{uuid.uuid4().hex}"
+        rows = 0
+        with out.open_output_stream(f"{name}.part") as target:
+            target.write(b"\n" * blank_lines + header.encode() + b"\n")
+            for batch in batches:
+                for line in batch.column("line").to_pylist():
+                    target.write(line.encode() + b"\n")
+                    rows += 1
+        if rows:
+            out.move(f"{name}.part", f"{name}.csv")
+        else:
+            out.delete_file(f"{name}.part")
+        yield pa.record_batch([pa.array([rows])], ["rows"])
+
+    lines.mapInArrow(write, "rows long").write.format("noop").mode("overwrite").save()

@@ -39,6 +39,12 @@ ROLES = {
     "I": """SELECT CAST(l_shipdate AS DATE) AS dt, max(l_extendedprice) AS close FROM lineitem GROUP BY 1""",
     "T": """SELECT doc_id, text, [lang, source] AS categories, lang, source,
         DATE '2024-01-01' + CAST(doc_id % 730 AS INTEGER) AS dt FROM documents""",
+    # Class rows repeated: every third fund twice, every fourth with a second type.
+    "CR": """SELECT * FROM CO UNION ALL SELECT * FROM CO WHERE fund % 3 = 0
+        UNION ALL SELECT * REPLACE ('Outros' AS type) FROM CO WHERE fund % 4 = 0""",
+    # The studies' years lie 20 years later.
+    "SD": """SELECT * REPLACE (CAST(dt + INTERVAL 20 YEAR AS DATE) AS dt, year + 20 AS year) FROM DG""",
+    "SX": """SELECT fund, count(*) AS weight FROM XG WHERE policy IS NOT NULL GROUP BY fund""",
     # Fund-years of the dense reports, with type and compounded rate.
     "RY": """SELECT fund, year, (last(quota ORDER BY dt, k1, k2) / first(quota ORDER BY dt, k1, k2) - 1) * 100 AS ret
         FROM DL GROUP BY fund, year""",
@@ -73,6 +79,9 @@ NEEDS = {
     "DLG": ["DL"],
     "CO": ["C"],
     "XG": ["X"],
+    "CR": ["CO"],
+    "SD": ["DG"],
+    "SX": ["XG"],
     "RY": ["DL"],
     "RATE": ["M"],
     "RT": ["RY", "CL", "RATE"],
@@ -249,15 +258,15 @@ oracle(
         GROUP BY ALL)""",
 )
 COUNTS = "N AS (SELECT type, year, count(DISTINCT fund) AS n FROM D JOIN C USING (fund) GROUP BY type, year)"
-FULL = "F AS (SELECT type, min(n) AS fewest, count(*) AS years FROM N WHERE year <= 2000 GROUP BY type)"
-ALL_YEARS = "(SELECT count(DISTINCT year) FROM N WHERE year <= 2000)"
+FULL = "F AS (SELECT type, min(n) AS fewest, count(*) AS years FROM N GROUP BY type)"
+ALL_YEARS = "(SELECT count(DISTINCT year) FROM N)"
 ORACLES["type_year_counts_wide"] = (
     with_roles("D C", "")
     + f", {COUNTS} SELECT type, "
     + ", ".join(f'coalesce(sum(n) FILTER (WHERE year = {y}), 0)::BIGINT AS "{y}"' for y in range(1995, 2002))
     + " FROM N GROUP BY type"
 )
-for _name, _limit in (("qualified_types", 100), ("qualified_types_strict", 190)):
+for _name, _limit in (("qualified_types", 100), ("qualified_types_strict", 180)):
     ORACLES[_name] = (
         with_roles("D C", "")
         + f", {COUNTS}, {FULL} SELECT type, fewest, years FROM F WHERE years = {ALL_YEARS} AND fewest > {_limit}"
@@ -265,7 +274,7 @@ for _name, _limit in (("qualified_types", 100), ("qualified_types_strict", 190))
 ORACLES["qualified_lumped_counts"] = (
     with_roles("D C", "")
     + f""", {COUNTS}, {FULL}
-SELECT CASE WHEN type IN (SELECT type FROM F WHERE years = {ALL_YEARS} AND fewest > 190) THEN type ELSE 'Outros' END
+SELECT CASE WHEN type IN (SELECT type FROM F WHERE years = {ALL_YEARS} AND fewest > 180) THEN type ELSE 'Outros' END
     AS type, count(*) AS n FROM C GROUP BY 1"""
 )
 
@@ -431,6 +440,83 @@ oracle(
     WHERE change IS NOT NULL""",
 )
 
+oracle(
+    "balance_repeated_classes",
+    "CLOSING CR",
+    """SELECT year, type, round(sum(balance), 11) AS balance, max(dt) AS dt FROM (
+        SELECT *, row_number() OVER (PARTITION BY year, fund, type) AS rn FROM CLOSING JOIN CR USING (fund))
+    WHERE rn = 1 GROUP BY year, type""",
+)
+oracle(
+    "reconciliation_repeated_classes",
+    "CLOSING CR",
+    """SELECT CAST(year AS VARCHAR) AS year, dt, round(balance, 11) AS balance, round(net, 11) AS net,
+        round(change, 11) AS change, round(change - net, 11) AS implied_return
+    FROM (SELECT *, balance - lag(balance) OVER (ORDER BY year) AS change FROM (
+        SELECT year, sum(balance) AS balance, max(dt) AS dt FROM (
+            SELECT *, row_number() OVER (PARTITION BY year, fund, type) AS rn FROM CLOSING JOIN CR USING (fund))
+        WHERE rn = 1 GROUP BY year)
+        LEFT JOIN (SELECT year, sum(inflow - outflow) / 1e9 AS net FROM D JOIN CR USING (fund) GROUP BY year)
+        USING (year))
+    WHERE change IS NOT NULL""",
+)
+oracle(
+    "returns_repeated_classes",
+    "D CR RATE",
+    """SELECT fund, year, round(ret, 6) AS ret, type, round(benchmark, 6) AS benchmark FROM (
+        SELECT fund, year, (last(quota ORDER BY dt, seq) / first(quota ORDER BY dt, seq) - 1) * 100 AS ret
+        FROM D GROUP BY fund, year)
+    JOIN (SELECT *, row_number() OVER (PARTITION BY fund, type) AS rn FROM CR) USING (fund)
+    LEFT JOIN RATE USING (year) WHERE rn = 1""",
+)
+oracle(
+    "study_fixed_income",
+    "SD C SX",
+    """SELECT CAST(date_trunc('quarter', dt) AS DATE) AS quarter, CASE type WHEN 'AUTOMOBILE' THEN 'Renda Fixa Simples'
+        WHEN 'BUILDING' THEN 'Renda Fixa Indexados' ELSE 'Outros' END AS type,
+        round(CASE WHEN count(inflow) = count(*) THEN sum(inflow * weight) END / 1e9, 11) AS inflow,
+        round(-sum(outflow * weight) / 1e9, 11) AS outflow,
+        round(CASE WHEN count(inflow) = count(*) THEN sum(inflow * weight) / 1e9 - sum(outflow * weight) / 1e9 END, 11)
+            AS net
+    FROM SD JOIN C USING (fund) JOIN SX USING (fund) WHERE category = 'AMERICA' GROUP BY 1, 2""",
+)
+oracle(
+    "study_multimarket",
+    "SD C SX RATE",
+    """, Y AS (SELECT fund, year, (last(quota ORDER BY dt, seq) / first(quota ORDER BY dt, seq) - 1) * 100 AS ret
+        FROM SD GROUP BY fund, year),
+    R AS (SELECT fund, Y.year, ret, CASE type WHEN 'AUTOMOBILE' THEN 'Multimercados Livre' ELSE 'Multimercados Macro' END
+        AS type, benchmark, type IN ('AUTOMOBILE', 'BUILDING') AS wanted FROM Y JOIN C USING (fund) JOIN SX USING (fund)
+        LEFT JOIN RATE ON RATE.year + 20 = Y.year WHERE category = 'ASIA'),
+    OUTS AS (SELECT DISTINCT fund FROM R WHERE ret > 200 OR ret < -200)
+    SELECT type, year, round(benchmark, 6) AS benchmark,
+        CAST(dense_rank() OVER (ORDER BY year) AS INTEGER) AS position, count(x) AS n,
+        round(quantile_cont(x, 0.25), 6) AS q1, round(quantile_cont(x, 0.5), 6) AS median,
+        round(quantile_cont(x, 0.75), 6) AS q3
+    FROM (SELECT *, CASE WHEN fund NOT IN (SELECT fund FROM OUTS) THEN ret END AS x FROM R WHERE wanted)
+    GROUP BY type, year, benchmark""",
+)
+oracle(
+    "study_equity",
+    "SD C SX",
+    f"""SELECT {QUARTER_LABEL} AS quarter, CASE type WHEN 'AUTOMOBILE' THEN 'Ações Dividendos'
+        WHEN 'BUILDING' THEN 'Ações Livre' ELSE type END AS type, round(sum(balance * weight) / 1e9, 11) AS custody
+    FROM SD JOIN C USING (fund) JOIN SX USING (fund) WHERE category = 'EUROPE' GROUP BY 1, 2""",
+)
+oracle(
+    "study_multimarket_flows",
+    "SD C",
+    """, K AS (SELECT fund FROM C WHERE category = 'ASIA' AND structure = 'Classe'),
+    Z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fund, year ORDER BY dt DESC, seq DESC) AS rn FROM SD)
+        WHERE rn = 1)
+    SELECT CAST(year AS VARCHAR) AS year, dt, round(balance, 11) AS balance, round(net, 11) AS net,
+        round(change, 11) AS change, round(change - net, 11) AS implied_return
+    FROM (SELECT *, balance - lag(balance) OVER (ORDER BY year) AS change FROM (
+        SELECT year, sum(balance) / 1e9 AS balance, max(dt) AS dt FROM Z JOIN K USING (fund) GROUP BY year)
+        LEFT JOIN (SELECT year, coalesce(sum(inflow - outflow), 0) / 1e9 AS net FROM SD JOIN K USING (fund) GROUP BY year)
+        USING (year))
+    WHERE change IS NOT NULL""",
+)
 oracle("annual_return", "RY", "SELECT fund, year, round(ret, 6) AS ret FROM RY")
 oracle(
     "annual_return_missing",
@@ -526,12 +612,12 @@ oracle(
     "KEPT",
     """SELECT type, year, CAST(point AS INTEGER) AS point, round(x, 6) AS at, round(h, 6) AS bandwidth,
         round(sum(exp(-0.5 * pow((x - ret) / h, 2))) / (n * h * sqrt(2 * pi())), 10) AS density
-    FROM (SELECT type, year, ret, n, h, point, low + point * (high - low) / 15 AS x
+    FROM (SELECT type, year, ret, n, h, point, low + point * (high - low) / 511 AS x
         FROM KEPT JOIN (SELECT type, year, count(*) AS n, min(ret) AS low, max(ret) AS high,
             0.9 * coalesce(
                 nullif(least(stddev_samp(ret), (quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25)) / 1.34), 0),
                 nullif(stddev_samp(ret), 0), nullif(abs(min(ret)), 0), 1) * pow(count(*), -0.2) AS h
-            FROM KEPT GROUP BY type, year HAVING count(*) >= 2) USING (type, year), range(16) AS g(point))
+            FROM KEPT GROUP BY type, year HAVING count(*) >= 2) USING (type, year), range(512) AS g(point))
     GROUP BY type, year, point, x, h, n""",
 )
 oracle(
@@ -579,7 +665,8 @@ for _name in ("csv_two_vintages", "zip_ingest", "ingest_consolidated"):
             round(sum(outflow), 2) AS outflow FROM D GROUP BY 1, 2""",
     )
 ORACLES["csv_codepage_roundtrip"] = """SELECT doc_id, lang, length(x) AS length, md5(x) AS digest FROM (
-    SELECT doc_id, lang, trim(trim(regexp_replace(text, '[^0-9A-Za-zÀ-ÿ ]', ' ', 'g')) || ' €–”') AS x FROM documents)"""
+    SELECT doc_id, lang, trim(trim(regexp_replace(text,
+        '[^ -:<-~\\x{A0}-\\x{FF}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]', ' ', 'g')) || ' €–”') AS x FROM documents)"""
 oracle(
     "table_write_modes",
     "D",
@@ -587,6 +674,43 @@ oracle(
         TRUE AS refused FROM D GROUP BY year""",
 )
 
+oracle(
+    "table_overwrite",
+    "D",
+    "SELECT year, count(*) AS n, round(sum(outflow), 2) AS outflow FROM D WHERE status = 'F' GROUP BY year",
+)
+oracle(
+    "restate_month",
+    "D",
+    """SELECT CAST(date_trunc('month', dt) AS DATE) AS month, count(*) AS n,
+        round(sum(CASE WHEN year = 1997 AND month(dt) = 3 THEN inflow * 2 ELSE inflow END), 2) AS inflow,
+        round(sum(outflow), 2) AS outflow, TRUE AS refused FROM D GROUP BY 1""",
+)
+ORACLES["ingest_problems"] = (
+    "WITH D AS ("
+    + ROLES["D"]
+    + """), P AS (SELECT *, dt < DATE '1998-01-01' AS archived, lpad(CAST(fund AS VARCHAR), 14, '0') AS id,
+        CAST(CAST(floor(quota) AS BIGINT) AS VARCHAR) || CASE WHEN day(dt) = 3 THEN ',5' ELSE '' END AS q,
+        CAST(CAST(floor(outflow) AS BIGINT) AS VARCHAR) || CASE WHEN day(dt) = 4 THEN ';1;2' ELSE '' END AS o
+        FROM D), L AS (SELECT *, CASE WHEN archived THEN '' ELSE 'CLASSES - FIF;' END || """
+    + "substr(id, 1, 2) || '.' || substr(id, 3, 3) || '.' || substr(id, 6, 3) || '/' || substr(id, 9, 4) || '-' || substr(id, 13, 2)"
+    + """ || ';' || dt || ';' || q || ';' || CAST(CAST(floor(balance) AS BIGINT) AS VARCHAR) || ';' || CAST(CAST(floor(inflow) AS BIGINT) AS VARCHAR) || ';' || o AS line FROM P)
+SELECT line, archived, count(*) AS n, 0 AS quotas FROM L WHERE day(dt) IN (3, 4) GROUP BY 1, 2
+UNION ALL SELECT 'rows kept', FALSE, count(*), count(*) FILTER (WHERE day(dt) <> 3) FROM L WHERE NOT archived"""
+)
+
+PUBLISHED_CLASSES = """SELECT lpad(CAST(fund AS VARCHAR), 14, '0') AS fund, category, type, investor, feature, structure,
+    CAST(fund * 100 AS VARCHAR) AS minimum_deposit, CAST(NULL AS VARCHAR) AS name FROM C"""
+oracle("classes_published", "C", PUBLISHED_CLASSES)
+oracle(
+    "snapshots_published",
+    "X",
+    """SELECT dt, lpad(CAST(fund AS VARCHAR), 14, '0') AS fund, policy, mirror, feeder, entry_fee, perf_fee, exit_fee,
+        CAST(NULL AS VARCHAR) AS audience, count(*) AS n FROM X GROUP BY ALL""",
+)
+oracle("rates_published", "RATE", "SELECT year, round(benchmark, 6) AS benchmark FROM RATE")
+oracle("closes_published", "INDEXED", "SELECT year, round(benchmark, 6) AS benchmark FROM INDEXED")
+
 ORACLES["job_table"] = """SELECT o_orderpriority AS institution, o_orderkey AS entry,
     CASE WHEN o_orderstatus = 'O' THEN 'Atual' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "end"
 FROM orders WHERE o_totalprice > 200000 AND o_orderpriority <> '4-NOT SPECIFIED'"""

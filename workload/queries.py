@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cotaflow.functions import labels, missing, periods, report, text
 from cotaflow.operators import distribution, joins, reshape, totals
-from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns
+from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns, studies
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
 from cotaflow.sources.scratch import scratch_path, staged
 from workload import landing, tables as t
@@ -239,23 +239,27 @@ def type_year_counts_wide(spark, sf):
     return profile.type_year_counts_wide(t.daily(spark, sf), t.classes(spark, sf), *YEARS)
 
 
-def _full_years(spark, sf):
-    return profile.type_year_counts(t.daily(spark, sf), t.classes(spark, sf), 1995, 2000)
+def _type_years(spark, sf):
+    return profile.type_year_counts(t.daily(spark, sf), t.classes(spark, sf), *YEARS)
+
+
+# Of the five types of the test tables at scale 0.01, all have this many funds in every year, or two have.
+COMMON_TYPE, LARGE_TYPE = 100, 180
 
 
 @query
 def qualified_types(spark, sf):
-    return profile.qualified_types(_full_years(spark, sf), more_than=100)
+    return profile.qualified_types(_type_years(spark, sf), more_than=COMMON_TYPE)
 
 
 @query
 def qualified_types_strict(spark, sf):
-    return profile.qualified_types(_full_years(spark, sf), more_than=190)
+    return profile.qualified_types(_type_years(spark, sf), more_than=LARGE_TYPE)
 
 
 @query
 def qualified_lumped_counts(spark, sf):
-    qualified = staged(profile.qualified_types(_full_years(spark, sf), more_than=190), "qualified")
+    qualified = staged(profile.qualified_types(_type_years(spark, sf), more_than=LARGE_TYPE), "qualified")
     lumped = profile.lump_unqualified(t.classes(spark, sf), qualified)
     return lumped.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -342,7 +346,7 @@ def annual_flow_wide_type(spark, sf):
 @query
 def annual_flow_wide_year(spark, sf):
     lumped = profile.lump_types(t.classes(spark, sf), t.OPEN_TYPES)
-    table = flows.annual_net_by_year_wide(t.daily(spark, sf), lumped, 1995, 2003)
+    table = flows.annual_net_by_year_wide(t.daily(spark, sf), lumped, 1995, 2003)  # more years than there are
     return rounded(table, CENTS_OF_BILLIONS, *reshape.numeric_columns(table))
 
 
@@ -352,7 +356,7 @@ def wide_keeps_missing(spark, sf):
     rows = _daily_with_gaps(spark, sf).withColumn("year", F.year("dt"))
     yearly = rows.where(F.col("status") != "F").groupBy("fund", "year").agg(F.max("inflow").alias("inflow"))
     columns = {f"y{y}": y for y in range(t.FIRST, t.LAST + 1)}
-    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", columns, fill=0.0), 2)
+    return rounded(reshape.wide(yearly, ["fund"], "year", "inflow", columns, fill=0.0, others=True), 2)
 
 
 @query
@@ -425,6 +429,26 @@ def balance_reconciliation(spark, sf):
     return rounded(balances.reconciliation(_fund_years(spark, sf), t.classes(spark, sf)), CENTS_OF_BILLIONS)
 
 
+def _repeated_classes(spark, sf):
+    """Every third fund has its class row twice, every fourth a second type that is folded into the rest."""
+    rows = t.classes(spark, sf)
+    twice = rows.where(F.col("fund") % 3 == 0)
+    other = rows.where(F.col("fund") % 4 == 0).withColumn("type", F.lit("FURNITURE"))
+    return profile.lump_types(rows.unionByName(twice).unionByName(other), t.OPEN_TYPES)
+
+
+@query
+def balance_repeated_classes(spark, sf):
+    found = balances.year_end_balance(_fund_years(spark, sf), _repeated_classes(spark, sf))
+    return rounded(found, CENTS_OF_BILLIONS)
+
+
+@query
+def reconciliation_repeated_classes(spark, sf):
+    found = balances.reconciliation(_fund_years(spark, sf), _repeated_classes(spark, sf))
+    return rounded(found, CENTS_OF_BILLIONS)
+
+
 # Returns
 
 
@@ -452,6 +476,14 @@ def annual_return_nonnull(spark, sf):
     return rounded(returns.plausible(found), 6)
 
 
+@query
+def returns_repeated_classes(spark, sf):
+    moment = periods.dated_sequence(F.col("dt"), F.col("seq"))
+    found = returns.annual_return(t.daily(spark, sf).withColumn("moment", moment), *YEARS, ["moment"])
+    benchmark = returns.rate_by_year(t.rates(spark, sf), *YEARS, strict=True)
+    return rounded(returns.with_type_and_benchmark(found, _repeated_classes(spark, sf), benchmark), 6)
+
+
 @query
 def rate_compound(spark, sf):
     return rounded(returns.rate_by_year(t.rates(spark, sf), *YEARS, strict=True), 6)
@@ -546,7 +578,7 @@ def return_boxplot(spark, sf):
 @query
 def return_density(spark, sf):
     kept = staged(_kept(spark, sf).select("type", "year", "ret"), "kept")
-    curve = distribution.density_curve(kept, distributions.FACET, "ret", points=16)
+    curve = distribution.density_curve(kept, distributions.FACET, "ret")
     return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
 
 
@@ -645,9 +677,34 @@ def ingest_consolidated(spark, sf):
     return _per_year(spark.read.parquet(f"{folder}/daily"))
 
 
+@query
+def ingest_problems(spark, sf):
+    """Text files that begin with blank lines, and archives, with numbers and rows that can't be read: their lines."""
+    folder = scratch_path(spark, "problems")
+    old, new = t.vintages(t.raw_daily(spark, sf))
+    odd = F.when(F.dayofmonth("DT_COMPTC") == 3, F.concat(F.floor("VL_QUOTA"), F.lit(",5"))).otherwise(F.floor("VL_QUOTA").cast("string"))
+    surplus = F.when(F.dayofmonth("DT_COMPTC") == 4, ";1;2").otherwise("")
+    for number, part in enumerate((old, new)):
+        whole = {c: F.floor(c).cast("string") for c in ("VL_PATRIM_LIQ", "CAPTC_DIA")}
+        part = part.withColumns({**whole, "VL_QUOTA": odd, "RESG_DIA": F.concat(F.floor("RESG_DIA").cast("string"), surplus)})
+        lines = part.select(F.concat_ws(";", *[F.col(c).cast("string") for c in part.columns]).alias("line"))
+        landing.write_lines(lines, ";".join(part.columns), f"{folder}/csv/{number}", blank_lines=2)
+    landing.zip_files(spark, f"{folder}/csv/0", f"{folder}/landed")
+    found = [
+        ingest.problem_lines(spark, f"{folder}/landed", files=None).withColumn("archived", F.lit(True)),
+        ingest.problem_lines(spark, f"{folder}/csv/1", archives=None).withColumn("archived", F.lit(False)),
+    ]
+    kept = ingest.landed_reports(spark, f"{folder}/csv/1", archives=None).agg(
+        F.lit("rows kept").alias("line"), F.count("*").alias("n"), F.count("quota").alias("quotas")
+    )
+    lines = found[0].union(found[1]).groupBy("line", "archived").agg(F.count("*").alias("n"), F.lit(0).cast("bigint").alias("quotas"))
+    return lines.unionByName(kept.withColumn("archived", F.lit(False)))
+
+
 @query
 def csv_codepage_roundtrip(spark, sf):
-    plain = F.trim(F.regexp_replace("text", "[^0-9A-Za-zÀ-ÿ ]", " "))
+    """Every character that the code page and the separated format can hold goes there and back."""
+    plain = F.trim(F.regexp_replace("text", f"[^ -:<-~\u00a0-\u00ff{delimited.CP1252_PRINTABLE}]", " "))
     coded = t.table(spark, sf, "documents").select("doc_id", "lang", F.concat(plain, F.lit(" €–”")).alias("text"))
     folder = scratch_path(spark, "codepage")
     landing.write_cp1252(coded, f"{folder}/csv")
@@ -669,11 +726,109 @@ def table_write_modes(spark, sf):
     except AnalysisException:
         refused = True
     restated = rows.where(F.col("year") == t.LAST).withColumn("inflow", F.col("inflow") * 2)
-    store.write_table(restated, folder, "restate", "year")
+    store.write_table(restated, folder, "restate", "year", covers=["dt"])
     back = spark.read.parquet(folder).groupBy("year").agg(F.count("*").alias("n"), F.sum("inflow").alias("inflow"))
     return rounded(back, 2).withColumn("refused", F.lit(refused))
 
 
+@query
+def table_overwrite(spark, sf):
+    """A full overwrite: what the table held before is gone."""
+    folder = scratch_path(spark, "overwrite")
+    rows = t.daily(spark, sf).withColumn("year", F.year("dt"))
+    store.write_table(rows, folder, "create", "year")
+    store.write_table(rows.where(F.col("status") == "F"), folder, "replace", "year")
+    back = spark.read.parquet(folder).groupBy("year").agg(F.count("*").alias("n"), F.sum("outflow").alias("outflow"))
+    return rounded(back, 2)
+
+
+@query
+def restate_month(spark, sf):
+    """All daily rows consolidated; one month published again with doubled inflow; a part of a month refused."""
+    folder = scratch_path(spark, "restate")
+    rows = t.daily(spark, sf)
+    ingest.consolidate(rows, folder)
+    month = rows.where(periods.in_years(F.col("dt"), 1997, 1997) & (F.month("dt") == 3))
+    ingest.consolidate(month.withColumn("inflow", F.col("inflow") * 2), folder, "restate")
+    try:
+        ingest.consolidate(month.where(F.dayofmonth("dt") > 9), folder, "restate")
+        refused = False
+    except ValueError:
+        refused = True
+    back = spark.read.parquet(folder)
+    sums = [F.count("*").alias("n"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow")]
+    found = back.groupBy(F.trunc("dt", "MM").alias("month")).agg(*sums)
+    return rounded(found, 2).withColumn("refused", F.lit(refused))
+
+
+def _published(spark, sf, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``rows`` in library names, written under the published names in a text file and read back from it."""
+    folder = scratch_path(spark, "published")
+    absent = {short: F.lit(None).cast("string") for short in columns.values() if short not in rows.columns}
+    rows = rows.withColumns(absent)
+    landing.write_csv(rows.select(*[F.col(short).alias(name) for name, short in columns.items()]), folder)
+    return delimited.read_delimited(spark, folder, {})
+
+
+@query
+def classes_published(spark, sf):
+    rows = t.classes_by_text_id(spark, sf).withColumn("minimum_deposit", F.col("fund").cast("bigint") * 100)
+    found = schemas.classes(_published(spark, sf, rows, schemas.CLASS_COLUMNS))
+    return found.select("fund", "category", "type", "investor", "feature", "structure", "minimum_deposit", "name")
+
+
+@query
+def snapshots_published(spark, sf):
+    rows = t.snapshots(spark, sf).withColumn("fund", t.punctuated_id(F.col("fund")))
+    found = schemas.snapshots(_published(spark, sf, rows, schemas.SNAPSHOT_COLUMNS))
+    by = ["dt", "fund", "policy", "mirror", "feeder", "entry_fee", "perf_fee", "exit_fee", "audience"]
+    return found.groupBy(*by).agg(F.count("*").alias("n"))
+
+
+@query
+def rates_published(spark, sf):
+    raw = _published(spark, sf, t.rates(spark, sf), schemas.RATE_COLUMNS)
+    rates = schemas.rates(raw.withColumn("4391", F.col("4391").cast("double")))
+    return rounded(returns.rate_by_year(rates, *YEARS, strict=True), 6)
+
+
+@query
+def closes_published(spark, sf):
+    raw = _published(spark, sf, t.closes(spark, sf), schemas.CLOSE_COLUMNS)
+    closes = schemas.closes(raw.withColumn("BVSP.Close", F.col("`BVSP.Close`").cast("double")))
+    return rounded(returns.index_by_year(closes, *YEARS, BAD_CLOSE), 6)
+
+
+# The published studies on the test tables, a key report of each
+
+
+@query
+def study_fixed_income(spark, sf):
+    reports = studies.fixed_income(*t.study_tables(spark, sf, "AMERICA", "Renda Fixa"), ("dt", "seq"))
+    return rounded(reports["flow_by_type"], CENTS_OF_BILLIONS)
+
+
+@query
+def study_multimarket(spark, sf):
+    tables = t.study_tables(spark, sf, "ASIA", "Multimercados")
+    reports = studies.multimarket(*tables, ("dt", "seq"), studies.EARLIER_MULTIMARKET_LIMIT)
+    return rounded(reports["return_quartiles_1"], 6)
+
+
+@query
+def study_equity(spark, sf):
+    daily, classes, snapshots, _ = t.study_tables(spark, sf, "EUROPE", "Ações")
+    closes = t.closes(spark, sf).withColumn("dt", t.later(F.col("dt")))
+    reports = studies.equity(daily, classes, snapshots, closes, ("dt", "seq"))
+    return rounded(reports["custody_by_type"], CENTS_OF_BILLIONS)
+
+
+@query
+def study_multimarket_flows(spark, sf):
+    daily, classes, _, rates = t.study_tables(spark, sf, "ASIA", "Multimercados")
+    return rounded(studies.multimarket_flows(daily, classes, rates, ("dt", "seq"))["reconciliation"], CENTS_OF_BILLIONS)
+
+
 # The site's own tables
 
 

@@ -6,12 +6,9 @@ customers' market segments and regions the classification.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotaflow.operators.joins import checked_broadcast
 
 FIRST, LAST = 1995, 2001
 QUARTERS = (FIRST, 1), (LAST, 4)
@@ -36,16 +33,10 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
 }
 
-# A table is defined once per session and folder, like a name in a catalog; nothing of it is kept in memory.
-defined_once = lru_cache(maxsize=64)
-
-
-@defined_once
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-@defined_once
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     finished = F.col("o_orderstatus") == "F"
     price = F.col("o_totalprice")
@@ -64,7 +55,6 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE_ORDER = ["dt", "k1", "k2"]
 
 
-@defined_once
 def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("fund"),
@@ -76,18 +66,16 @@ def dense_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@defined_once
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey"))
     return nation.join(table(spark, sf_dir, "region"), "r_regionkey")
 
 
-@defined_once
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
     balance = F.col("c_acctbal")
     turn = F.col("c_custkey") % 3
-    return customer.join(checked_broadcast(_regions(spark, sf_dir)), "n_nationkey").select(
+    return customer.join(_regions(spark, sf_dir), "n_nationkey").select(
         F.col("c_custkey").alias("fund"),
         F.col("r_name").alias("category"),
         F.col("c_mktsegment").alias("type"),
@@ -97,15 +85,13 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@defined_once
 def dense_classes(spark: SparkSession, sf_dir: str, by_nation: bool = False) -> DataFrame:
     supplier = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
-    return supplier.join(checked_broadcast(_regions(spark, sf_dir)), "n_nationkey").select(
+    return supplier.join(_regions(spark, sf_dir), "n_nationkey").select(
         F.col("s_suppkey").alias("fund"), F.col("n_name" if by_nation else "r_name").alias("type")
     )
 
 
-@defined_once
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     status, key = F.col("o_orderstatus"), F.col("o_orderkey")
 
@@ -130,7 +116,6 @@ def snapshots_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots(spark, sf_dir).withColumn("policy", F.nullif(F.col("policy"), F.lit("5-LOW")))
 
 
-@defined_once
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     month = F.trunc(F.col("l_shipdate").cast("date"), "MM").cast("date")
     return (
@@ -138,13 +123,11 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@defined_once
 def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date").alias("dt")
     return table(spark, sf_dir, "lineitem").groupBy(day).agg(F.max("l_extendedprice").alias("close"))
 
 
-@defined_once
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as posts; the date follows from the id."""
     return table(spark, sf_dir, "documents").select(
@@ -190,3 +173,30 @@ def vintages(raw: DataFrame) -> list[DataFrame]:
     old = raw.where(F.col("CNPJ_FUNDO").isNotNull()).select("CNPJ_FUNDO", *values)
     new = raw.where(F.col("CNPJ_FUNDO").isNull()).select("TP_FUNDO_CLASSE", "CNPJ_FUNDO_CLASSE", *values)
     return [old, new]
+
+
+# The studies look at years after 2010, and at categories and types by name.
+STUDY_YEARS = 20
+STUDY_TYPES = {
+    "Renda Fixa": ["Renda Fixa Simples", "Renda Fixa Indexados"],
+    "Multimercados": ["Multimercados Livre", "Multimercados Macro"],
+    "Ações": ["Ações Dividendos", "Ações Livre"],
+}
+
+
+def later(d: Column) -> Column:
+    return F.add_months(d, 12 * STUDY_YEARS)
+
+
+def study_tables(spark: SparkSession, sf_dir: str, region: str, category: str) -> tuple[DataFrame, ...]:
+    """Daily rows with gaps, classes, snapshots with gaps and rates as a study of ``category`` expects them."""
+    rows = daily(spark, sf_dir).withColumn("inflow", F.when(F.col("status") != "P", F.col("inflow"))).drop("status")
+    rows = rows.withColumns({"fund": padded_id(F.col("fund")), "dt": later(F.col("dt"))})
+    first, second = STUDY_TYPES[category]
+    kind = F.col("type")
+    kind = F.when(kind == "AUTOMOBILE", first).when(kind == "BUILDING", second).otherwise(kind)
+    known = classes_by_text_id(spark, sf_dir).where(F.col("category") == region)
+    known = known.withColumns({"category": F.lit(category), "type": kind})
+    seen = snapshots_with_gaps(spark, sf_dir)
+    seen = seen.withColumns({"fund": padded_id(F.col("fund")), "dt": later(F.col("dt"))})
+    return rows, known, seen, rates(spark, sf_dir).withColumn("dt", later(F.col("dt")))
