@@ -6,12 +6,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from cotaflow.session import local_session
+from cotaflow.sources.scratch import release
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "tests", "4g")
     yield session
+    release(session)
     session.stop()
 
 
