@@ -239,7 +239,7 @@ def _learn(learn: DataFrame, n_toxic: int, n_clean: int, entries: int, exception
 
 
 def _curve(tune: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """Logistic coefficients by Newton steps over a third of the sample, with a weak pull to 0."""
+    """Logistic coefficients over a third of the sample, with a weak pull to 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -251,18 +251,33 @@ def _curve(tune: DataFrame, lexicon: Lexicon) -> np.ndarray:
     rows = tune.select("label", "text").mapInArrow(run, "label int, f0 double, f1 double, f2 double, f3 double")
     # Equal rows are counted together; there are no more than the sample has.
     rows = rows.groupBy("label", "f0", "f1", "f2", "f3").count().orderBy("label", "f0", "f1", "f2", "f3").collect()
-    coefficients = np.zeros(4)
     if not rows:
-        return coefficients
-    y, x, n = np.array([r[0] for r in rows]), np.array([r[1:5] for r in rows]), np.array([r[5] for r in rows], float)
-    pull = np.diag([1e-3, 1e-2, 1e-2, 1e-2])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -30, 30)))
-        gradient = x.T @ (n * (y - p)) - pull @ coefficients
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + pull, gradient)
-        coefficients = coefficients + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-9:
+        return np.zeros(4)
+    return logistic(np.array([r[1:5] for r in rows]), np.array([r[0] for r in rows]), np.array([r[5] for r in rows], float))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Coefficients of the weighted logistic curve by Newton steps, each halved until it gains.
+
+    The pull to 0 keeps them finite where the labels can be told apart without error.
+    """
+    pull = np.array([1e-3, *[0.1] * (x.shape[1] - 1)])
+
+    def gain(c: np.ndarray) -> float:
+        z = x @ c
+        return float((n * (y * z - np.logaddexp(0, z))).sum() - (pull * c * c).sum() / 2)
+
+    coefficients = np.zeros(x.shape[1])
+    best = gain(coefficients)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ coefficients, -500, 500)))
+        gradient = x.T @ (n * (y - p)) - pull * coefficients
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(pull), gradient)
+        while (found := gain(coefficients + step)) < best and np.abs(step).max() > 1e-12:
+            step /= 2
+        if found - best < 1e-10:
             break
+        coefficients, best = coefficients + step, found
     return coefficients
 
 
