@@ -36,8 +36,8 @@ CHUNKS, CHUNK_SYMBOLS = 12, 5
 GUARANTEED = CHUNKS * 2 - 1
 #: Of all symbols; 5.5 standard deviations above the mean at a similarity of 0.75.
 MOST_DIFFERENT = 59
-#: Bits of the map of a set's elements outside its hub.
-EXTRA_BITS = 2048
+#: Bits of the maps of what a set has beyond its hub, and lacks of it.
+MAP_BITS = 2048
 _MULTIPLIERS = np.random.default_rng(75).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -222,10 +222,10 @@ def _links(texts: DataFrame, classes: DataFrame, stage: Staging) -> DataFrame:
     placed = members.join(together, "class", "left").withColumn("component", F.coalesce("component", "class"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     split_keys = stage(apart.where("low <> high").select("key"), "split-keys")
-    known = tried.select(F.col("a").alias("class"), F.col("b").alias("hub"), "common", "extra")
+    known = tried.select(F.col("a").alias("class"), F.col("b").alias("hub"), "common", "n_hub", "extra", "lacks")
     signs = classes.select("class", "n", "signature").join(known, "class", "left")
     placed = stage(placed.join(split_keys, "key", "left_semi").join(signs, "class"), "placed")
-    columns = ("class", "component", "n", "hub", "common", "extra", "signature")
+    columns = ("class", "component", "n", "hub", "common", "n_hub", "extra", "lacks", "signature")
     a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
     near = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b"))
     near &= _similar_size("n_a", "n_b") & _not_excluded() & (_distance("signature_a", "signature_b") <= MOST_DIFFERENT)
@@ -238,18 +238,27 @@ def _linked(common: str, n_a: str, n_b: str) -> Column:
     return F.col(common) * 100 >= (F.col(n_a) + F.col(n_b) - F.col(common)) * 75
 
 
+def _in_common(a: str, b: str, size_a: Column) -> Column:
+    """At most so many elements two sets share, by their maps of bits.
+
+    Shared elements have shared bits, and no more of them can hide behind one bit than a set has elements
+    beyond its bits.
+    """
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+    own = F.aggregate(a, F.lit(0), lambda t, x: t + F.bit_count(x))
+    return both + (size_a - own)
+
+
 def _not_excluded() -> Column:
     """False where two classes were compared, or where their comparisons with one hub rule a link out.
 
-    What two sets share lies in the hub, which bounds it by the smaller overlap with the hub, or outside, where
-    each keeps a map of bits of its elements: shared ones have shared bits, and no more of them can hide behind
-    one bit than a set has elements beyond its bits.
+    What two sets share lies in the hub, where it is what both overlaps leave after the elements that each lacks,
+    or outside.  Maps of what each lacks and of what each has beyond the hub bound both parts.
     """
     compared = F.col("hub_a").eqNullSafe(F.col("class_b")) | F.col("hub_b").eqNullSafe(F.col("class_a"))
-    count = F.aggregate(F.zip_with("extra_a", "extra_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
-    bits = F.aggregate("extra_a", F.lit(0), lambda t, x: t + F.bit_count(x))
-    outside = count + (F.col("n_a") - F.col("common_a") - bits)
-    shared = F.least("common_a", "common_b") + outside
+    lacked = _in_common("lacks_a", "lacks_b", F.col("n_hub_a") - F.col("common_a"))
+    inside = F.least(F.col("common_a"), F.col("common_b"), F.col("common_a") + F.col("common_b") - F.col("n_hub_a") + lacked)
+    shared = inside + _in_common("extra_a", "extra_b", F.col("n_a") - F.col("common_a"))
     possible = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * 75
     return ~compared & F.when(F.col("hub_a") == F.col("hub_b"), possible).otherwise(True)
 
@@ -268,12 +277,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = [(c.flatten().to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b"))]
         (left, ends), (right, hub_ends) = lists
         ends, hub_ends = ends - ends[0], hub_ends - hub_ends[0]
-        common, maps = [], np.zeros((batch.num_rows, EXTRA_BITS), bool)
+        common = []
+        extra, lacks = np.zeros((2, batch.num_rows, MAP_BITS), bool)
         for i in range(batch.num_rows):
             own, hub = left[ends[i] : ends[i + 1]], right[hub_ends[i] : hub_ends[i + 1]]
             inside = hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own
+            outside = own[np.minimum(np.searchsorted(own, hub), len(own) - 1)] != hub
             common.append(int(inside.sum()))
-            maps[i, (own[~inside] % np.uint64(EXTRA_BITS)).astype(np.int64)] = True
+            extra[i, (own[~inside] % np.uint64(MAP_BITS)).astype(np.int64)] = True
+            lacks[i, (hub[outside] % np.uint64(MAP_BITS)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("a"),
@@ -281,15 +293,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(common, pa.int64()),
                 pa.array(np.diff(ends), pa.int64()),
                 pa.array(np.diff(hub_ends), pa.int64()),
-                _lists(np.packbits(maps, axis=1).view(np.int64)),
+                *(_lists(np.packbits(maps, axis=1).view(np.int64)) for maps in (extra, lacks)),
             ],
-            names=["a", "b", "common", "n", "n_hub", "extra"],
+            names=["a", "b", "common", "n", "n_hub", "extra", "lacks"],
         )
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with what their full sets have in common, their sizes, and a map of the elements of a outside b."""
+    """Pairs with what their full sets have in common, their sizes, and maps of what only a has and what only b has."""
     for side in "ab":
         pairs = pairs.join(sets.toDF(side, f"set_{side}"), side)
-    schema = "a long, b long, common long, n long, n_hub long, extra array<bigint>"
+    schema = "a long, b long, common long, n long, n_hub long, extra array<bigint>, lacks array<bigint>"
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, schema)
