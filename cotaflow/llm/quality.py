@@ -2,7 +2,7 @@
 
 Twenty statistics of a text, transformed towards normal shape, are taken in numpy over whole batches.  Each
 class has a mean and a covariance, shrunk towards its diagonal and towards the pooled one; they come from sums
-that Spark adds up over the labelled rows.  The score is the logistic of the difference of log-densities, each
+that Spark adds up over all labelled rows.  The score is the logistic of the difference of log-densities, each
 from a Mahalanobis distance through the Cholesky factor of its class, which is computed once and sent to the
 tasks: some kilobytes, whatever the data.
 """
@@ -114,10 +114,21 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in flat.slices(batches, "text"):
         x = statistics(batch.column("text"))
+        bounds = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(bounds, pa.array(x.ravel()))], names=["doc_id", "statistics"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, len(STATISTICS))
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros((2, len(STATISTICS) + 1, len(STATISTICS) + 1))
+    for batch in batches:
+        x = _matrix(batch.column("statistics"))
         x = np.hstack((np.ones((len(x), 1)), x))
         label = batch.column("label").to_numpy(zero_copy_only=False)
         for k in (0, 1):
@@ -127,15 +138,26 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(v) for v in (label, i, j, sums.ravel())], names=["label", "i", "j", "value"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
-    """The discriminant of ``labels`` (``id_col``, ``label_col`` of 0 or 1), learned from all their documents.
+def describe(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, statistics) of each row of ``documents``, which ``fit`` and ``score`` take.
 
-    Null labels, ids and texts are left out.  Without rows of both classes every text scores one half.
+    Worth staging: the texts are then read once, and labels meet rows of a few numbers.  Null and empty texts
+    are described as texts without words; other columns are ignored.
     """
     ship_package(documents.sparkSession)
-    texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
-    sums = texts.join(marked, "id").select("label", "text").mapInArrow(_moments, "label long, i long, j long, value double")
+    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = chosen.schema["id"].dataType.simpleString()
+    return chosen.mapInArrow(_described, f"doc_id {kind}, statistics array<double>")
+
+
+def fit(described: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id") -> Discriminant:
+    """The discriminant of ``labels`` (``id_col``, ``label_col`` of 0 or 1), learned from all their documents.
+
+    Null labels and ids are left out.  Without rows of both classes every text scores one half.
+    """
+    marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("long").alias("label")).where("label in (0, 1)")
+    known = described.join(marked, "doc_id").select("label", "statistics")
+    sums = known.mapInArrow(_moments, "label long, i long, j long, value double")
     p = len(STATISTICS)
     total = np.zeros((2, p + 1, p + 1))
     for label, i, j, value in sums.groupBy("label", "i", "j").agg(F.sum("value")).collect():  # 2 (p + 1)^2 rows
@@ -156,21 +178,18 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str, id_col: str = "
     return Discriminant(means, inverses, constants)
 
 
-def score(documents: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score, predicted) of each row of ``documents``: 1 where the text is likelier of label 1.
+def score(described: DataFrame, model: Discriminant) -> DataFrame:
+    """(doc_id, score, predicted) of each row of ``described``: 1 where the text is likelier of label 1.
 
-    Null and empty texts are scored as texts without words; rows that repeat score alike; no rows give no
-    rows; other columns are ignored.
+    Rows that repeat score alike; no rows give no rows.
     """
-    ship_package(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in flat.slices(batches, "text"):
-            found = model.scores(statistics(batch.column("text")))
+        for batch in batches:
+            found = model.scores(_matrix(batch.column("statistics")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
+                [batch.column("doc_id"), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
 
-    chosen = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+    kind = described.schema["doc_id"].dataType.simpleString()
+    return described.mapInArrow(run, f"doc_id {kind}, score double, predicted int")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotaflow.llm import bpe, crosspolytope, licenses, maxmatch, mixing, neardup, quality, search, substring, toxicity
+from cotaflow.llm.sql import ORACLES as ORACLES
+from cotaflow.sources.scratch import staged
 
 #: Folder of the public tokenizers' files on the driver.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -31,14 +33,16 @@ def _remainder(parts: int) -> Column:
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every document whose id is divisible by 50, by its whole text."""
     docs = _table(spark, sf_dir, "documents")
-    return search.top_k(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+    found = search.top_k(docs, docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of the held-out third (remainder 1) are not learned from."""
     docs, labels = (_table(spark, sf_dir, t) for t in ("documents", "labels"))
-    model = quality.fit(docs, labels.where(_remainder(3) != 1), "quality")
-    scored = quality.score(docs, model)
+    described = staged(quality.describe(docs), "statistics")
+    model = quality.fit(described, labels.where(_remainder(3) != 1), "quality")
+    scored = quality.score(described, model)
     return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", "predicted")
 
 
@@ -96,5 +100,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": license_scan,
     "op10_source_mix": source_mix,
 }
-
-ORACLES: dict[str, str] = {}

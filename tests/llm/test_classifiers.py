@@ -44,8 +44,9 @@ def accuracy(scored, truth):
 
 def test_quality_on_rows_that_were_held_out(spark):
     rows, docs, labels = tables(spark, 1)
-    model = quality.fit(docs, labels.where("doc_id % 3 <> 1"), "quality")
-    assert accuracy(quality.score(docs, model), {r[0]: r[2] for r in rows if r[0] % 3 == 1}) > 0.95
+    described = quality.describe(docs)
+    model = quality.fit(described, labels.where("doc_id % 3 <> 1"), "quality")
+    assert accuracy(quality.score(described, model), {r[0]: r[2] for r in rows if r[0] % 3 == 1}) > 0.95
 
 
 def test_toxicity_on_rows_that_were_held_out(spark):
@@ -58,23 +59,28 @@ def test_toxicity_on_rows_that_were_held_out(spark):
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_awkward_rows_and_tables(spark, module, label):
     _, docs, labels = tables(spark, 3)
-    model = module.fit(docs, labels, label)
+    take = quality.describe if module is quality else lambda table: table
+    model = module.fit(take(docs), labels, label)
     rows = [*awkward_texts(8), (None, "no id"), (None, None)]
-    found = collected(module.score(documents(spark, rows), model), "doc_id", "score", "predicted")
+    found = collected(module.score(take(documents(spark, rows)), model), "doc_id", "score", "predicted")
     assert len(found) == len(rows) and all(0 <= s <= 1 and p == (s >= 0.5) for _, s, p in found)
-    by_text = {}
-    for i, text in rows:
-        by_text.setdefault(text or "", set()).update(s for j, s, _ in found if j == i and i is not None)
-    assert len(by_text[""]) == 1  # null and empty texts score alike
-    assert module.score(documents(spark, []), model).count() == 0
-    none = module.fit(documents(spark, []), labels, label)
-    assert len({s for _, s, _ in collected(module.score(docs, none), "doc_id", "score", "predicted")}) <= len(rows) and module.fit(docs, labels.where("1 = 0"), label)
+    scores = {}
+    for i, score, _ in found:
+        scores.setdefault(i, set()).add(score)
+    blank = [scores[i] for i, text in rows if i is not None and not text]
+    assert len(set.union(*blank)) == 1  # null and empty texts score alike
+    assert all(len(s) == 1 for i, s in scores.items() if i is not None)  # so do repeated rows
+    empty = take(documents(spark, []))
+    assert module.score(empty, model).count() == 0
+    for untrained in (module.fit(empty, labels, label), module.fit(take(docs), labels.where("1 = 0"), label)):
+        assert len({s for _, s, _ in collected(module.score(take(docs.where("doc_id < 9")), untrained), "doc_id", "score", "predicted")}) <= 9
 
 
 def test_labels_may_be_null_or_of_one_kind(spark):
     _, docs, labels = tables(spark, 4)
+    described = quality.describe(docs)
     odd = labels.selectExpr("nullif(doc_id, 3) AS doc_id", "CASE WHEN doc_id > 5 THEN 1 END AS quality", "CASE WHEN doc_id > 5 THEN 1 END AS toxic")
-    assert {r["score"] for r in quality.score(docs, quality.fit(docs, odd, "quality")).collect()} == {0.5}
+    assert {r["score"] for r in quality.score(described, quality.fit(described, odd, "quality")).collect()} == {0.5}
     assert toxicity.fit(docs, odd, "toxic").words == {}
 
 
@@ -106,3 +112,14 @@ def test_matching(text, entries):
     lexicon = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0}, {"vexol": 1.5}, ["trash can", "vexolin"])
     found, _ = toxicity.matches(lexicon.automaton(), text)
     assert [e for e, _ in found] == entries
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.1])
+def test_logistic_curve_finds_the_labels(noise):
+    """Also where they can be told apart without error, and where two features say the same."""
+    rng = np.random.default_rng(3)
+    hits = np.where(rng.random(3000) < 0.1, rng.uniform(3, 9, 3000), 0.0)
+    y = ((hits > 0) ^ (rng.random(3000) < noise)).astype(int)
+    x = np.column_stack((np.ones(3000), hits, hits * 0.9 + rng.normal(0, 0.01, 3000), rng.uniform(0.3, 0.8, 3000)))
+    found = toxicity.logistic(x, y, np.ones(3000))
+    assert ((x @ found > 0) == (hits > 0)).all()
