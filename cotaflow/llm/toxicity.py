@@ -214,8 +214,9 @@ def _learn(learn: DataFrame, n_toxic: int, n_clean: int, entries: int, exception
 
     whole = {r["word"]: float(r["odds"]) for r in best(words.where(F.length("word") > 2), "word").collect()}
     cuts = F.explode(F.filter(F.transform(F.array(*map(F.lit, BEGINNINGS)), lambda k: F.substring("word", F.lit(1), k)), lambda s: F.length(s) < F.length("word")))
-    # Forms that clean texts use are exceptions to a family, not part of it.
-    usual = (F.col("clean") >= 1) & (odds < 1)
+    # Forms that clean texts use again and again are exceptions to a family, not part of it.  (Leaving out those
+    # that one clean text uses would leave of any beginning what toxic texts happen to have.)
+    usual = (F.col("clean") >= 2) & (odds < 1)
     starts = words.where(~usual).select(cuts.alias("start"), "toxic", "clean").groupBy("start")
     starts = starts.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms"))
     starts = starts.where((F.col("forms") >= 4) & (F.col("clean") * 10 <= F.col("toxic")))
