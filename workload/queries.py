@@ -578,7 +578,7 @@ def return_boxplot(spark, sf):
 @query
 def return_density(spark, sf):
     kept = staged(_kept(spark, sf).select("type", "year", "ret"), "kept")
-    curve = distribution.density_curve(kept, distributions.FACET, "ret")
+    curve = distribution.density_curve(kept, distributions.FACET, "ret", method="builtin")
     return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
 
 
