@@ -79,7 +79,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch: ``hashes``; ``first[i]`` to ``first[i + 1]`` are the words of text i; byte range of each."""
 
-    def __init__(self, texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False):
+    def __init__(self, texts: pa.Array, is_word: np.ndarray = NON_SPACE, lower: bool = False, hashed: bool = True):
         data, offsets = buffer(texts)
         self.data, self.offsets = data, offsets
         mask = is_word[data]
@@ -93,7 +93,7 @@ class Words:
         self.starts = np.flatnonzero(mask & (~before | cut[:-1]))
         self.ends = np.flatnonzero(mask & (~after | cut[1:])) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hashes = self._hash(lower_table(lower))
+        self.hashes = self._hash(lower_table(lower)) if hashed else np.zeros(0, np.uint64)
 
     def _hash(self, table: np.ndarray) -> np.ndarray:
         starts, ends = self.starts, self.ends
