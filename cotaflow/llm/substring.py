@@ -7,7 +7,7 @@ node is straight when it occurs more than once, always behind the same edge and
 through straight nodes compacts to one span: wherever one of its nodes occurs, all of it occurs, so each window
 inside the span is repeated, and none of them is looked up.  Windows that hold a repeated anchor and a node
 that is not straight (at the ends of a passage, or where texts part) are verified at their source coordinates,
-by a count of 128-bit hashes of the whole window.  Equal windows are on the same side of this rule, since they
+by a count of 96-bit hashes of the whole window.  Equal windows are on the same side of this rule, since they
 agree on their least anchor and so, through straight nodes, on the path around it.
 
 What is shuffled: anchors twice (for the nodes, and to bring the verdicts back), texts twice, and the windows
@@ -128,8 +128,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         verify = np.flatnonzero(candidate & ~straight)
         first = flat.rolling(words.hashes, WINDOW)[verify] if len(verify) else np.zeros(0, np.uint64)
         second = flat.rolling(words.hashes, WINDOW, second=True)[verify] if len(verify) else np.zeros(0, np.uint64)
+        second = (second >> np.uint64(32)).astype(np.uint32).view(np.int32)
         both = np.concatenate((start, verify))
-        none = np.zeros(len(start), np.uint64)
         owner = pa.array(document[both])
         yield pa.RecordBatch.from_arrays(
             [
@@ -137,8 +137,8 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("version").take(owner),
                 pa.array(both - words.first[document[both]]),
                 pa.array(np.concatenate((length, np.zeros(len(verify), np.int64)))),
-                flat.signed(np.concatenate((none, first))),
-                flat.signed(np.concatenate((none, second))),
+                flat.signed(np.concatenate((np.zeros(len(start), np.uint64), first))),
+                pa.array(np.concatenate((np.zeros(len(start), np.int32), second))),
             ],
             names=["id", "version", "place", "length", "first", "second"],
         )
@@ -207,7 +207,7 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         repeated = stage(repeated.where("size > 1").drop("size"), "repeated-nodes")
         places = texts.mapInArrow(_places, "node long, id long, version int, place long")
         judged = _gather(places.join(repeated, "node"), F.col("place") * 2 + F.col("straight"), "codes")
-        windows = "id long, version int, place long, length long, first long, second long"
+        windows = "id long, version int, place long, length long, first long, second int"
         windows = stage(_by_text(texts, judged).mapInArrow(_judged, windows), "windows")
         verify = windows.where("length = 0")
         twice = verify.groupBy("first", "second").agg(F.count("*").alias("size")).where("size > 1").drop("size")
