@@ -28,9 +28,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long passages that occur elsewhere are cut out of the texts, and ``n_chars`` follows; no document goes."""
+    """Long passages that occur elsewhere are cut out of the texts, and ``n_chars`` follows; no document goes.
+
+    White space around a passage stays; texts without such passages, null ones too, are left as they are.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = substring.remove_repeats(docs, carry=["n_chars", *rest])
+    cut = substring.remove_repeats(docs, carry=["n_chars", *rest], as_written=True)
     new = F.col("n_removed") > 0
     cut = cut.select(
         "doc_id", F.col("kept_text").alias("text"), F.when(new, F.length("kept_text")).otherwise(F.col("row.n_chars")).alias("n_chars"),

@@ -17,7 +17,9 @@ passage that a third of the texts share is split by the adaptive planner.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ WINDOW = 35
 KMER = 10
 #: k-mers that begin in a window and end in it.
 SPAN = WINDOW - KMER + 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 class Anchors:
@@ -144,16 +147,29 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(text: bytes, gone: np.ndarray) -> bytes:
+    """``text`` without the bytes from the first to the last word of each run of words that are ``gone``."""
+    spans = [found.span() for found in _WORD.finditer(text)]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+    kept, at = [], 0
+    for first, after in edges.reshape(-1, 2):
+        kept.append(text[at : spans[first][0]])
+        at = spans[after - 1][1]
+    return b"".join((*kept, text[at:]))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], as_written: bool) -> Iterator[pa.RecordBatch]:
     for batch in flat.slices(batches, "text"):
         texts = batch.column("text")
         data, offsets = flat.buffer(texts)
         raw = data.tobytes()
+        null = texts.is_null().to_numpy(zero_copy_only=False)
         runs, rows = _flat_lists(batch.column("runs"))
         bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
         counts, removed, kept = [], [], []
         for i in range(batch.num_rows):
-            words = raw[offsets[i] : offsets[i + 1]].split()
+            text = raw[offsets[i] : offsets[i + 1]]
+            words = text.split()
             counts.append(len(words))
             if bounds[i] < bounds[i + 1]:
                 own = runs[bounds[i] : bounds[i + 1]]
@@ -162,9 +178,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(change, place, 1)
                 np.add.at(change, place + length + WINDOW - 1, -1)
                 gone = np.cumsum(change)[:-1] > 0
+                text = _without(text, gone) if as_written else text
                 words = [words[k] for k in np.flatnonzero(~gone)]
             removed.append(counts[-1] - len(words))
-            kept.append(b" ".join(words))
+            if as_written:
+                kept.append(None if null[i] else text)
+            else:
+                kept.append(b" ".join(words))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -187,13 +207,17 @@ def _gather(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.groupBy("id", "version").agg(F.collect_set(value).alias(name))
 
 
-def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=()) -> DataFrame:
+def remove_repeats(
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=(), as_written: bool = False
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, row) of each row of ``documents``; ``row`` holds the columns ``carry``.
 
     Words are runs of anything but ASCII white space, unchanged.  A word goes when a window of 35 words that
     covers it also starts anywhere else, in its own text included; windows are judged on the input, so no
-    copy stays.  ``kept_text`` is what remains, joined by single spaces.  Null and empty texts have no words;
-    texts of fewer than 35 words stay.  Repeated rows repeat each other's windows.  Rows may share an id, or
+    copy stays.  ``kept_text`` is what remains, joined by single spaces; with ``as_written`` it is the text itself,
+    null where that is, without the bytes from the first to the last word of each run of words that go, and
+    with all other bytes, white space too, as they were.  Null and empty texts have no words; texts of fewer
+    than 35 words stay.  Repeated rows repeat each other's windows.  Rows may share an id, or
     have none.  No rows give no rows; other columns are ignored.
     """
     spark = documents.sparkSession
@@ -217,4 +241,4 @@ def remove_repeats(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         runs = _gather(runs, F.shiftleft("place", 32) + F.col("length"), "runs")
         whole = documents.select(*columns, flat.carried(carry))
         schema = flat.with_row(whole, "doc_id long, n_words long, n_removed long, kept_text string")
-        return staged(_by_text(whole, runs).mapInArrow(_cut, schema), "without-repeats")
+        return staged(_by_text(whole, runs).mapInArrow(partial(_cut, as_written=as_written), schema), "without-repeats")

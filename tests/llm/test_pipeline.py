@@ -17,6 +17,7 @@ from .test_classifiers import labelled
 from .test_mixing import plain_targets
 from .test_neardup import plain as plain_components
 from .test_substring import plain as plain_cut
+from .test_substring import plain_as_written, spaced
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,6 +84,21 @@ def test_every_stage(spark, folder):
     assert coded == want
 
 
+def test_cutting_leaves_white_space(spark):
+    """Whole texts: clean documents stay as they are, null too; the others lose the passages only."""
+    rows = spaced(awkward_texts(21), 21) + [(900, "one\n\ntwo\tthree   four "), (901, None), (902, "")]
+    docs = documents(spark, rows)
+    cut = corpus_pipeline.cut_repeats(spark, docs, "")
+    want = plain_as_written(rows)
+    assert sorted(pairs(cut), key=repr) == sorted(((i, text) for i, _, text in want), key=repr)
+    assert sum(removed > 0 for _, removed, _ in want) > 10
+    before = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in docs.collect())
+    after = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in cut.collect())
+    clean = Counter((i, text) for i, removed, text in want if not removed)
+    assert Counter((i, t) for i, t, _ in (before & after).elements()) >= clean
+    assert all(n == len(t) for _, t, n in after - before)
+
+
 def test_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "toxic": pa.array([], pa.int64())}), tmp_path / "labels.parquet")

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from cotaflow.llm import substring
@@ -56,3 +57,29 @@ def test_carries_other_columns_and_takes_no_rows(spark):
     found = substring.remove_repeats(docs, carry=docs.columns).select("row.*")
     assert collected(found, *docs.columns) == collected(docs, *docs.columns)
     assert substring.remove_repeats(documents(spark, [])).count() == 0
+
+
+def plain_as_written(rows, window=substring.WINDOW):
+    """The texts themselves, each run of removed words cut out from its first character to its last."""
+    spans = [[m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")] for _, t in rows]
+    split = [words(t) for _, t in rows]
+    seen = Counter(tuple(w[k : k + window]) for w in split for k in range(len(w) - window + 1))
+    out = []
+    for (i, text), span, w in zip(rows, spans, split, strict=True):
+        gone = {j for k in range(len(w) - window + 1) if seen[tuple(w[k : k + window])] > 1 for j in range(k, k + window)}
+        cut = {c for j in gone for c in range(span[j][0], span[j + 1][0] if j + 1 in gone else span[j][1])}
+        out.append((i, len(gone), text if text is None else "".join(c for at, c in enumerate(text) if at not in cut)))
+    return sorted(out, key=repr)
+
+
+def spaced(rows, seed):
+    """``rows`` with line breaks, tabs and runs of blanks in place of single spaces."""
+    rng = random.Random(seed)
+    return [(i, t and re.sub(" ", lambda m: rng.choice([" ", "\n", "\t", "  ", "\r\n", " \n\n "]), t)) for i, t in rows]
+
+
+def test_texts_as_written(spark):
+    rows = spaced(awkward_texts(4), 4)
+    rows += [(900, " \n" + rows[0][1] + "\n\n"), (901, "one\n\ntwo\tthree   four "), (902, None), (None, "é\n漢 ")]
+    found = substring.remove_repeats(documents(spark, rows), as_written=True)
+    assert collected(found, "doc_id", "n_removed", "kept_text") == plain_as_written(rows)
