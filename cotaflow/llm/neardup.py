@@ -8,7 +8,7 @@ such pair shares a key: the index finds all pairs within that distance.  At the
 beyond it still shares a key but for about 6 in a million, and is held against the distance over all 128
 symbols, at which such a pair is lost once in some ten millions.  Each pair left is confirmed on full sets.
 
-Equal sets are one class from the start.  Links are looked for in two rounds: first each class with the hub of
+Equal sets are one class from the start, named by a hash of the set; unlike versions of one id are linked.  Links are looked for in two rounds: first each class with the hub of
 its buckets, the class that shares keys most; then, within buckets whose classes are still in several
 components, between these.  A group of near copies so costs a link a member, not all its pairs, and no link
 that could join two components is left out: pairs of members are only ruled out by bounds that hold for sure, from
@@ -38,6 +38,8 @@ GUARANTEED = CHUNKS * 2 - 1
 MOST_DIFFERENT = 59
 #: Bits of the maps of what a set has beyond its hub, and lacks of it.
 MAP_BITS = 2048
+#: Columns that identify a set.
+SET = ("n", "print1", "print2")
 _MULTIPLIERS = np.random.default_rng(75).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -82,22 +84,22 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rows.ravel(), pa.int64()))
 
 
+def _prints(hashes: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Size and two sums of hashes of each set; together they identify it."""
+    prints = [pa.array(np.diff(bounds), pa.int64())]
+    for spread in (hashes, flat.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
+        prints.append(flat.signed(total[bounds[1:]] - total[bounds[:-1]]))
+    return prints
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in flat.slices(batches, "text"):
         hashes, bounds = shingle_sets(batch.column("text"))
         signs = signatures(hashes, bounds)
-        prints = []
-        for spread in (hashes, flat.mix(hashes ^ np.uint64(0x5851F42D4C957F2D))):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread, dtype=np.uint64)))
-            prints.append(flat.signed(total[bounds[1:]] - total[bounds[:-1]]))
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array(np.diff(bounds), pa.int64()),
-                *prints,
-                _lists(signs.view(np.int64)),
-            ],
-            names=["id", "n", "print1", "print2", "signature"],
+            [batch.column("id"), *_prints(hashes, bounds), _lists(signs.view(np.int64))],
+            names=["id", *SET, "signature"],
         )
 
 
@@ -128,7 +130,7 @@ def _read_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in flat.slices(batches, "text"):
         hashes, bounds = shingle_sets(batch.column("text"))
         shingles = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat.signed(hashes))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), shingles], names=["class", "shingles"])
+        yield pa.RecordBatch.from_arrays([*_prints(hashes, bounds), shingles], names=[*SET, "shingles"])
 
 
 def _distance(a: str, b: str) -> Column:
@@ -166,16 +168,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     spark = documents.sparkSession
     with Staging(spark) as stage:
         described = stage(describe(documents, id_col, text_col), "described")
-        by_set = described.where("n > 0 and id is not null").groupBy("n", "print1", "print2")
+        named = described.where("n > 0 and id is not null").withColumn("class", F.xxhash64(*SET))
         classes = stage(
-            by_set.agg(F.min("id").alias("class"), F.first("signature").alias("signature")),
+            named.groupBy(*SET, "class").agg(F.min("id").alias("least"), F.first("signature").alias("signature")),
             "classes",
         )
         links = _links(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), classes, stage)
-        merged = classes.join(components(links, stage).withColumnRenamed("node", "class"), "class", "left").select(
-            "n", "print1", "print2", F.coalesce("component", "class").alias("component")
-        )
-        rows = described.select("id", "n", "print1", "print2").join(merged, ["n", "print1", "print2"], "left")
+        links = links.union(_versions(named.select("id", "class")))
+        linked = components(links, stage).withColumnRenamed("node", "class")
+        linked = stage(linked.join(classes.select("class", "least"), "class"), "linked")
+        smallest = stage(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+        linked = linked.join(smallest, "component").select("class", "smallest")
+        merged = classes.join(linked, "class", "left").select(*SET, F.coalesce("smallest", "least").alias("component"))
+        rows = described.select("id", *SET).join(merged, list(SET), "left")
         component = F.coalesce("component", "id")
         return staged(
             rows.select(
@@ -188,6 +193,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         )
 
 
+def _versions(named: DataFrame) -> DataFrame:
+    """Links (a, b) from the first class of each id to its others."""
+    first = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("last")).where("a <> last")
+    return named.join(first.select("id", "a"), "id").where("a <> class").select("a", F.col("class").alias("b")).distinct()
+
+
 def _links(texts: DataFrame, classes: DataFrame, stage: Staging) -> DataFrame:
     """Confirmed links (a, b) that join all classes which are linked at all."""
     keys = classes.select("class", "signature").mapInArrow(_explode_keys, "key long, class long")
@@ -208,8 +219,10 @@ def _links(texts: DataFrame, classes: DataFrame, stage: Staging) -> DataFrame:
     first = best.select(F.col("class").alias("a"), (-F.col("top.minus")).alias("b"))
 
     sets = stage(
-        texts.join(reach.select(F.col("class").alias("id")), "id", "left_semi")
-        .mapInArrow(_read_sets, "class long, shingles array<bigint>")
+        texts.join(reach.join(classes, "class").select(F.col("least").alias("id")), "id", "left_semi")
+        .mapInArrow(_read_sets, "n long, print1 long, print2 long, shingles array<bigint>")
+        .where("n > 0")
+        .select(F.xxhash64(*SET).alias("class"), "shingles")
         .groupBy("class").agg(F.first("shingles").alias("shingles")),
         "sets",
     )

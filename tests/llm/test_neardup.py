@@ -89,3 +89,18 @@ def test_components(spark, frame):
     with Staging(spark) as stage:
         found = dict(collected(components(edges, stage), "node", "component"))
     assert found == {**dict.fromkeys(range(41), 0), 200: 0, 100: 100, 101: 100}
+
+
+def test_unlike_texts_of_one_id(spark):
+    """Each version keeps its own set: partners of either are found, and meet through the id."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(20):
+        for version in "ab":
+            text = [f"{version}{k}x{i}" for i in range(100)]
+            near = [*text[:50], "new", *text[51:]]
+            rows += [(500 + k, " ".join(text)), (int(rng.integers(0, 100)) * 10 + 1000 * (k + 1) + ord(version), " ".join(near))]
+    rows += [(7, rows[0][1]), (8, rows[6][1]), (9, None)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    found = neardup.near_duplicates(documents(spark, rows))
+    assert collected(found, "doc_id", "n_shingles", "component_id", "kept") == plain(rows)
