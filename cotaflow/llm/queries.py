@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cotaflow.llm import bpe, crosspolytope, licenses, maxmatch, mixing, neardup, quality, search, substring, toxicity
+from cotaflow.llm import bpe, crosspolytope, divergence, licenses, maxmatch, mixing, neardup, quality, search, substring, toxicity, urlrules, whitening
 from cotaflow.llm.sql import ORACLES as ORACLES
 from cotaflow.sources.scratch import staged
 
@@ -88,6 +88,25 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
+def whitened_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of every vector, a row each."""
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+    found = found.select("vec_id", "n", F.expr("try_cast(deviation as bigint)").alias("deviation"), "identity_error", "explained", F.posexplode("whitened"))
+    explained = F.get("explained", F.col("pos"))
+    return found.select(
+        "vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col").alias("whitened"), explained.alias("explained"), "identity_error"
+    )
+
+
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of given rules; URLs that none fits go by combinations mined from those that one does."""
+    return urlrules.judge(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bm25_search": bm25_search,
     "op2_quality_classifier": quality_classifier,
@@ -99,4 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cross_polytope": nearest_vectors,
     "op9_license_scan": license_scan,
     "op10_source_mix": source_mix,
+    "op11_whitening": whitened_embeddings,
+    "op12_source_divergence": source_divergence,
+    "op13_url_filter": url_filter,
 }

@@ -1,0 +1,125 @@
+import random
+from collections import Counter
+from itertools import combinations
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from checks.compare import connect, differences
+from cotaflow.llm import queries, urlrules
+
+from .corpus import collected
+
+COLUMNS = ("page_id", "host", "path", "rule", "verdict", "mined", "confidence")
+
+
+def pages(spark, urls, **more):
+    n = len(urls)
+    names = ["token", "tokens", "rule", "own", "copies", "label", "best"]
+    columns = {"page_id": pa.array([None if i % 11 == 3 else i for i in range(n)], pa.int64()), "url": pa.array(urls, pa.string())}
+    columns |= {c: pa.array([f"{c}{i % 2}" for i in range(n)], pa.string()) for c in names} | more
+    return spark.createDataFrame(pa.table(columns))
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    end = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+    host, rest = rest[:end], rest[end:]
+    end = min((rest.index(c) for c in "?#" if c in rest), default=len(rest))
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), rest[:end]
+
+
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def plain_rule(host, path):
+    fits = [r for r in RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
+    return max(fits, key=lambda r: len(r[1] + r[2])) if fits else None
+
+
+def plain_tokens(url):
+    import re
+
+    host, path = split(url)
+    if not host:
+        return []
+    labels, folders = host.split("."), [d for d in path.split("/")[:-1] if d]
+    found = re.match(r"([A-Za-z][A-Za-z0-9+.-]*)://", url)
+    out = [f"scheme:{found[1].lower()}"] if found else []
+    out += [f"tld:{labels[-1]}"] if labels[-1] else []
+    out += [f"site:{'.'.join(labels[-2:])}"] if len(labels) > 1 else []
+    out += [f"sub:{labels[0]}"] if len(labels) > 2 and labels[0] else []
+    out += [f"dir:{folders[0]}"] if folders else []
+    if found := re.search(r"\.([A-Za-z0-9]+)\Z", path):
+        out.append(f"ext:{found[1]}")
+    if found := re.match(r"[^?#]*\?([^#&=]+)", url):
+        out.append(f"arg:{found[1]}")
+    return out
+
+
+def plain(urls, labels=None, support=0.01, confidence=0.9):
+    """Every combination of every URL counted; every rule held against every URL."""
+    import math
+
+    parts, ruled = [split(u) for u in urls], []
+    ruled = [plain_rule(*p) for p in parts]
+    labels = [r and r[0] for r in ruled] if labels is None else labels
+    own = [frozenset(plain_tokens(u or "")) for u in urls]
+    everything, with_label = Counter(), Counter()
+    for tokens, label in zip(own, labels, strict=True):
+        for k in range(1, len(tokens) + 1):
+            for c in map(frozenset, combinations(tokens, k)):
+                everything[c] += 1
+                if label:
+                    with_label[c, label] += 1
+    least = math.ceil(support * len(urls))
+    rules = {(c, v): (n / everything[c], n) for (c, v), n in with_label.items() if n >= least and n / everything[c] >= confidence}
+    kept = [(c, v, *x) for (c, v), x in rules.items() if not any(d < c and w == v and y[0] >= x[0] for (d, w), y in rules.items())]
+    out = []
+    for i, (tokens, rule, (host, path)) in enumerate(zip(own, ruled, parts, strict=True)):
+        fits = sorted((-x, -n, len(c), " ".join(sorted(c)), v) for c, v, x, n in kept if c <= tokens)
+        mined = (None, None) if rule or not fits else (fits[0][3], -fits[0][0])
+        verdict = rule[0] if rule else fits[0][4] if fits else "allow"
+        out.append((None if i % 11 == 3 else i, host, path, rule and rule[1] + rule[2], verdict, *mined))
+    return sorted(out, key=repr)
+
+
+def some_urls(n, seed):
+    rng = random.Random(seed)
+    hosts = ["a.example.net", "example.net", "WWW.Example.NET", "m.example.com", "example.com", "blog.example.org", "x.org", "b.net", "notexample.com", "spam.example.com", "example.com:80", "b.net:8080"]
+    tails = ["", "/", "/en/1", "/de/2", "/fr/3/", "/de", "/de/a.html", "?page=2&ref=x", "/en/#top", "/fr/x?utm=1#a", "//de/", "/en/page.HTML?q"]
+    return [f"{rng.choice(['http', 'https', 'HTTPS'])}://{rng.choice(hosts)}{rng.choice(tails)}" for _ in range(n)]
+
+
+AWKWARD = [None, "", "no scheme", "://", "://net/", "http://", "http:///x", "http://net/", "http://.net/", "http://é.org/fr/ü", "a://b://c.net/x", "http://ÀB.NET/", "x" * 20000,
+           "http://" + "a." * 3000 + "net/" + "d/" * 3000, "http://x.net\n/en/", "http://x.org/fr/a.html\n", "http://example.com/de/../en", "http://example.com/de/"]
+
+
+def test_against_every_combination(spark):
+    urls = some_urls(300, 1) + AWKWARD + ["https://hot.example.com/de/1"] * 150
+    assert collected(urlrules.judge(pages(spark, urls)), *COLUMNS) == plain(urls)
+
+
+def test_given_labels(spark):
+    urls = some_urls(200, 2) + AWKWARD + some_urls(5, 1) * 8
+    spam = ["block" if "spam" in (u or "") else "allow" if i % 3 == 0 else None for i, u in enumerate(urls)]
+    table = pages(spark, urls, marked=pa.array(spam, pa.string()))
+    found = urlrules.judge(table, label=F.col("marked"), support=0.02)
+    assert collected(found, *COLUMNS) == plain(urls, spam, support=0.02)
+    caught = {r["host"] for r in found.where("mined is not null and verdict = 'block'").collect()}
+    assert caught == {"spam.example.com"}
+
+
+def test_without_rules_labels_or_rows(spark):
+    urls = ["http://a.net/", None, "http://b.com/de/1"]
+    found = urlrules.judge(pages(spark, urls), rules=())
+    assert collected(found, "rule", "verdict", "mined") == [(None, "allow", None)] * 3
+    assert urlrules.judge(pages(spark, [])).count() == 0
+    assert urlrules.judge(pages(spark, urls), default="unsure").where("verdict = 'unsure'").count() == 2
+
+
+def test_query_equals_its_twin(spark):
+    for sf in ("/root/testdata/sf0.001", "/root/testdata/sf0.01"):
+        assert not differences(spark, connect(sf), sf, queries.QUERIES["op13_url_filter"], queries.ORACLES["op13_url_filter"])
