@@ -8,11 +8,13 @@ such pair shares a key: the index finds all pairs within that distance.  At the
 beyond it still shares a key but for about 6 in a million, and is held against the distance over all 128
 symbols, at which such a pair is lost once in some ten millions.  Each pair left is confirmed on full sets.
 
-Equal sets are one class from the start, named by a hash of the set; unlike versions of one id are linked.  Links are looked for in two rounds: first each class with the hub of
-its buckets, the class that shares keys most; then, within buckets whose classes are still in several
-components, between these.  A group of near copies so costs a link a member, not all its pairs, and no link
-that could join two components is left out: pairs of members are only ruled out by bounds that hold for sure, from
-what both share with their hub.
+Equal sets are one class from the start, named by a hash of the set; unlike versions of one id are linked.
+Links are looked for in three rounds: first each class with one hub of its buckets, the class that shares keys
+most; then, in buckets whose classes are still in several components, each with the bucket's own hub; then,
+where they are still apart, between those of one hub.  What tells a class from the hub is small where the class
+is near it, and two classes that are linked must agree in a known part of it, so this last round is a
+prefix-filtered join on the rarest such elements.  A group of near copies so costs a link or two a member, not
+all its pairs, and no link that could join two components is left out: the last round's bound holds for sure.
 """
 
 from __future__ import annotations
@@ -36,8 +38,6 @@ CHUNKS, CHUNK_SYMBOLS = 12, 5
 GUARANTEED = CHUNKS * 2 - 1
 #: Of all symbols; 5.5 standard deviations above the mean at a similarity of 0.75.
 MOST_DIFFERENT = 59
-#: Bits of the maps of what a set has beyond its hub, and lacks of it.
-MAP_BITS = 2048
 #: Columns that identify a set.
 SET = ("n", "print1", "print2")
 _MULTIPLIERS = np.random.default_rng(75).integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -162,19 +162,20 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Documents are linked when they share at least three quarters of the union of their shingles.
     ``component_id`` is the smallest id reachable, the row's own without shingles or partners; ``kept`` marks
     rows that carry it.  Null and empty texts have no shingles.  Rows with equal texts are linked, repeated
-    rows both stay marked; rows that share an id count as linked versions of one document.  A null id takes
-    its class's smallest id, and null where there is none.  No rows give no rows; other columns are ignored.
+    rows both stay marked; rows that share an id count as linked versions of one document.  Rows without an id
+    link others like any row; they take the smallest id of their component, and null where there is none, as
+    have rows without an id and without shingles.  No rows give no rows; other columns are ignored.
     """
     spark = documents.sparkSession
     with Staging(spark) as stage:
         described = stage(describe(documents, id_col, text_col), "described")
-        named = described.where("n > 0 and id is not null").withColumn("class", F.xxhash64(*SET))
+        named = described.where("n > 0").withColumn("class", F.xxhash64(*SET))
         classes = stage(
             named.groupBy(*SET, "class").agg(F.min("id").alias("least"), F.first("signature").alias("signature")),
             "classes",
         )
         links = _links(documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), classes, stage)
-        links = links.union(_versions(named.select("id", "class")))
+        links = links.union(_versions(named.where("id is not null").select("id", "class")))
         linked = components(links, stage).withColumnRenamed("node", "class")
         linked = stage(linked.join(classes.select("class", "least"), "class"), "linked")
         smallest = stage(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
@@ -214,66 +215,84 @@ def _links(texts: DataFrame, classes: DataFrame, stage: Staging) -> DataFrame:
         ),
         "hubs",
     )
-    spokes = members.join(hubs, "key").where("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("common"))
+    members = stage(members.join(hubs, "key").select("key", "class", "hub"), "placed")
+    spokes = members.where("class <> hub").groupBy("class", "hub").agg(F.count("*").alias("common"))
     best = spokes.groupBy("class").agg(F.max(F.struct("common", (-F.col("hub")).alias("minus"))).alias("top"))
     first = best.select(F.col("class").alias("a"), (-F.col("top.minus")).alias("b"))
 
     sets = stage(
-        texts.join(reach.join(classes, "class").select(F.col("least").alias("id")), "id", "left_semi")
+        texts.join(reach.join(classes, "class").where("least is not null").select(F.col("least").alias("id")), "id", "left_semi")
+        .union(texts.where("id is null"))
         .mapInArrow(_read_sets, "n long, print1 long, print2 long, shingles array<bigint>")
         .where("n > 0")
         .select(F.xxhash64(*SET).alias("class"), "shingles")
+        .join(reach.select("class"), "class", "left_semi")
         .groupBy("class").agg(F.first("shingles").alias("shingles")),
         "sets",
     )
     tried = stage(_compared(_close(first, classes), sets), "tried")
     found = tried.where(_linked("common", "n", "n_hub")).select("a", "b")
 
-    # Classes of one bucket that are still apart are held against each other, unless what both have in common
-    # with their hub shows that they can't be linked.
-    together = stage(components(found, stage).withColumnRenamed("node", "class"), "together")
-    placed = members.join(together, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    split_keys = stage(apart.where("low <> high").select("key"), "split-keys")
-    known = tried.select(F.col("a").alias("class"), F.col("b").alias("hub"), "common", "n_hub", "extra", "lacks")
-    signs = classes.select("class", "n", "signature").join(known, "class", "left")
-    placed = stage(placed.join(split_keys, "key", "left_semi").join(signs, "class"), "placed")
-    columns = ("class", "component", "n", "hub", "common", "n_hub", "extra", "lacks", "signature")
-    a, b = (placed.select("key", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab")
-    near = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b"))
-    near &= _similar_size("n_a", "n_b") & _not_excluded() & (_distance("signature_a", "signature_b") <= MOST_DIFFERENT)
-    pairs = a.join(b, (a["key"] == b["key"]) & near).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    # Where the classes of a bucket are still apart, each is held against the bucket's own hub.
+    split = _split_buckets(members, found, stage)
+    spokes = split.where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+    tried = stage(_compared(spokes, sets, unlike=True), "unlike")
+    found = stage(found.union(tried.where(_linked("common", "n", "n_hub")).select("a", "b")), "found")
+
+    # Those still apart are held against each other where what tells them from the hub could agree enough.
+    split = _split_buckets(members, found, stage)
+    apart = split.where("class <> hub").select("class", "hub", "component").distinct()
+    known = tried.withColumnsRenamed({"a": "class", "b": "hub"}).join(apart, ["class", "hub"])
+    pairs = _may_agree(stage(known, "apart")).select("a", "b").distinct()
     more = _compared(stage(pairs, "pairs"), sets).where(_linked("common", "n", "n_hub"))
     return found.union(stage(more.select("a", "b"), "links"))
 
 
-def _linked(common: str, n_a: str, n_b: str) -> Column:
-    return F.col(common) * 100 >= (F.col(n_a) + F.col(n_b) - F.col(common)) * 75
-
-
-def _in_common(a: str, b: str, size_a: Column) -> Column:
-    """At most so many elements two sets share, by their maps of bits.
+def _may_agree(spokes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of unlike components that could be linked, among ``spokes`` of one hub: a prefix-filtered join.
 
-    Shared elements have shared bits, and no more of them can hide behind one bit than a set has elements
-    beyond its bits.
+    ``spokes`` has each class with its hub, sizes, what is in common, and as ``unlike`` what either has and the
+    other lacks.  With l elements of the hub's h lacking and e beyond it, two classes are linked when their
+    unlike sets share at least (w_a + w_b) / 14, with w = 8 l + 6 e - h.  Of a class that is not linked to
+    the hub w is above h, and below it is at least -h, so that number is positive.  Where two sets share t elements, the first that
+    they share, in any one order, is within the first size - t + 1 of both.  The order puts the rarest
+    of a hub's group first; w is taken in steps of h, and each class hands in the prefix for each step that
+    a partner may be at.
     """
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
-    own = F.aggregate(a, F.lit(0), lambda t, x: t + F.bit_count(x))
-    return both + (size_a - own)
-
+    one = spokes.select(
+        "class", "hub", "component", "n", "n_hub", F.size("unlike").alias("size"), F.explode("unlike").alias("element"),
+        (8 * (F.col("n_hub") - F.col("common")) + 6 * (F.col("n") - F.col("common")) - F.col("n_hub")).alias("w"),
+    )
+    frequent = one.groupBy("hub", "element").agg(F.count("*").alias("rows")).where("rows > 1")
+    ordered = one.join(frequent, ["hub", "element"], "left").groupBy("class", "hub", "component", "n", "n_hub", "size", "w")
+    ordered = ordered.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("rows", F.lit(1)).alias("rows"), "element"))).alias("unlike"))
+    steps = F.sequence(F.lit(-1).cast("long"), F.greatest(F.lit(-1), F.expr("(14 * size - w) div n_hub")).cast("long"))
+    ordered = ordered.withColumn("step", F.floor(F.col("w") / F.col("n_hub"))).withColumn("other", F.explode(steps))
+    shared = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("w") + F.col("other") * F.col("n_hub")) / 14))
+    ordered = ordered.withColumn("prefix", (F.col("size") - shared + 1).cast("int")).where("prefix > 0")
+    # An element that no other class of the group has can't be what two share.
+    prefix = ordered.select("*", F.posexplode(F.slice("unlike", F.lit(1), F.col("prefix"))).alias("at", "item")).where("item.rows > 1")
+    prefix = prefix.withColumn("left", F.col("size") - F.col("at"))
+    own = ("class", "component", "n", "w", "left")
+    a = prefix.select("hub", "item.element", "step", "other", *(F.col(c).alias(f"{c}_a") for c in own))
+    b = prefix.select("hub", "item.element", F.col("other").alias("step"), F.col("step").alias("other"), *(F.col(c).alias(f"{c}_b") for c in own))
+    near = (F.col("class_a") < F.col("class_b")) & (F.col("component_a") != F.col("component_b")) & _similar_size("n_a", "n_b")
+    # At the first element that two share, what is left from there on must be enough.
+    near &= F.least("left_a", "left_b") * 14 >= F.col("w_a") + F.col("w_b")
+    met = a.join(b, ["hub", "element", "step", "other"]).where(near)
+    return met.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+
+
+def _split_buckets(members: DataFrame, found: DataFrame, stage: Staging) -> DataFrame:
+    """(key, class, hub, component) of the buckets whose classes are in several components by the links found."""
+    together = components(found, stage).withColumnRenamed("node", "class")
+    placed = stage(members.join(together, "class", "left").withColumn("component", F.coalesce("component", "class")), "together")
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return stage(placed.join(apart.where("low <> high").select("key"), "key", "left_semi"), "split")
 
-def _not_excluded() -> Column:
-    """False where two classes were compared, or where their comparisons with one hub rule a link out.
 
-    What two sets share lies in the hub, where it is what both overlaps leave after the elements that each lacks,
-    or outside.  Maps of what each lacks and of what each has beyond the hub bound both parts.
-    """
-    compared = F.col("hub_a").eqNullSafe(F.col("class_b")) | F.col("hub_b").eqNullSafe(F.col("class_a"))
-    lacked = _in_common("lacks_a", "lacks_b", F.col("n_hub_a") - F.col("common_a"))
-    inside = F.least(F.col("common_a"), F.col("common_b"), F.col("common_a") + F.col("common_b") - F.col("n_hub_a") + lacked)
-    shared = inside + _in_common("extra_a", "extra_b", F.col("n_a") - F.col("common_a"))
-    possible = shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * 75
-    return ~compared & F.when(F.col("hub_a") == F.col("hub_b"), possible).otherwise(True)
+def _linked(common: str, n_a: str, n_b: str) -> Column:
+    return F.col(common) * 100 >= (F.col(n_a) + F.col(n_b) - F.col(common)) * 75
 
 
 def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -285,36 +304,38 @@ def _close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where(near).select("a", "b")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [(c.flatten().to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b"))]
-        (left, ends), (right, hub_ends) = lists
-        ends, hub_ends = ends - ends[0], hub_ends - hub_ends[0]
-        common = []
-        extra, lacks = np.zeros((2, batch.num_rows, MAP_BITS), bool)
-        for i in range(batch.num_rows):
-            own, hub = left[ends[i] : ends[i + 1]], right[hub_ends[i] : hub_ends[i + 1]]
-            inside = hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own
-            outside = own[np.minimum(np.searchsorted(own, hub), len(own) - 1)] != hub
-            common.append(int(inside.sum()))
-            extra[i, (own[~inside] % np.uint64(MAP_BITS)).astype(np.int64)] = True
-            lacks[i, (hub[outside] % np.uint64(MAP_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("a"),
-                batch.column("b"),
-                pa.array(common, pa.int64()),
-                pa.array(np.diff(ends), pa.int64()),
-                pa.array(np.diff(hub_ends), pa.int64()),
-                *(_lists(np.packbits(maps, axis=1).view(np.int64)) for maps in (extra, lacks)),
-            ],
-            names=["a", "b", "common", "n", "n_hub", "extra", "lacks"],
-        )
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with what their full sets have in common, their sizes, and maps of what only a has and what only b has."""
+def _compare(unlike: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [(c.flatten().to_numpy().view(np.uint64), c.offsets.to_numpy()) for c in (batch.column("set_a"), batch.column("set_b"))]
+            (left, ends), (right, hub_ends) = lists
+            ends, hub_ends = ends - ends[0], hub_ends - hub_ends[0]
+            common, apart = [], []
+            for i in range(batch.num_rows):
+                own, hub = left[ends[i] : ends[i + 1]], right[hub_ends[i] : hub_ends[i + 1]]
+                inside = hub[np.minimum(np.searchsorted(hub, own), len(hub) - 1)] == own
+                common.append(int(inside.sum()))
+                if unlike:
+                    lacking = own[np.minimum(np.searchsorted(own, hub), len(own) - 1)] != hub
+                    apart.append(np.concatenate((own[~inside], ~hub[lacking])))
+            columns = [batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (common, np.diff(ends), np.diff(hub_ends)))]
+            names = ["a", "b", "common", "n", "n_hub"]
+            if unlike:
+                bounds = np.concatenate(([0], np.cumsum([len(x) for x in apart]))).astype(np.int32)
+                flattened = np.concatenate(apart) if apart else np.zeros(0, np.uint64)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds), flat.signed(flattened)))
+                names.append("unlike")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, unlike: bool = False) -> DataFrame:
+    """Pairs with what their full sets have in common, their sizes, and if wanted the elements that only one has.
+
+    Elements that only b has are told from those that only a has by their bits being turned over.
+    """
     for side in "ab":
         pairs = pairs.join(sets.toDF(side, f"set_{side}"), side)
-    schema = "a long, b long, common long, n long, n_hub long, extra array<bigint>, lacks array<bigint>"
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare, schema)
+    schema = "a long, b long, common long, n long, n_hub long" + (", unlike array<bigint>" if unlike else "")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(_compare(unlike), schema)

@@ -64,6 +64,32 @@ def test_null_ids_and_empty_table(spark):
     assert neardup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_rows_without_id_link_others(spark):
+    """The middle of a chain, with an id and without one: its ends are linked either way."""
+    base = [f"w{i}" for i in range(200)]
+    chain = [" ".join(base[k * 12 : k * 12 + 100]) for k in range(4)]
+    for ids, want in (((1, 2, 3), [(1, 1), (2, 1), (3, 1)]), ((1, None, 3), [(1, 1), (3, 1), (None, 1)]), ((None, None, None), [(None, None)] * 3)):
+        found = neardup.near_duplicates(documents(spark, list(zip(ids, chain, strict=False))))
+        assert collected(found, "doc_id", "component_id") == sorted(want, key=repr)
+    found = neardup.near_duplicates(documents(spark, [(None, chain[1]), (5, chain[0]), (None, chain[1]), (4, chain[2])]))
+    assert collected(found, "doc_id", "component_id") == sorted([(None, 4), (5, 4), (None, 4), (4, 4)], key=repr)
+
+
+def test_loose_groups(spark):
+    """Members that share keys with many others and are linked with few of them."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(120)]
+        for k in range(70):
+            near = list(base)
+            for at in rng.choice(120, rng.integers(0, 9), replace=False):
+                near[at] = f"n{rng.integers(0, 40)}"
+            rows.append((int(rng.permutation(10_000)[0]) * 1000 + len(rows), " ".join(near)))
+    found = neardup.near_duplicates(documents(spark, rows))
+    assert collected(found, "doc_id", "n_shingles", "component_id", "kept") == plain(rows)
+
+
 def test_signatures_within_the_guaranteed_distance_share_a_key():
     rng = np.random.default_rng(0)
     signs = rng.integers(0, 2**16, (200, neardup.SYMBOLS), dtype=np.uint16)
