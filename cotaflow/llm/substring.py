@@ -89,8 +89,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.array(anchors.document)
         place = anchors.at - anchors.words.first[anchors.document]
         yield pa.RecordBatch.from_arrays(
-            [flat.signed(anchors.kmers[anchors.at]), batch.column("id").take(rows), batch.column("version").take(rows), pa.array(place)],
-            names=["node", "id", "version", "place"],
+            [flat.signed(anchors.kmers[anchors.at]), batch.column("key").take(rows), batch.column("version").take(rows), pa.array(place)],
+            names=["node", "key", "version", "place"],
         )
 
 
@@ -136,14 +136,14 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner = pa.array(document[both])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("id").take(owner),
+                batch.column("key").take(owner),
                 batch.column("version").take(owner),
                 pa.array(both - words.first[document[both]]),
                 pa.array(np.concatenate((length, np.zeros(len(verify), np.int64)))),
                 flat.signed(np.concatenate((np.zeros(len(start), np.uint64), first))),
                 pa.array(np.concatenate((np.zeros(len(start), np.int32), second))),
             ],
-            names=["id", "version", "place", "length", "first", "second"],
+            names=["key", "version", "place", "length", "first", "second"],
         )
 
 
@@ -198,13 +198,12 @@ def _cut(batches: Iterator[pa.RecordBatch], as_written: bool) -> Iterator[pa.Rec
 
 
 def _by_text(texts: DataFrame, lists: DataFrame) -> DataFrame:
-    same = texts["id"].eqNullSafe(lists["id"]) & (texts["version"] == lists["version"])
-    return texts.join(lists, same, "left").drop(lists["id"]).drop(lists["version"])
+    return texts.join(lists, ["key", "version"], "left")
 
 
 def _gather(rows: DataFrame, value: Column, name: str) -> DataFrame:
     """A list for each text: as long as the text at most."""
-    return rows.groupBy("id", "version").agg(F.collect_set(value).alias(name))
+    return rows.groupBy("key", "version").agg(F.collect_set(value).alias(name))
 
 
 def remove_repeats(
@@ -222,23 +221,25 @@ def remove_repeats(
     """
     spark = documents.sparkSession
     ship_package(spark)
-    columns = [F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("version"), F.col(text_col).alias("text")]
+    # Rows of one id and text are one; 64 bits of both and 32 more of the text tell all others, without an id too.
+    key = F.xxhash64(F.col(id_col).cast("long"), F.length(F.col(text_col)), F.col(text_col))
+    columns = [key.alias("key"), F.hash(F.col(text_col)).alias("version"), F.col(text_col).alias("text")]
     texts = documents.select(*columns)
     with Staging(spark) as stage:
         nodes = texts.select("text").mapInArrow(_nodes, "node long, into long, out long")
         same = [(F.min(c) == F.max(c)) & (F.min(c) != 0) for c in ("into", "out")]
         repeated = nodes.groupBy("node").agg(F.count("*").alias("size"), (same[0] & same[1]).cast("long").alias("straight"))
         repeated = stage(repeated.where("size > 1").drop("size"), "repeated-nodes")
-        places = texts.mapInArrow(_places, "node long, id long, version int, place long")
+        places = texts.mapInArrow(_places, "node long, key long, version int, place long")
         judged = _gather(places.join(repeated, "node"), F.col("place") * 2 + F.col("straight"), "codes")
-        windows = "id long, version int, place long, length long, first long, second int"
+        windows = "key long, version int, place long, length long, first long, second int"
         windows = stage(_by_text(texts, judged).mapInArrow(_judged, windows), "windows")
         verify = windows.where("length = 0")
         twice = verify.groupBy("first", "second").agg(F.count("*").alias("size")).where("size > 1").drop("size")
         twice = stage(twice, "repeated-windows")
         verified = verify.join(twice, ["first", "second"]).withColumn("length", F.lit(1).cast("long"))
-        runs = windows.where("length > 0").unionByName(verified).select("id", "version", "place", "length")
+        runs = windows.where("length > 0").unionByName(verified).select("key", "version", "place", "length")
         runs = _gather(runs, F.shiftleft("place", 32) + F.col("length"), "runs")
-        whole = documents.select(*columns, flat.carried(carry))
+        whole = documents.select(F.col(id_col).cast("long").alias("id"), *columns, flat.carried(carry))
         schema = flat.with_row(whole, "doc_id long, n_words long, n_removed long, kept_text string")
         return staged(_by_text(whole, runs).mapInArrow(partial(_cut, as_written=as_written), schema), "without-repeats")

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from cotaflow.llm import substring
 
 from .corpus import awkward_texts, collected, documents, words
@@ -52,6 +54,16 @@ def test_shared_and_null_ids(spark):
     assert collected(substring.remove_repeats(documents(spark, rows)), *COLUMNS) == plain(rows)
 
 
+def test_texts_whose_short_hashes_collide(spark):
+    """Texts without id that one 32-bit hash can't tell apart: each is cut by its own windows."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = spark.range(200_000).select(F.concat(F.lit("t"), F.col("id"), F.lit(" " + passage)).alias("text"), F.hash(F.concat(F.lit("t"), F.col("id"), F.lit(" " + passage))).alias("h"))
+    short = spark.range(200_000).select(F.concat(F.lit("own words "), F.col("id")).alias("text"), F.hash(F.concat(F.lit("own words "), F.col("id"))).alias("h"))
+    pair = texts.join(short.withColumnsRenamed({"text": "other"}), "h").orderBy("text").first()
+    rows = [(None, pair["text"]), (None, pair["other"]), (5, "and " + passage), (None, "x"), (None, "x")]
+    assert collected(substring.remove_repeats(documents(spark, rows)), *COLUMNS) == plain(rows)
+
+
 def test_carries_other_columns_and_takes_no_rows(spark):
     docs = documents(spark, awkward_texts(3)[:5])
     found = substring.remove_repeats(docs, carry=docs.columns).select("row.*")
