@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cotaflow.functions.missing import present
+from cotaflow.functions.ordered_bits import with_ordered_bits
 from cotaflow.operators.joins import lookup_join
 from cotaflow.sources.scratch import staged
 
@@ -31,8 +32,9 @@ def group_stats(
     """``n``, ``low``, ``high``, ``sd`` and the named quantiles of ``value`` per group.
 
     Missing values and NaN are left out; a group of nothing else keeps its row, with ``n`` 0.
-    Quantiles interpolate linearly between neighbours (type 7).  ``method`` is ``"select"`` (exact, for
-    groups of any size; runs jobs and writes to the shared folder), ``"builtin"`` (Spark's exact percentile,
+    Quantiles interpolate linearly between neighbours (type 7).  ``method`` is ``"radix"`` (exact, for
+    groups of any size and number, in four reads of the values, which are written to the shared folder once),
+    ``"select"`` (exact, for few large groups; runs jobs), ``"builtin"`` (Spark's exact percentile,
     which keeps the distinct values of a group in one task) or ``"approx"``.
     """
     x = F.col(value)
@@ -49,11 +51,74 @@ def group_stats(
         found = rows.groupBy(*by).agg(*shape, pick.alias("__q"))
         named = [F.col("__q")[i].alias(name) for i, name in enumerate(probs)]
         return found.select(*by, "n", "low", "high", "sd", *named)
+    if method == "radix":
+        return _radix_quantiles(rows, by, value, probs, shape)
     if method != "select":
         raise ValueError(f"unknown method {method!r}")
     return _select_quantiles(rows, by, value, probs, shape)
 
 
+#: Bits of a key that each pass of radix selection counts by, from the top.
+DIGITS = (22, 21, 21)
+
+
+def _radix_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str, float], shape: list[Column]) -> DataFrame:
+    """Exact quantiles by counting: a fixed number of passes, whatever the values and the groups.
+
+    Values become whole numbers of 64 bits in the same order.  The first pass counts the rows of each group by
+    the topmost digit; the digit whose rows hold a wanted rank is that of the wanted value.  Each further
+    pass counts, by the next digit, only rows that begin like a wanted value.  A pass shuffles counts, at
+    most 2^22 for each group and rank, summed by the tasks before; the rows of a large group stay where they are.
+    """
+    keyed = staged(with_ordered_bits(rows, value, "__key"), "quantile-keys")
+    known = keyed.where(F.col("__key").isNotNull()).select(*by, value, "__key")
+    summary = keyed.groupBy(*by).agg(*shape)
+
+    def digit(level: int) -> Column:
+        """The key's leading bits down to this digit; the sign is the first one's."""
+        return F.shiftright("__key", 64 - sum(DIGITS[:level]))
+
+    # The first pass has all ranks of a group in one row each; ranks count from 0.
+    wanted = {name: (F.col("__n") - 1) * F.lit(p) for name, p in probs.items()}
+    ends = [F.struct(F.lit(f"{side}{i}").alias("q"), near(at).cast("long").alias("rank")) for i, at in enumerate(wanted.values()) for side, near in (("lo", F.floor), ("hi", F.ceil))]
+    counts = known.groupBy(*by, digit(1).alias("__digit")).agg(F.count(F.lit(1)).alias("__rows"))
+    whole = Window.partitionBy(*by)
+    counts = counts.withColumn("__n", F.sum("__rows").over(whole)).withColumn("__before", F.coalesce(F.sum("__rows").over(_up_to_digit(by)), F.lit(0)))
+    counts = counts.withColumn("__want", F.explode(F.array(*ends))).select(*by, "__digit", "__rows", "__before", "__want.*")
+    for level in range(2, len(DIGITS) + 1):
+        found = _at_rank(counts, by).withColumnsRenamed({"__digit": "__prefix"})
+        beginning = known.withColumn("__prefix", digit(level - 1))
+        met = lookup_join(beginning, found, [*by, "__prefix"], "inner", nulls_match=True)
+        last = [F.min(value).alias("__value")] if level == len(DIGITS) else []
+        counts = met.groupBy(*by, "q", "rank", digit(level).alias("__digit")).agg(F.count(F.lit(1)).alias("__rows"), *last)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__rows").over(_up_to_digit([*by, "q"])), F.lit(0)))
+    held = counts.where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__rows")))
+    names = [f"{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]
+    values = held.groupBy(*by).agg(*[F.max(F.when(F.col("q") == q, F.col("__value"))).alias(f"__{q}") for q in names])
+    joined = lookup_join(summary, values, by, "left", nulls_match=True)
+    quantiles = [
+        _between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), (F.col("n") - 1) * F.lit(p)).alias(name) for i, (name, p) in enumerate(probs.items())
+    ]
+    return joined.select(*by, "n", "low", "high", "sd", *quantiles)
+
+
+def _up_to_digit(inside: list[str]) -> Window:
+    """The counts of lower digits, of which a group has 2^22 at most."""
+    return Window.partitionBy(*inside).orderBy("__digit").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _at_rank(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The digit that holds each wanted rank, with the rank among the rows of that digit."""
+    held = counts.where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__rows")))
+    return held.select(*by, "q", (F.col("rank") - F.col("__before")).alias("rank"), "__digit")
+
+
+def _between(lo: Column, hi: Column, at: Column) -> Column:
+    """The value at a fractional rank; an exact hit takes the value as it is, so an infinity does not turn into NaN."""
+    part = at - F.floor(at)
+    return F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi)
+
+
 def _select_quantiles(
     rows: DataFrame, by: list[str], value: str, probs: dict[str, float], shape: list[Column]
 ) -> DataFrame:
@@ -111,13 +176,10 @@ def _select_quantiles(
         ]
     )
     joined = lookup_join(marks.select(*by, "n", "low", "high", "sd"), found, by, "left", nulls_match=True)
-    quantiles = []
-    for name, p in probs.items():
-        at = (F.col("n") - 1) * F.lit(p)
-        part = at - F.floor(at)
-        lo, hi = F.col(f"__at__lo_{name}"), F.col(f"__at__hi_{name}")
-        # An exact hit takes the value as it is, so an infinity does not turn into NaN.
-        quantiles.append(F.when(lo == hi, lo).otherwise((1 - part) * lo + part * hi).alias(name))
+    quantiles = [
+        _between(F.col(f"__at__lo_{name}"), F.col(f"__at__hi_{name}"), (F.col("n") - 1) * F.lit(p)).alias(name)
+        for name, p in probs.items()
+    ]
     return staged(joined.select(*by, "n", "low", "high", "sd", *quantiles), "quantiles")
 
 

@@ -11,11 +11,8 @@ from cotaflow.operators.windows import level_code
 
 FACET = ["type", "year"]
 
-# A facet holds one return for each fund of a type, so the built-in percentile has few values to keep; a
-# caller with larger facets names another method.
 
-
-def return_quartiles(marked: DataFrame, method: str = "builtin") -> DataFrame:
+def return_quartiles(marked: DataFrame, method: str = "radix") -> DataFrame:
     """Quartiles per type and year beside the benchmark line of the chart.
 
     ``marked`` holds fund-years with ``is_out``; rows of other facets are to be filtered out before.
@@ -27,7 +24,7 @@ def return_quartiles(marked: DataFrame, method: str = "builtin") -> DataFrame:
     return stats.select(*FACET, "benchmark", level_code("year").alias("position"), "n", *QUARTILES)
 
 
-def return_boxes(trimmed: DataFrame, benchmark: DataFrame, method: str = "builtin") -> DataFrame:
+def return_boxes(trimmed: DataFrame, benchmark: DataFrame, method: str = "radix") -> DataFrame:
     """Box-plot numbers per type and year with the benchmark and the axis position."""
     boxes = box_stats(trimmed, ["type_short", *FACET], "ret", method)
     return calendar_join(boxes.withColumn("position", level_code("year")), benchmark)

@@ -104,7 +104,7 @@ def main_types(returns: DataFrame, k: int = 5) -> DataFrame:
     return largest_groups(funds_by_type(returns), "type", "n", k)
 
 
-def trimmed_returns(returns: DataFrame, k: int = 5, prefix: str = "Multimercados", method: str = "builtin") -> DataFrame:
+def trimmed_returns(returns: DataFrame, k: int = 5, prefix: str = "Multimercados", method: str = "radix") -> DataFrame:
     """Returns of the main types inside their type's and year's fences, with a short type name."""
     main = keep_members(returns, main_types(returns, k), "type", nulls_match=True)
     inside = within_fences(main, ["type", "year"], "ret", method)

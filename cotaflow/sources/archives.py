@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cotaflow.session import ship_package
 from cotaflow.sources.delimited import parsed
 from cotaflow.sources.files import header_of, locate
+from cotaflow.sources.records import stream_records
 from cotaflow.sources.scratch import staged
 
 BLOCK_BYTES = 4 << 20
@@ -45,11 +46,12 @@ def archive_members(
     return paths.mapInArrow(read, "archive string, member string, header string")
 
 
-def member_lines(members: DataFrame, tasks: int, encoding: str = "utf-8") -> DataFrame:
-    """The lines after the header of each member, as ``archive``, ``member``, ``header``, ``line``.
+def member_lines(members: DataFrame, tasks: int, encoding: str = "utf-8", sep: str = ";", quote: str = "") -> DataFrame:
+    """The records after the header of each member, as ``archive``, ``member``, ``header``, ``line``.
 
     A compressed member can only be read from its start, so one member is one piece of work; it
     streams through its task in blocks.  ``tasks`` is the number of pieces worked on separately.
+    With ``quote`` a record may go over several lines (``sources.records``).
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,26 +59,29 @@ def member_lines(members: DataFrame, tasks: int, encoding: str = "utf-8") -> Dat
             for row in batch.to_pylist():
                 system, name = locate(row["archive"])
                 with system.open_input_file(name) as file, zipfile.ZipFile(file) as archive:
-                    with archive.open(row["member"]) as stream:
-                        header_of(stream, encoding)
-                        for lines in _blocks(stream):
-                            text = pa.array([x.decode(encoding) for x in lines], pa.string())
-                            of = [pa.repeat(row[c], len(lines)) for c in ("archive", "member", "header")]
-                            yield pa.record_batch([*of, text], ["archive", "member", "header", "line"])
+
+                    def blocks() -> Iterator[list[str]]:
+                        with archive.open(row["member"]) as stream:
+                            header_of(stream, encoding)
+                            for lines in _blocks(stream):
+                                yield [x.decode(encoding) for x in lines]
+
+                    for lines in stream_records(blocks(), blocks, sep, quote or "\x00"):
+                        of = [pa.repeat(row[c], len(lines)) for c in ("archive", "member", "header")]
+                        yield pa.record_batch([*of, pa.array(lines, pa.string())], ["archive", "member", "header", "line"])
 
     spread = members.select("archive", "member", "header").repartition(tasks)
     return spread.mapInArrow(read, "archive string, member string, header string, line string")
 
 
 def _blocks(stream) -> Iterator[list[bytes]]:
-    """Complete, non-empty lines of a byte stream, a block at a time."""
+    """The lines of a byte stream, a block at a time."""
     rest = b""
     while block := stream.read(BLOCK_BYTES):
         *lines, rest = (rest + block).split(b"\n")
-        lines = [x.rstrip(b"\r") for x in lines]
-        if lines := [x for x in lines if x]:
+        if lines:
             yield lines
-    if rest := rest.rstrip(b"\r"):
+    if rest:
         yield [rest]
 
 
@@ -104,5 +109,5 @@ def read_archives(
     counts = list(found.groupBy("header").agg(F.count("*").alias("files")).orderBy("header").toLocalIterator())
     if not counts:
         raise FileNotFoundError(f"no archive {archives} with a member that has a header in {folder}")
-    lines = member_lines(found, sum(c.files for c in counts), encoding)
+    lines = member_lines(found, sum(c.files for c in counts), encoding, sep, quote)
     return parsed(lines, [c.header for c in counts], types, sep, quote, problems)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cotaflow.session import ship_package
 from cotaflow.sources.files import first_line
+from cotaflow.sources.records import records
 from cotaflow.sources.scratch import staged
 
 # Bytes 0x80 to 0x9F are printable characters in windows-1252 and control characters in ISO-8859-1;
@@ -86,24 +87,40 @@ def read_delimited(
     quote: str = '"',
     encoding: str = "utf-8",
     problems: str | None = None,
+    line_number: str | None = None,
 ) -> DataFrame:
     """All matching files as one table, columns matched by name, absent ones NULL.
 
-    Every line is parsed under the header of its own file; reading a mixed folder under one schema would
+    Every record is parsed under the header of its own file; reading a mixed folder under one schema would
     put values into the wrong columns.  A file's header is its first line that is not blank; files of
     blank lines only are empty.  The driver sees the distinct headers, never the list of files.
-    ``encoding`` may be ``windows-1252``.  ``quote=""`` switches quoting off.  ``problems`` names a column
-    that holds the whole line where a field does not fit its type, or there are too many or too few.
+    ``encoding`` may be ``windows-1252``.  ``problems`` names a column
+    that holds the whole record where a field does not fit its type, or there are too many or too few.
+
+    Quoted fields may hold line breaks; files are read in pieces all the same (``sources.records``).  Where no
+    file has a quote, each line is a record, as with ``quote=""``, which switches quoting off.  ``line_number``
+    names a column for the number of a record's first line in its file, from 1.
     """
     latin = encoding.lower() in ("windows-1252", "cp1252")
     found = staged(file_headers(spark, folder, pattern, "cp1252" if latin else encoding).where("header <> ''"), "headers")
     headers = [r.header for r in found.select("header").distinct().orderBy("header").toLocalIterator()]
     if not headers:
         raise FileNotFoundError(f"no file with a header matches {pattern} in {folder}")
-    lines = spark.read.schema("line string").option("pathGlobFilter", pattern).options(**WHOLE_LINES)
-    lines = lines.option("encoding", "ISO-8859-1" if latin else encoding).csv(folder)
+    numbered = line_number is not None
+    raw = spark.read.option("pathGlobFilter", pattern).option("lineSep", "\n").text(folder)
+    if numbered or (quote and not raw.where(F.col("value").contains(quote)).isEmpty()):
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        text = F.decode(F.col("value").cast("binary"), "ISO-8859-1") if latin else F.col("value")
+        # Without quoting no line holds what is looked for, so each is a record.
+        found_records = records(raw.select(*place, text.alias("line")), sep, quote or "\x00")
+        number = [(F.col("line_number") + 1).alias(line_number)] if numbered else []
+        lines = found_records.select("file", F.col("record").alias("line"), *number)
+    else:
+        lines = spark.read.schema("line string").option("pathGlobFilter", pattern).options(**WHOLE_LINES)
+        lines = lines.option("encoding", "ISO-8859-1" if latin else encoding).csv(folder)
+        lines = lines.select("line", F.col("_metadata.file_path").alias("file"))
     text = cp1252_text(F.col("line")) if latin else F.col("line")
-    lines = lines.select(F.ltrim(text, F.lit("\ufeff")).alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.withColumn("line", F.ltrim(text, F.lit("\ufeff")))
     lines = lines.join(found, "file").where((F.col("line") != F.col("header")) & (F.trim("line") != "")).drop("file")
     return parsed(lines, headers, types, sep, quote, problems)
 

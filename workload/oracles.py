@@ -686,6 +686,11 @@ oracle(
         round(sum(CASE WHEN year = 1997 AND month(dt) = 3 THEN inflow * 2 ELSE inflow END), 2) AS inflow,
         round(sum(outflow), 2) AS outflow, TRUE AS refused FROM D GROUP BY 1""",
 )
+ORACLES["csv_quoted_breaks"] = r"""WITH T AS (SELECT doc_id, lang, regexp_replace(text, '[\r\t"]', ' ', 'g') AS text FROM documents)
+SELECT mode, doc_id, lang, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n, md5(text) AS digest
+FROM T, (VALUES ('files'), ('archives')) AS m(mode)
+UNION ALL SELECT 'unquoted', NULL, NULL,
+    CAST(sum(len(list_filter(string_split(doc_id || ';"' || text || '";' || lang, chr(10)), lambda x: trim(x) <> ''))) AS BIGINT), NULL FROM T"""
 ORACLES["ingest_problems"] = (
     "WITH D AS ("
     + ROLES["D"]

@@ -701,6 +701,27 @@ def ingest_problems(spark, sf):
     return lines.unionByName(kept.withColumn("archived", F.lit(False)))
 
 
+@query
+def csv_quoted_breaks(spark, sf):
+    """Texts with their line breaks in quoted fields of files and archives; without quoting each line is a row."""
+    folder = scratch_path(spark, "breaks")
+    texts = t.table(spark, sf, "documents").select("doc_id", "lang", F.regexp_replace("text", '[\r\t"]', " ").alias("text"))
+    lines = texts.select(F.concat(F.col("doc_id"), F.lit(';"'), "text", F.lit('";'), "lang").alias("line"))
+    landing.write_lines(lines, "doc_id;text;lang", f"{folder}/csv")
+    landing.zip_files(spark, f"{folder}/csv", f"{folder}/zip")
+    types = {"doc_id": "bigint"}
+    found = [
+        delimited.read_delimited(spark, f"{folder}/csv", types).withColumn("mode", F.lit("files")),
+        archives.read_archives(spark, f"{folder}/zip", types).withColumn("mode", F.lit("archives")),
+    ]
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    whole = [x.select("mode", "doc_id", "lang", breaks.cast("bigint").alias("n"), F.md5("text").alias("digest")) for x in found]
+    apart = delimited.read_delimited(spark, f"{folder}/csv", types, quote="")
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("doc_id", "bigint"), ("lang", "string"))]
+    counted = apart.agg(F.count("*").alias("n")).select(F.lit("unquoted").alias("mode"), *nothing, "n", F.lit(None).cast("string").alias("digest"))
+    return whole[0].union(whole[1]).union(counted)
+
+
 @query
 def csv_codepage_roundtrip(spark, sf):
     """Every character that the code page and the separated format can hold goes there and back."""
