@@ -10,7 +10,7 @@ from cotaflow.sources.archives import read_archives
 from cotaflow.sources.delimited import read_delimited, union_by_name
 from cotaflow.sources.files import any_match
 from cotaflow.sources.schemas import DAILY_TYPES, daily_reports
-from cotaflow.sources.tables import write_table
+from cotaflow.sources.tables import merge_table, write_table
 
 
 def landed_lines(
@@ -55,13 +55,20 @@ def problem_lines(
     return raw.where("__problem IS NOT NULL").select(F.col("__problem").alias("line"))
 
 
-def consolidate(reports: DataFrame, path: str, mode: str = "create", clustered: bool = True) -> None:
+def consolidate(
+    reports: DataFrame, path: str, mode: str = "create", clustered: bool = True, absent: str = "keep", undated: str = "refuse"
+) -> None:
     """Write daily reports as a table partitioned by year and month, so that ranges of days skip files.
 
     ``restate`` rewrites the months that occur in ``reports`` and leaves all others; it refuses a month of
-    which the table has days that ``reports`` lack.  ``clustered`` keeps a fund's days of a month
-    together, which pays off when the table is read more often than written.
+    which the table has fund-days that ``reports`` lack, and undated rows.  ``merge`` takes in any part of a
+    month: reports replace those of the same fund and day, others of the month are kept or with ``absent="end"``
+    end, and undated reports are refused or with ``undated="add"`` added (``tables.merge_table``).  ``clustered`` keeps
+    a fund's days of a month together, which pays off when the table is read more often than written.
     """
     dated = reports.withColumns({YEAR_PARTITION: F.year("dt"), MONTH_PARTITION: F.month("dt")})
     cluster_by = ["fund", "dt"] if clustered else None
-    write_table(dated, path, mode, [YEAR_PARTITION, MONTH_PARTITION], cluster_by, ["dt"])
+    if mode == "merge":
+        merge_table(dated, path, [YEAR_PARTITION, MONTH_PARTITION], ["fund", "dt"], cluster_by, absent, undated)
+    else:
+        write_table(dated, path, mode, [YEAR_PARTITION, MONTH_PARTITION], cluster_by, ["fund", "dt"])

@@ -686,6 +686,32 @@ oracle(
         round(sum(CASE WHEN year = 1997 AND month(dt) = 3 THEN inflow * 2 ELSE inflow END), 2) AS inflow,
         round(sum(outflow), 2) AS outflow, TRUE AS refused FROM D GROUP BY 1""",
 )
+oracle(
+    "merge_published_again",
+    "D",
+    """, E AS (SELECT * REPLACE (CASE WHEN seq % 97 <> 0 THEN dt END AS dt) FROM D),
+    M AS (SELECT *, year(dt) = 1997 AND month(dt) = 3 AS here FROM E),
+    A AS (SELECT * FROM M WHERE here AND fund % 3 <> 0),
+    R AS (SELECT rule, dt, fund, CASE WHEN rule <> 'refused' AND here AND fund % 3 <> 0 THEN inflow * 2 ELSE inflow END AS inflow, outflow
+        FROM M, (VALUES ('kept'), ('ended'), ('undated'), ('refused')) AS x(rule)
+        WHERE rule <> 'ended' OR here IS NOT TRUE OR fund % 3 <> 0
+        UNION ALL SELECT 'undated', dt, fund, 1.0, outflow FROM M u WHERE dt IS NULL AND fund % 4 = 0 AND inflow <> 1.0)
+    SELECT rule, CAST(date_trunc('month', dt) AS DATE) AS month, rule = 'refused' AS refused, count(*) AS n, count(DISTINCT fund) AS funds,
+        round(sum(inflow), 2) AS inflow, round(sum(outflow), 2) AS outflow FROM R GROUP BY ALL""",
+)
+oracle(
+    "upkeep_of_partials",
+    "D",
+    """, E AS (SELECT fund, dt, seq, balance, outflow,
+        CASE WHEN year(dt) = 1997 AND month(dt) = 3 AND fund % 3 <> 0 THEN 2 ELSE 1 END AS twice, quota * twice AS quota, inflow * twice AS inflow
+        FROM D WHERE NOT (year(dt) = 1999 AND month(dt) = 5)),
+    Y AS (SELECT fund, year(dt) AS y, arg_min(quota, (dt, seq)) AS first, arg_max(quota, (dt, seq)) AS last, arg_max(balance, (dt, seq)) AS balance,
+        sum(inflow - outflow) AS net FROM E GROUP BY ALL)
+    SELECT 'months' AS "table", CAST(date_trunc('month', dt) AS DATE) AS dt, CAST(count(*) AS BIGINT) AS n, round(sum(inflow), 2) AS inflow,
+        round(sum(inflow - outflow), 2) AS net, CAST(NULL AS DOUBLE) AS ret, '1997-3,1999-5' AS changed FROM E GROUP BY 2
+    UNION ALL SELECT 'years', make_date(y, 1, 1), count(*), round(sum(balance), 2), round(sum(net), 2), round(sum(last - first), 2), '1997-3,1999-5'
+    FROM Y GROUP BY y""",
+)
 ORACLES["csv_quoted_breaks"] = r"""WITH T AS (SELECT doc_id, lang, regexp_replace(text, '[\r\t"]', ' ', 'g') AS text FROM documents)
 SELECT mode, doc_id, lang, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n, md5(text) AS digest
 FROM T, (VALUES ('files'), ('archives')) AS m(mode)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cotaflow.functions import labels, missing, periods, report, text
 from cotaflow.operators import distribution, joins, reshape, totals
-from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns, studies
+from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns, studies, upkeep
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
 from cotaflow.sources.scratch import scratch_path, staged
 from workload import landing, tables as t
@@ -782,6 +782,58 @@ def restate_month(spark, sf):
     return rounded(found, 2).withColumn("refused", F.lit(refused))
 
 
+@query
+def merge_published_again(spark, sf):
+    """One month published again for some funds, by every rule: the others kept or ended, undated rows added or refused."""
+    rows = t.daily(spark, sf).withColumn("dt", F.when(F.col("seq") % 97 != 0, F.col("dt")))
+    month = rows.where(periods.in_years(F.col("dt"), 1997, 1997) & (F.month("dt") == 3) & (F.col("fund") % 3 != 0))
+    again = month.withColumn("inflow", F.col("inflow") * 2)
+    undated = rows.where(F.col("dt").isNull() & (F.col("fund") % 2 == 0))
+    late = undated.withColumn("inflow", F.lit(1.0)).where(F.col("fund") % 4 == 0)
+    mixed = again.unionByName(undated).unionByName(late)
+    rules = {"kept": [again], "ended": [again], "undated": [mixed, mixed], "refused": [mixed]}  # a second run changes nothing
+    options = {"ended": {"absent": "end"}, "undated": {"undated": "add"}}
+    start = scratch_path(spark, "merge")
+    ingest.consolidate(rows, start)
+    found = []
+    for rule, batches in rules.items():
+        folder = scratch_path(spark, f"merge-{rule}")
+        ingest.consolidate(spark.read.parquet(start), folder)
+        refused = False
+        for batch in batches:
+            try:
+                ingest.consolidate(batch, folder, "merge", **options.get(rule, {}))
+            except ValueError:
+                refused = True
+        sums = [F.count("*").alias("n"), F.countDistinct("fund").alias("funds"), F.sum("inflow").alias("inflow"), F.sum("outflow").alias("outflow")]
+        back = spark.read.parquet(folder).groupBy(F.trunc("dt", "MM").alias("month")).agg(*sums)
+        found.append(rounded(back, 2).withColumns({"rule": F.lit(rule), "refused": F.lit(refused)}))
+    return delimited.union_by_name(found)
+
+
+@query
+def upkeep_of_partials(spark, sf):
+    """Stored month and year sums after a month was published again and another deleted, without a full recomputation."""
+    folder, store_folder = (scratch_path(spark, n) for n in ("upkeep-daily", "upkeep-store"))
+    rows = t.daily(spark, sf)
+    ingest.consolidate(rows, folder)
+    order = ["dt", "seq"]
+    upkeep.refresh(spark, folder, store_folder, order)
+    again = rows.where(periods.in_years(F.col("dt"), 1997, 1997) & (F.month("dt") == 3) & (F.col("fund") % 3 != 0))
+    ingest.consolidate(again.withColumns({c: F.col(c) * 2 for c in ("quota", "inflow")}), folder, "merge")
+    store.drop_partitions(spark, folder, [(1999, 5)], [base.YEAR_PARTITION, base.MONTH_PARTITION])
+    changed = upkeep.refresh(spark, folder, store_folder, order)
+    months, years = upkeep.months(spark, store_folder), upkeep.years(spark, store_folder)
+    by_month = months.groupBy("dt").agg(F.sum("rows").alias("n"), F.sum("inflow").alias("inflow"), F.sum("net").alias("net"), F.lit(None).cast("double").alias("ret"))
+    returned = years.withColumn("ret", F.col("end") - F.col("start"))
+    by_year = returned.groupBy(F.make_date("year", F.lit(1), F.lit(1)).alias("dt")).agg(
+        F.count("*").alias("n"), F.sum("balance").alias("inflow"), F.sum("net").alias("net"), F.sum("ret").alias("ret")
+    )
+    both = by_month.withColumn("table", F.lit("months")).unionByName(by_year.withColumn("table", F.lit("years")))
+    told = F.lit(",".join(f"{y}-{m}" for y, m in changed))
+    return rounded(both, 2).withColumn("changed", told)
+
+
 def _published(spark, sf, rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``rows`` in library names, written under the published names in a text file and read back from it."""
     folder = scratch_path(spark, "published")
