@@ -272,26 +272,32 @@ def box_stats(df: DataFrame, by: list[str], value: str, method: str = "select")
     )
 
 
-def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, method: str = "select") -> DataFrame:
-    """Gaussian density of each group at evenly spaced points from its lowest to its highest value.
-
-    The bandwidth is the rule-of-thumb one: 0.9 times the smaller of standard deviation and quartile
-    distance / 1.34, times n to the power -1/5.  Where that is zero the standard deviation, the size
-    of the value or 1 take its place in turn.  Groups of one row have no curve.
-    Each row adds to ``points`` sums inside its own task; only the sums are shuffled.
-    """
+def _curve_shape(df: DataFrame, by: list[str], value: str, points: int, method: str) -> DataFrame:
+    """``n``, ends and bandwidth of each group with two rows or more."""
     if points < 2:
         raise ValueError("a curve needs at least two points")
-    x = F.col(value)
     spread = F.least(F.col("sd"), (F.col("q3") - F.col("q1")) / 1.34)
     base = F.coalesce(
         F.nullif(spread, F.lit(0.0)), F.nullif(F.col("sd"), F.lit(0.0)), F.nullif(F.abs("low"), F.lit(0.0)), F.lit(1.0)
     )
-    shape = (
+    return (
         group_stats(df, by, value, SIDES, method)
         .where(F.col("n") >= 2)
         .select(*by, "n", "low", "high", (0.9 * base * F.pow("n", F.lit(-0.2))).alias("bandwidth"))
     )
+
+
+def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, method: str = "select") -> DataFrame:
+    """Gaussian density of each group at evenly spaced points from its lowest to its highest value.
+
+    The bandwidth is the rule-of-thumb one: 0.9 times the smaller of standard deviation and quartile
+    distance / 1.34, times n to the power -1/5.  Where that is zero the standard deviation, the size
+    of the value or 1 take its place in turn.  Groups of one row have no curve.
+    Each row adds to ``points`` sums inside its own task; only the sums are shuffled.  ``binned_density`` is
+    for groups with many more rows than points.
+    """
+    x = F.col(value)
+    shape = _curve_shape(df, by, value, points, method)
     rows = lookup_join(df.where(present(x)).select(*by, x), shape, by, "inner", nulls_match=True)
     step = (F.col("high") - F.col("low")) / (points - 1)
     # Per row only its distance from the first point and the distance of two points, both in bandwidths, go on.
@@ -304,3 +310,32 @@ def density_curve(df: DataFrame, by: list[str], value: str, points: int = 512, m
     placed = lookup_join(sums, shape, by, "inner", nulls_match=True)
     at = F.col("low") + F.col("point") * step
     return placed.select(*by, "point", at.alias("at"), "bandwidth", (F.col("mass") / scale).alias("density"))
+
+
+def binned_density(df: DataFrame, by: list[str], value: str, points: int = 512, method: str = "radix") -> DataFrame:
+    """``density_curve`` by linear binning: work of n + points^2 a group in place of n * points.
+
+    Every row adds to the two points beside it, by how near it is to either; the Gaussian is then applied to these
+    weights.  With points d bandwidths apart, that differs from the exact density by at most
+    d^2 / (8 bandwidth sqrt(2 pi)) anywhere: what linear interpolation of the Gaussian can miss.
+    Of a large group only its weights, one for each point and task, are shuffled.
+    """
+    x = F.col(value)
+    shape = _curve_shape(df, by, value, points, method)
+    rows = lookup_join(df.where(present(x)).select(*by, x), shape, by, "inner", nulls_match=True)
+    step = (F.col("high") - F.col("low")) / (points - 1)
+    place = F.when(step > 0, F.least((x - F.col("low")) / step, F.lit(points - 1.0))).otherwise(0.0)
+    left = F.floor(F.col("__place"))
+    beside = F.array(
+        F.struct(left.alias("bin"), (1 - (F.col("__place") - left)).alias("weight")),
+        F.struct((left + 1).alias("bin"), (F.col("__place") - left).alias("weight")),
+    )
+    weights = rows.select(*by, place.alias("__place")).select(*by, F.explode(beside).alias("__one")).where("__one.weight > 0")
+    weights = weights.groupBy(*by, F.col("__one.bin").alias("__bin")).agg(F.sum("__one.weight").alias("__weight"))
+    binned = lookup_join(weights, shape, by, "inner", nulls_match=True)
+    grid = binned.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    gap = (F.col("__bin") - F.col("point")) * step / F.col("bandwidth")
+    sums = grid.groupBy(*by, "point", "n", "low", "high", "bandwidth").agg(F.sum(F.col("__weight") * F.exp(-0.5 * gap * gap)).alias("mass"))
+    scale = F.col("n") * F.col("bandwidth") * F.sqrt(F.lit(2) * F.pi())
+    at = F.col("low") + F.col("point") * step
+    return sums.select(*by, "point", at.alias("at"), "bandwidth", (F.col("mass") / scale).alias("density"))

@@ -167,3 +167,17 @@ def test_radix_selection_spreads_a_hot_group(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "percentile" not in plan and "collect_list" not in plan
     assert plan.count("partial_count") >= len(dist.DIGITS)
+
+
+@pytest.mark.parametrize("points", [4, 64, 512])
+def test_binned_density_is_within_its_bound(frame, points):
+    r = random.Random(points)
+    data = {1: [r.gauss(0, 2) for _ in range(300)], 2: [1.0, 4.0], 3: [7.0], 4: [2.0, 2.0, 2.0, 9.0], 5: [3.0, 3.0], None: [1.0, 2.0, None, 5.0]}
+    df = frame("g int, x double", *[(g, x) for g, xs in data.items() for x in xs])
+    exact = {(row.g, row.point): row for row in dist.density_curve(df, ["g"], "x", points).collect()}
+    found = {(row.g, row.point): row for row in dist.binned_density(df, ["g"], "x", points).collect()}
+    assert found.keys() == exact.keys() and len(found) == 5 * points
+    for key, row in found.items():
+        gap = (exact[key[0], 1].at - exact[key[0], 0].at) / row.bandwidth
+        bound = gap**2 / (8 * row.bandwidth * math.sqrt(2 * math.pi))
+        assert row.at == pytest.approx(exact[key].at) and abs(row.density - exact[key].density) <= bound + 1e-12

@@ -712,6 +712,20 @@ oracle(
     UNION ALL SELECT 'years', make_date(y, 1, 1), count(*), round(sum(balance), 2), round(sum(net), 2), round(sum(last - first), 2), '1997-3,1999-5'
     FROM Y GROUP BY y""",
 )
+oracle(
+    "price_density_binned",
+    "DL",
+    """, S AS (SELECT flag, count(*) AS n, min(quota) AS low, max(quota) AS high, (high - low) / 511 AS step,
+        0.9 * least(stddev_samp(quota), (quantile_cont(quota, 0.75) - quantile_cont(quota, 0.25)) / 1.34) * pow(count(*), -0.2) AS h
+        FROM DL GROUP BY flag),
+    P AS (SELECT flag, least((quota - low) / step, 511.0) AS place FROM DL JOIN S USING (flag)),
+    B AS (SELECT flag, bin, sum(weight) AS weight FROM (
+        SELECT flag, floor(place) AS bin, 1 - (place - floor(place)) AS weight FROM P
+        UNION ALL SELECT flag, floor(place) + 1, place - floor(place) FROM P) WHERE weight > 0 GROUP BY ALL)
+    SELECT flag, CAST(point AS INTEGER) AS point, round(low + point * step, 6) AS at, round(h, 6) AS bandwidth,
+        round(sum(weight * exp(-0.5 * pow((bin - point) * step / h, 2))) / (n * h * sqrt(2 * pi())), 10) AS density
+    FROM B JOIN S USING (flag), range(512) AS g(point) GROUP BY flag, point, low, step, h, n""",
+)
 ORACLES["csv_quoted_breaks"] = r"""WITH T AS (SELECT doc_id, lang, regexp_replace(text, '[\r\t"]', ' ', 'g') AS text FROM documents)
 SELECT mode, doc_id, lang, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n, md5(text) AS digest
 FROM T, (VALUES ('files'), ('archives')) AS m(mode)

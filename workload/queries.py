@@ -582,6 +582,14 @@ def return_density(spark, sf):
     return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
 
 
+@query
+def price_density_binned(spark, sf):
+    """Density of all daily prices, a few groups of many rows, by linear binning."""
+    prices = t.dense_daily(spark, sf).select("flag", "quota")
+    curve = distribution.binned_density(prices, ["flag"], "quota")
+    return rounded(rounded(curve, 6, "at", "bandwidth"), 10, "density")
+
+
 def _trimmed(spark, sf):
     quotas = _quotas_with_gaps(spark, sf)
     found = returns.plausible(returns.annual_return(quotas, *YEARS, t.DENSE_ORDER, skip_missing=True))
