@@ -1,0 +1,71 @@
+"""Running totals, numbers and distinct counts that no single task has to work out."""
+
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from cotaflow.operators import prefix
+from cotaflow.operators.windows import level_code
+from cotaflow.plans import active
+
+from .conftest import rows
+
+
+def test_running_total_with_missing_values(spark, frame):
+    r = random.Random(1)
+    data = [(i, r.choice(["a", "b", None]), r.choice([None, 1, -4, 7])) for i in r.sample(range(10_000), 500)]
+    df = frame("i int, g string, x long", *data)
+    found = prefix.running_total(df, "x", ["g", "i"], "total")
+    want, total = [], 0
+    for i, g, x in sorted(data, key=lambda z: (z[1] is not None, z[1] or "", z[0])):
+        total += x or 0
+        want.append((i, g, x, total))
+    assert rows(found) == sorted(want, key=repr)
+    assert prefix.running_total(df.where("false"), "x", ["g", "i"], "total").count() == 0
+
+
+def test_only_totals_of_ranges_meet_in_one_task(spark):
+    """The rows are shuffled by range; below the single task are as many rows as there are ranges."""
+    df = spark.range(1_000_000).select("id", (F.col("id") * 7 % 1000).alias("x"))
+    found = prefix.running_total(df, "x", ["id"], "total")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    single = plan[plan.index("Exchange SinglePartition") :]
+    assert plan.count("Exchange SinglePartition") == 1 and single.index("HashAggregate") < single.index("FileScan")
+    assert found.where("id = 999999").first()["total"] == 499_500_000 and found.agg(F.max("total")).first()[0] == 499_500_000
+
+
+def test_numbers_and_levels(spark, frame):
+    df = frame("g string, x int", *[(g, i) for i, g in enumerate(["c", "a", None, "b", "a", "c", "c"])])
+    found = prefix.level_numbers(df, "g", "n")
+    assert rows(found) == sorted([("c", 0, 3), ("a", 1, 1), (None, 2, None), ("b", 3, 2), ("a", 4, 1), ("c", 5, 3), ("c", 6, 3)], key=repr)
+    assert rows(found.where("g is not null").select("x", "n")) == rows(df.where("g is not null").select("x", level_code("g")))
+    many = prefix.numbered(spark.range(5000).select((F.col("id") * 31 % 5000).alias("k")), ["k"], "n")
+    assert many.where("n <> k + 1").isEmpty() and many.count() == 5000
+
+
+@pytest.mark.parametrize("first, last", [((2023, 1, 15), (2023, 1, 2)), ((2023, 1, 1), (2023, 12, 31)), ((2023, 11, 30), (2024, 2, 29)), ((2030, 1, 1), (2030, 2, 1))])
+def test_distinct_funds_of_any_period(spark, frame, first, last):
+    r = random.Random(2)
+    data = [(r.choice([None, *(f"f{i}" for i in range(60))]), r.choice([None, dt.date(2023 + r.randint(0, 1), r.randint(1, 12), r.randint(1, 28))])) for _ in range(700)]
+    types = [(f"f{i}", ["x", "y", None][i % 3]) for i in range(50)] + [("f3", "y"), ("f3", "y"), ("f3", "z"), ("absent", "q")]
+    daily, of = frame("fund string, dt date", *data), frame("fund string, type string", *types)
+    bitmaps = active.month_bitmaps(daily, of, active.fund_numbers(daily))
+    start, end = dt.date(*first).replace(day=1), dt.date(*last)
+    want = {}
+    for fund, day in data:
+        if fund and day and start <= day.replace(day=1) <= end:
+            for kind in {k for f, k in types if f == fund} or {None}:
+                want.setdefault(kind, set()).add(fund)
+    assert rows(active.active_funds(bitmaps, dt.date(*first), end)) == sorted(((k, len(v)) for k, v in want.items()), key=repr)
+    everyone = set().union(*want.values()) if want else set()
+    assert rows(active.active_funds(bitmaps, dt.date(*first), end, by_type=False)) == [(len(everyone),)]
+
+
+def test_funds_beyond_one_bitmap(spark):
+    daily = spark.range(70_000).select(F.format_string("%08d", "id").alias("fund"), F.make_date(F.lit(2024), (F.col("id") % 12 + 1).cast("int"), F.lit(3)).alias("dt"))
+    of = daily.select("fund", F.when(F.col("fund") < "00001000", "small").otherwise("large").alias("type"))
+    bitmaps = active.month_bitmaps(daily.union(daily), of, active.fund_numbers(daily))
+    assert rows(active.active_by_year(bitmaps)) == [("large", 2024, 69_000), ("small", 2024, 1000)]
+    assert bitmaps.agg(F.max(F.length("bits"))).first()[0] == 4096

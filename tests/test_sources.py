@@ -327,3 +327,18 @@ def test_class_and_snapshot_columns(frame):
     raw = frame(ddl, tuple({"DT_COMPTC": "2024-01-02", "CNPJ_FUNDO_CLASSE": "0.1/2-3"}.get(n) for n in schemas.SNAPSHOT_COLUMNS))
     found = schemas.snapshots(raw).first()
     assert (found.fund, found.dt) == ("0123", dt.date(2024, 1, 2))
+
+
+@pytest.mark.parametrize("sizes", [[1] * 50, [90, 3, 3, 3, 2, 2, 40, 41, 1, 1, 0, 88], [100], list(range(1, 60))])
+def test_members_are_dealt_by_size(spark, frame, monkeypatch, sizes):
+    monkeypatch.setattr(archives, "TASK_BYTES", 10)
+    members = frame("archive string, member string, header string, size long", *[("a", str(i), "h", n) for i, n in enumerate(sizes)])
+    found, tasks = archives.dealt(members)
+    whole = max(10, *sizes)
+    loads = {}
+    for row in found.collect():
+        assert 0 <= row.task < tasks
+        loads[row.task] = loads.get(row.task, 0) + row.size
+    assert sum(loads.values()) == sum(sizes) and max(loads.values()) <= 1.5 * whole
+    spread = found.repartitionById(tasks, "task").select("task", F.spark_partition_id().alias("p"))
+    assert all(row.task == row.p for row in spread.collect())

@@ -726,6 +726,22 @@ oracle(
         round(sum(weight * exp(-0.5 * pow((bin - point) * step / h, 2))) / (n * h * sqrt(2 * pi())), 10) AS density
     FROM B JOIN S USING (flag), range(512) AS g(point) GROUP BY flag, point, low, step, h, n""",
 )
+oracle(
+    "active_funds_any_period",
+    "D C",
+    """, P(period, first, last) AS (VALUES ('1996-11..1997-02', DATE '1996-11-01', DATE '1997-02-28'),
+        ('1995-01..2001-12', DATE '1995-01-01', DATE '2001-12-31'), ('1998-03..1998-03', DATE '1998-03-01', DATE '1998-03-31')),
+    F AS (SELECT DISTINCT fund, dt, type FROM D LEFT JOIN C USING (fund))
+    SELECT CAST(year(dt) AS VARCHAR) AS period, type, count(DISTINCT fund) AS n FROM F GROUP BY ALL
+    UNION ALL SELECT period, type, count(DISTINCT fund) FROM F JOIN P ON dt BETWEEN first AND last GROUP BY ALL
+    UNION ALL SELECT period, 'all', count(DISTINCT fund) FROM F JOIN P ON dt BETWEEN first AND last GROUP BY ALL""",
+)
+oracle(
+    "running_total_by_ranges",
+    "D",
+    """SELECT fund, dt, seq, round(inflow, 2) AS inflow, round(sum(inflow) OVER (ORDER BY dt, seq ROWS UNBOUNDED PRECEDING), 2) AS total,
+        dense_rank() OVER (ORDER BY fund) AS fund_number FROM D""",
+)
 ORACLES["csv_quoted_breaks"] = r"""WITH T AS (SELECT doc_id, lang, regexp_replace(text, '[\r\t"]', ' ', 'g') AS text FROM documents)
 SELECT mode, doc_id, lang, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS n, md5(text) AS digest
 FROM T, (VALUES ('files'), ('archives')) AS m(mode)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cotaflow.functions import labels, missing, periods, report, text
-from cotaflow.operators import distribution, joins, reshape, totals
-from cotaflow.plans import balances, base, catalog, distributions, flows, ingest, profile, returns, studies, upkeep
+from cotaflow.operators import distribution, joins, prefix, reshape, totals
+from cotaflow.plans import active, balances, base, catalog, distributions, flows, ingest, profile, returns, studies, upkeep
 from cotaflow.sources import archives, delimited, periods as spines, schemas, tables as store
 from cotaflow.sources.scratch import scratch_path, staged
 from workload import landing, tables as t
@@ -790,6 +790,28 @@ def restate_month(spark, sf):
     return rounded(found, 2).withColumn("refused", F.lit(refused))
 
 
+@query
+def active_funds_any_period(spark, sf):
+    """Different funds per type of each year and of periods across years, all from the same bitmaps by month."""
+    daily = t.daily(spark, sf)
+    bitmaps = active.month_bitmaps(daily, t.classes(spark, sf), active.fund_numbers(daily))
+    periods_asked = [(dt.date(1996, 11, 5), dt.date(1997, 2, 1)), (dt.date(1995, 1, 1), dt.date(2001, 12, 31)), (dt.date(1998, 3, 1), dt.date(1998, 3, 31))]
+    found = [active.active_by_year(bitmaps).select(F.col("year").cast("string").alias("period"), "type", "n")]
+    for first, last in periods_asked:
+        for by_type in (True, False):
+            one = active.active_funds(bitmaps, first, last, by_type).withColumn("period", F.lit(f"{first:%Y-%m}..{last:%Y-%m}"))
+            found.append(one.select("period", "type" if by_type else F.lit("all").alias("type"), "n"))
+    return delimited.union_by_name(found)
+
+
+@query
+def running_total_by_ranges(spark, sf):
+    """Running inflow over all daily rows in order of time, and the number of each fund, without a single task."""
+    rows = t.daily(spark, sf).select("fund", "dt", "seq", "inflow")
+    totals = prefix.running_total(rows, "inflow", ["dt", "seq"], "total")
+    return rounded(prefix.level_numbers(totals, "fund", "fund_number"), 2)
+
+
 @query
 def merge_published_again(spark, sf):
     """One month published again for some funds, by every rule: the others kept or ended, undated rows added or refused."""
