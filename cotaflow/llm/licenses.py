@@ -2,7 +2,7 @@
 
 Every text and every wording is a row of lower-cased words.  The hashes of a text's rolling k-word grams are
 joined to the places where wordings hold the same gram; a hit at word p of the text and word t of a wording
-votes for the diagonal p - t.  Votes are summed per text, wording and diagonal as a bit map of t.  Diagonals a
+votes for the diagonal p - t.  Votes are summed per text, wording and diagonal as bit maps of t, as many as the wording needs.  Diagonals a
 few words apart, as words put in or left out make them, are merged, and a span counts when its places cover
 enough of the wording.  Short phrases count only whole, on one diagonal: those are their exact occurrences.
 
@@ -26,8 +26,8 @@ from cotaflow.llm import flat
 from cotaflow.session import ship_package
 from cotaflow.sources.scratch import staged
 
-#: Places of a wording are bits of a long.
-MOST_GRAMS = 62
+#: Places of a wording are bits of longs, so many to one; a wording has as many longs as it needs.
+BITS = 62
 #: Diagonals this far apart belong to one span; spans must cover this share of a wording's grams.
 MERGE, COVER = 3, 0.6
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -75,8 +75,8 @@ def wording_grams(wordings) -> list[tuple[int, int, int, int]]:
     for i, wording in enumerate(wordings):
         words = flat.Words(pa.array([" ".join(wording.words())]), flat.LETTERS)
         grams = flat.rolling(words.hashes, wording.k)
-        if not 0 < len(grams) <= MOST_GRAMS:
-            raise ValueError(f"a wording must have {wording.k} to {MOST_GRAMS + wording.k - 1} words: {wording.text!r}")
+        if not len(grams):
+            raise ValueError(f"a wording must have {wording.k} words or more: {wording.text!r}")
         out += [(i, wording.k, t, int(g)) for t, g in enumerate(grams.view(np.int64))]
     return out
 
@@ -135,21 +135,22 @@ def scan(
     )
     votes = described.where(F.size("hits") > 0).select("id", "version", F.inline("hits"))
     votes = votes.join(F.broadcast(places), "gram").withColumn("diagonal", F.col("place") - F.col("t"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("t").cast("int"))
-    votes = votes.groupBy("id", "version", "wording", "diagonal").agg(
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("t") % BITS).cast("int"))
+    votes = votes.groupBy("id", "version", "wording", "diagonal", F.floor(F.col("t") / BITS).alias("part")).agg(
         F.bit_or(bit).alias("bits"), F.min("place").alias("low"), F.max("place").alias("high")
     )
     votes = votes.join(F.broadcast(about), "wording")
 
     # Phrases: whole on one diagonal.  Notices: diagonals that lie near each other are one span.
-    own = Window.partitionBy("id", "version", "wording").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(own) > MERGE, F.lit(True))
-    merged = votes.withColumn("begins", (F.col("phrase") | apart).cast("int"))
+    own = Window.partitionBy("id", "version", "wording").orderBy("diagonal", "part")
+    away = F.col("diagonal") - F.lag("diagonal").over(own)
+    apart = F.coalesce(away > F.when(F.col("phrase"), 0).otherwise(MERGE), F.lit(True))
+    merged = votes.withColumn("begins", apart.cast("int"))
     merged = merged.withColumn("span", F.sum("begins").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("id", "version", "wording", "label", "phrase", "grams", "k", "span").agg(
-        F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high")
-    )
-    cover = F.bit_count("bits") / F.col("grams")
+    by = ["id", "version", "wording", "label", "phrase", "grams", "k", "span"]
+    parts = merged.groupBy(*by, "part").agg(F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = parts.groupBy(*by).agg(F.sum(F.bit_count("bits")).alias("places"), F.min("low").alias("low"), F.max("high").alias("high"))
+    cover = F.col("places") / F.col("grams")
     long_enough = F.when(F.col("phrase"), F.col("cover") == 1.0).otherwise((F.col("cover") >= COVER) & (F.col("high") - F.col("low") < 2 * F.col("grams") + 2 * MERGE))
     spans = spans.withColumn("cover", cover).withColumn("found", long_enough)
 

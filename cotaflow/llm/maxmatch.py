@@ -27,6 +27,10 @@ from cotaflow.session import ship_package
 UNKNOWN = 1
 
 
+#: From this byte on, if so few words are as long, each is walked by itself: a step of all words costs more then.
+LONG, FEW = 64, 32
+
+
 class MaxMatch:
     """Trie of pieces (bytes) with failure links and popped-piece counts; state 0 is the root."""
 
@@ -63,6 +67,7 @@ class MaxMatch:
         keys = np.array(sorted(edges), np.int64)
         self.keys, self.after = keys, np.array([edges[k] for k in keys.tolist()], np.int64)
         self.fail, self.popped, self.mark = np.array(fail), np.array(popped), mark
+        self.edges, self.fail_of, self.popped_of = edges, fail, popped
 
     def _step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The state after each symbol, -1 where the trie has no edge."""
@@ -76,9 +81,14 @@ class MaxMatch:
         starts, sizes = starts[order], sizes[order]
         out = np.zeros(len(starts), np.int64)
         states = np.zeros(len(starts), np.int64)
-        longest = int(sizes[0]) if len(sizes) else 0
+        longest, falling = int(sizes[0]) if len(sizes) else 0, -sizes
         for place in range(-len(self.mark), longest):
-            n = len(sizes) if place < 0 else int(np.searchsorted(-sizes, -place, "left"))  # words longer than that
+            n = len(sizes) if place < 0 else int(np.searchsorted(falling, -place, "left"))  # words longer than that
+            if place >= LONG and n <= FEW:
+                for i in range(n):
+                    rest = data[starts[i] + place : starts[i] + sizes[i]].tobytes()
+                    states[i], out[i] = self._walk(rest, int(states[i]), int(out[i]))
+                break
             symbols = np.full(n, self.mark[place], np.int64) if place < 0 else data[starts[:n] + place].astype(np.int64)
             live = np.flatnonzero(states[:n] >= 0)
             while len(live):
@@ -95,6 +105,23 @@ class MaxMatch:
         result[order] = out
         return result
 
+    def _walk(self, rest: bytes, state: int, count: int) -> tuple[int, int]:
+        """State and pieces after the rest of one word, byte by byte."""
+        edges, fail, popped = self.edges, self.fail_of, self.popped_of
+        for byte in rest:
+            if state < 0:
+                break
+            after = edges.get(state << 8 | byte)
+            while after is None:
+                count += popped[state]
+                state = fail[state]
+                if state < 0:
+                    break
+                after = edges.get(state << 8 | byte)
+            else:
+                state = after
+        return state, count
+
     def _pop(self, live: np.ndarray, states: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Follow the failure links of these words; those without one are lost, the others are returned."""
         out[live] += self.popped[states[live]]

@@ -83,6 +83,8 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], stage: Staging) ->
             state = state.drop("miss")
         if worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"the targets can't be met together: after {MOST_ITERATIONS} steps one is missed by a share of {worst:.3g}")
     return state.withColumn("rate", F.exp("tilt")).drop("tilt")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +12,10 @@ from cotaflow.llm import bpe, crosspolytope, divergence, licenses, maxmatch, mix
 from cotaflow.llm.sql import ORACLES as ORACLES
 from cotaflow.sources.scratch import staged
 
-#: Folder of the public tokenizers' files on the driver.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str) -> str:
-    path = os.path.join(TOKENIZERS, name)
-    return path if os.path.exists(path) else importlib.import_module("public_tokenizers").path(name)
+    """The path of a public tokenizer's file on the driver."""
+    return importlib.import_module("public_tokenizers").path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -71,6 +71,20 @@ def test_automaton_counts_greedy_pieces(seed):
     assert found.tolist() == [greedy(pieces, b" " + w) for w in tested]
 
 
+def test_long_words_are_walked_alone(monkeypatch):
+    """Words that outlast all others, with bytes that no piece has, give what the steps of all words give."""
+    rng = random.Random(9)
+    pieces = {bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 5))) for _ in range(12)} | {b" ", b" a", b" ab"}
+    machine = maxmatch.MaxMatch(sorted(pieces))
+    tested = [bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 63, 64, 65, 200, 3000, 3000, 20_000)] + [b"ab" * 100 + b"z" + b"ab" * 400]
+    sizes = np.array([len(w) for w in tested])
+    data, starts = np.frombuffer(b"".join(tested), np.uint8), np.cumsum(sizes) - sizes
+    found = machine.counts(data, starts, sizes).tolist()
+    assert found == [greedy(pieces, b" " + w) for w in tested]
+    monkeypatch.setattr(maxmatch, "FEW", 0)
+    assert machine.counts(data, starts, sizes).tolist() == found
+
+
 def test_token_counts(spark):
     rows = [*awkward_texts(7), (None, "no id"), (None, None)]
     pieces = set(maxmatch.vocabulary_pieces(CONTENT))

@@ -123,3 +123,32 @@ def test_logistic_curve_finds_the_labels(noise):
     x = np.column_stack((np.ones(3000), hits, hits * 0.9 + rng.normal(0, 0.01, 3000), rng.uniform(0.3, 0.8, 3000)))
     found = toxicity.logistic(x, y, np.ones(3000))
     assert ((x @ found > 0) == (hits > 0)).all()
+
+
+def test_quality_equals_a_plain_discriminant(spark):
+    """Class means and shrunken covariances of all rows at once, densities by solving, over the same statistics."""
+    rows, docs, labels = tables(spark, 6)
+    described = quality.describe(docs)
+    known = labels.where("doc_id % 3 <> 1")
+    scored = quality.score(described, quality.fit(described, known, "quality"))
+    x = quality.statistics(pa.array([r[1] for r in rows]))
+    learn = np.array([r[0] % 3 != 1 for r in rows])
+    label = np.array([r[2] for r in rows])
+    covariances, means, shares = [], [], []
+    for k in (0, 1):
+        own = x[learn & (label == k)]
+        means.append(own.mean(axis=0))
+        covariances.append((own - means[k]).T @ (own - means[k]) / len(own))
+        shares.append(len(own) / learn.sum())
+    pooled = sum(c * s for c, s in zip(covariances, shares, strict=True))
+    logs = []
+    for k in (0, 1):
+        c = covariances[k]
+        c = (1 - quality.SHRINK_DIAGONAL) * c + quality.SHRINK_DIAGONAL * np.diag(np.diag(c))
+        c = (1 - quality.SHRINK_POOLED) * c + quality.SHRINK_POOLED * pooled + quality.RIDGE * np.eye(len(c))
+        away = x - means[k]
+        logs.append(np.log(shares[k]) - np.linalg.slogdet(c)[1] / 2 - (away * np.linalg.solve(c, away.T).T).sum(axis=1) / 2)
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
+    found = {r["doc_id"]: (r["score"], r["predicted"]) for r in scored.collect()}
+    assert np.allclose([found[r[0]][0] for r in rows], want, atol=1e-6)
+    assert [found[r[0]][1] for r in rows] == [int(w >= 0.5) for w in want]

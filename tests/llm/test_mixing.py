@@ -72,3 +72,13 @@ def test_newton_meets_several_groupings_at_once(spark):
             assert sum(r["words"] * r["rate"] for r in rates if r[column] == value) == pytest.approx(target, rel=1e-6)
     rate = {(r["s"], r["l"]): r["rate"] for r in rates}  # an exponential tilt: no interaction
     assert rate["a", "x"] * rate["b", "y"] == pytest.approx(rate["a", "y"] * rate["b", "x"], rel=1e-6)
+
+
+def test_targets_that_can_not_be_met_are_an_error(spark, monkeypatch):
+    """The same words can't make one half by source and all of them by language."""
+    monkeypatch.setattr(mixing, "MOST_ITERATIONS", 6)
+    table = spark.createDataFrame(pa.table({"s": ["a", "b"], "l": ["x", "y"], "words": [10, 10]}))
+    wanted = {"s": {"a": 5.0, "b": 15.0}, "l": {"x": 15.0, "y": 5.0}}
+    targets = {c: spark.createDataFrame(pa.table({c: list(w), "target": list(w.values())})) for c, w in wanted.items()}
+    with Staging(spark) as stage, pytest.raises(RuntimeError, match="can't be met"):
+        mixing.balance(table, targets, stage).count()

@@ -143,3 +143,31 @@ def test_licences(spark):
             assert score is None or by_id[i]["score"] == score
     assert spans.where("doc_id = 3").count() == 3
     assert licenses.scan(documents(spark, []))[0].count() == 0
+
+
+#: The text of the MIT licence without its title and holders.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice
+and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS
+PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_a_whole_licence_as_wording(spark):
+    """More places than bits of a long: a whole text, one with words put in and left out, a half and scattered words."""
+    whole = licenses.Wording("mit-text", MIT)
+    have = MIT.split()
+    assert len(whole.words()) > 150
+    changed = [w for i, w in enumerate(have) if i % 40 != 7]
+    changed[60:60] = ["oh", "my"]
+    rows = [(1, "before " + MIT + " after"), (2, " ".join(changed)), (3, " ".join(have[: len(have) // 2])), (4, " ".join(sorted(have))), (5, MIT + " . " + MIT)]
+    result, spans = licenses.scan(documents(spark, rows), phrases=(), notices=(whole,))
+    found = {r["doc_id"]: r for r in result.collect()}
+    assert [found[i]["labels"] for i in range(1, 6)] == ["mit-text", "mit-text", "", "", "mit-text"]
+    assert found[1]["score"] == 1 and 0.8 < found[2]["score"] < 1 and 0.4 < found[3]["score"] < 0.6
+    words = len(whole.words())
+    assert collected(spans.where("doc_id in (1, 5)"), "doc_id", "first_word", "last_word") == [(1, 1, words), (5, 0, words - 1), (5, words, 2 * words - 1)]
