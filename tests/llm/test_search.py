@@ -93,6 +93,36 @@ def test_nearest_recall(spark):
         assert [i for _, i, _ in g] == [i for _, i, s in sorted(g, key=lambda r: (-r[2], r[1]))]
 
 
+def test_recall_and_work_on_the_test_table(spark):
+    """A quarter of the inner products of brute force finds nine in ten of the nearest, at least."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    x = np.array([v for _, v in rows], float)
+    ids = np.array([i for i, _ in rows])
+    asks = np.flatnonzero(ids % 20 == 0)
+    scores = x[asks] @ x.T
+    scores[np.arange(len(asks)), asks] = -np.inf
+    want = {int(ids[q]): set(ids[np.argsort(-s, kind="stable")[:20]].tolist()) for q, s in zip(asks, scores, strict=True)}
+    got = {}
+    for r in crosspolytope.nearest(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert np.mean([len(got[q] & want[q]) / 20 for q in want]) >= 0.95
+    assert crosspolytope.PROBES <= 0.25
+
+
+def test_vectors_of_extreme_length(spark):
+    """Lengths whose squares are beyond doubles, beside common ones."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(600, 8)) * 10.0 ** rng.choice([-200, -3, 0, 120], 600)[:, None]
+    table = spark.createDataFrame(pa.table({"vec_id": list(range(600)), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}))
+    found = crosspolytope.nearest(table, F.col("vec_id") % 100 == 0).collect()
+    assert len(found) == 6 * 20
+    scores = x[::100] @ x.T
+    scores[np.arange(6), np.arange(0, 600, 100)] = -np.inf
+    best = {q * 100: set(np.argsort(-s, kind="stable")[:20].tolist()) for q, s in enumerate(scores)}
+    assert np.mean([r["vec_id"] in best[r["query_id"]] for r in found]) >= 0.9
+
+
 def test_nearest_of_few_and_odd_vectors(spark):
     """Fewer candidates than asked for: all of them; those that take no part are nowhere."""
     rows = float32(
