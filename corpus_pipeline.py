@@ -14,14 +14,23 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score one half or more go; the lexicon is learned from the labels of those that are there."""
+    """Documents that score one half or more go; the lexicon is learned from the labels of those that are there.
+
+    Null and empty texts score as texts without words, so they stay unless such texts are labelled toxic; repeated rows and
+    rows without an id are judged one by one, alike where texts are.  Without labels of both kinds nothing goes;
+    no rows give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.fit(docs, labels, "toxic")
     return toxicity.score(docs, lexicon, carry=docs.columns).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of the smallest id; of repeated rows, one."""
+    """One document of each group of near duplicates stays: the one of the smallest id; of repeated rows, one.
+
+    Null and empty texts have no duplicates but repeated rows.  Rows without an id stay if any of them belongs to no
+    group with an id, since nothing else tells them apart.  No rows give no rows.
+    """
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     chosen = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id"))).drop("_kept_id")
     return chosen.dropDuplicates(["doc_id", "text"])
@@ -43,7 +52,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, whole: copies of a row are equal in all columns.
+
+    A document without words, null and empty texts among them, brings none to the mix and goes, as do documents that
+    the mix takes no copy of.  A null source is a source of its own, last in order.  Rows that repeat share the
+    copies that they are given together.  No rows give no rows.
+    """
     mixed = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))
     mixed = mixed.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_version"))
@@ -56,7 +70,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every row, with digests of the ids and of the text they decode to."""
+    """The token ids of every row, with digests of the ids and of the text they decode to.
+
+    Null texts are encoded as empty ones, which have no ids; repeated rows, and rows without an id, give a row each.
+    """
     encoded = bpe.encode_decode(docs, tokenizer_path("byte_bpe_50k.json"))
     return encoded.select(
         "doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
