@@ -122,6 +122,7 @@ CONTRACT = {
     "op6_bpe_encode_decode": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
     "op8_cross_polytope": {"query_id", "rank", "vec_id", "score"},
     "op10_source_mix": {"doc_id", "size", "source_size", "target", "taken"},
+    "op11_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
 }
 
 
@@ -133,7 +134,10 @@ def test_every_query_is_checked():
 def test_query_covers_its_table(spark, name):
     found = queries.QUERIES[name](spark, SF)
     assert CONTRACT[name] <= set(found.columns)
-    if name != "op8_cross_polytope":
+    if name == "op11_whitening":
+        assert found.count() == 32 * spark.read.parquet(f"{SF}/embeddings.parquet").count()
+        assert found.agg({"identity_error": "max"}).first()[0] < 1e-4 and found.where("whitened is null or component not between 1 and 32").isEmpty()
+    elif name != "op8_cross_polytope":
         assert found.select("doc_id").distinct().count() == found.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     else:
         asked = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0").count()
