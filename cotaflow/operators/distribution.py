@@ -95,7 +95,9 @@ def _radix_quantiles(rows: DataFrame, by: list[str], value: str, probs: dict[str
     held = counts.where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__rows")))
     names = [f"{side}{i}" for i in range(len(probs)) for side in ("lo", "hi")]
     values = held.groupBy(*by).agg(*[F.max(F.when(F.col("q") == q, F.col("__value"))).alias(f"__{q}") for q in names])
-    joined = lookup_join(summary, values, by, "left", nulls_match=True)
+    # Each group has one row of either kind, so the largest value of a column is the one that is there.
+    both = summary.unionByName(values, allowMissingColumns=True).groupBy(*by)
+    joined = both.agg(*[F.max(c).alias(c) for c in ("n", "low", "high", "sd", *(f"__{q}" for q in names))])
     quantiles = [
         _between(F.col(f"__lo{i}"), F.col(f"__hi{i}"), (F.col("n") - 1) * F.lit(p)).alias(name) for i, (name, p) in enumerate(probs.items())
     ]
