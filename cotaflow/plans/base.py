@@ -81,7 +81,10 @@ def for_funds(daily: DataFrame, chosen: DataFrame, summarise: Callable[[DataFram
     """``summarise(daily)``, a table with few rows per fund, for the chosen funds.
 
     Funds are matched after the rows of each are summed, so the daily rows are never shuffled to meet
-    the list, however long it is.
+    the list, however long it is.  Rows of other funds mostly go before they are summed: the planner joins a list
+    that it broadcasts below the sums, and makes a Bloom filter at the scan of a longer one, provided it sees
+    how the list was selected (its scan and conditions; a list that comes from a staged table has none) and
+    ``session.tune`` has set the sizes from which on that pays.
     """
     return keep_members(summarise(daily), chosen.select("fund"), "fund")
 

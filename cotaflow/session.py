@@ -17,6 +17,10 @@ COMMON = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Daily rows that meet a lookup of small partitions are hashed, not sorted.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # A list of funds that is too long to broadcast becomes a Bloom filter at the scan of the daily rows.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "256MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

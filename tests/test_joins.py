@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cotaflow.functions.missing import skip_sum, strict_sum, zero_sum
 from cotaflow.operators import joins
 from cotaflow.operators.totals import totals_by_lookup
-from cotaflow.plans import base
+from cotaflow.plans import base, partials
 from tests.conftest import rows
 
 
@@ -131,3 +131,69 @@ def test_joins_of_raw_rows_split_a_hot_fund(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+# Sizes from which on the planner filters a scan by the other side of a join.
+FILTER_SIZE = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+
+
+def rows_summed(df):
+    """Rows that reach the first aggregation or sort in the plan that has run, by the metrics of its filters."""
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.finalPhysicalPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        elif name == "FilterExec" and "might_contain" in node.condition().toString():
+            found.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+@pytest.fixture
+def industry_tables(spark, tmp_path):
+    """20 000 daily rows of 200 funds, 10 of category A."""
+    spark.range(20_000).selectExpr(
+        "cast(id % 200 AS string) AS fund", "date_add(date'2020-01-01', cast(id / 200 AS int)) AS dt", "cast(id AS double) AS quota",
+        "1.0D AS balance", "2.0D AS inflow", "CASE WHEN id % 7 > 0 THEN 1.0D END AS outflow",
+    ).write.parquet(str(tmp_path / "daily"))
+    spark.range(200).selectExpr("cast(id AS string) AS fund", "if(id < 10, 'A', 'B') AS category").write.parquet(str(tmp_path / "classes"))
+    return spark.read.parquet(str(tmp_path / "daily")), spark.read.parquet(str(tmp_path / "classes"))
+
+
+@pytest.mark.parametrize("category, funds", [("A", 10), ("B", 190), ("none", 0)])
+def test_a_long_list_of_funds_is_filtered_at_the_scan(spark, industry_tables, no_broadcast, category, funds):
+    """Rows summed follow the share of the category, but for the filter's errors; the result is the same without it."""
+    daily, classes = industry_tables
+    chosen = base.study_classes(classes, category)
+    sums = (
+        partials.fund_months,
+        lambda rows: partials.fund_years(rows, 2020, 2020, partials.total_order(rows, ["dt"])),
+    )
+    for summarise in sums:
+        plain = base.for_funds(daily, chosen, summarise)
+        want = rows(plain)
+        assert not rows_summed(plain)
+        before = spark.conf.get(FILTER_SIZE)
+        spark.conf.set(FILTER_SIZE, "1")
+        try:
+            found = base.for_funds(daily, chosen, summarise)
+            assert rows(found) == want and len({r[0] for r in want}) == funds
+            summed = rows_summed(found)
+        finally:
+            spark.conf.set(FILTER_SIZE, before)
+        assert len(summed) == (funds > 0)  # without funds nothing is left of the plan
+        assert all(funds * 100 <= n <= funds * 100 + 1_000 for n in summed)
+
+
+def test_a_short_list_of_funds_is_joined_below_the_sums(spark, industry_tables):
+    daily, classes = industry_tables
+    plan = base.for_funds(daily, base.study_classes(classes, "A"), partials.fund_months)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    assert text.index("Aggregate") < text.index("Join LeftSemi")
