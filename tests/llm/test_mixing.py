@@ -35,6 +35,36 @@ def test_targets(spark, sizes):
     assert found == pytest.approx(plain_targets(sizes))
 
 
+def test_targets_of_many_sources(spark):
+    """More sources than ranges, sizes over many orders of magnitude, so that caps are met round after round."""
+    sizes = {f"s{i:04d}": 2 ** (i % 40) + i for i in range(2000)} | {None: 17}
+    table = spark.createDataFrame(pa.table({"source": pa.array(list(sizes), pa.string()), "source_size": list(sizes.values())}))
+    found = {r["source"]: r["target"] for r in mixing.capped_targets(table.repartition(5), 3.0).collect()}
+    assert found == pytest.approx(plain_targets(sizes))
+
+
+@pytest.mark.parametrize("piece", [mixing.PIECE, 7])
+def test_a_third_of_the_rows_repeat(spark, monkeypatch, piece):
+    """Repeated rows are handed copies together, alike but for one, also a group of more rows than one task writes."""
+    monkeypatch.setattr(mixing, "PIECE", piece)
+    rows = [(7, "a b c")] * 500 + [(None, "x y")] * 300 + [(1000 + i, "w " * (5 + i % 9)) for i in range(800)]
+    sources = ["hot"] * 500 + [None] * 300 + ["hot" if i % 2 else "other" for i in range(800)]
+    docs = spark.createDataFrame(
+        pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "source": pa.array(sources, pa.string())})
+    )
+    found = collected(mixing.mix(docs), "doc_id", "source", "size", "target", "copies", "taken")
+    assert len(found) == len(rows)
+    taken, target = defaultdict(int), {}
+    for _, source, _, goal, _, words_taken in found:
+        taken[source] += words_taken
+        target[source] = goal
+    assert all(abs(taken[s] - target[s]) <= 15 for s in target)
+    for i, n in ((7, 500), (None, 300)):
+        copies = [c for j, _, _, _, c, _ in found if j == i]
+        assert len(copies) == n and max(copies) - min(copies) <= 1 and max(copies) <= 3
+    assert found == collected(mixing.mix(docs.repartition(3)), "doc_id", "source", "size", "target", "copies", "taken")
+
+
 def test_mix(spark):
     rows = [*awkward_texts(10), (None, "no id at all"), (None, None)] + [(500 + i, "w " * (20 + i)) for i in range(300)]
     docs = documents(spark, rows)
