@@ -1,18 +1,21 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
-Folding undoes disguise before anything is matched: compatibility forms, capitals, homoglyphs from other
+Folding undoes disguise before anything is matched: compatibility forms, accents, capitals, homoglyphs from other
 scripts, digits and signs in place of letters, invisible characters.  What is not a letter becomes a space, so
 an entry is a whole word (" word ") or the beginning of one (" beg"); where several match at one word the
-longest counts, and an exception phrase hides all entries inside it.  The weights of a text's matches, normalised
-by its length, give its score.
+longest counts, and an exception phrase hides all entries inside it.  Signs that can be read in several ways are
+matched in each: a second automaton holds the entries with all letters of a sign's readings made one, and its
+matches count where the text has the letter itself or the sign.  Letters that stand alone, three or more in a row, are
+searched for the entries they spell.  The weights of a text's matches, normalised by its length, give its score.
 
 The lexicon is learned from labelled documents: words that stand in more toxic documents than their share, by
 the log-likelihood ratio of two binomials, weigh their log odds; word beginnings gather families of forms; words
-of clean documents that begin like an entry become exceptions.  A logistic curve, fitted on a third of the
+of clean documents that begin like an entry become exceptions, and so do pairs of words, one of them an entry,
+that clean documents have and toxic ones hardly.  A logistic curve, fitted on a third of the
 documents that the lexicon has not seen, turns the weights into a probability.
 
-Bounds: at most ``SAMPLE`` labelled documents are learned from and ``ENTRIES`` entries are kept; both are
-parameters.  The lexicon goes to the tasks as a broadcast of that size; scoring reads every whole text once.
+Bound: at most ``SAMPLE`` labelled documents are learned from, a parameter, and all entries that they give evidence for
+are kept.  The lexicon goes to the tasks as a broadcast that this sample bounds; scoring reads every whole text once.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ from cotaflow.llm.neardup import shingle_sets
 from cotaflow.session import ship_package
 
 SAMPLE = 24_000
-ENTRIES = 4_000
 #: Least log-likelihood ratio and least number of toxic documents of an entry.
 EVIDENCE, SUPPORT = 14.0, 4
 #: Lengths of word beginnings that can be entries.
@@ -52,8 +54,22 @@ HOMOGLYPHS = {
 }
 #: Digits that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-_SIGNS = {"@": "a", "$": "s"}
-_SIGN_INSIDE = re.compile(r"(?<=[^\W_])[@$](?=[^\W_])")
+_SIGNS = str.maketrans({"@": "a", "$": "s"})
+#: Signs for letters: within words, and dollars at the beginning of one.
+_SIGN = re.compile(r"(?<=[^\W_])[@$]+(?=[^\W_])|(?<![\w$])\$+(?=[^\W\d_])")
+#: Signs that stand for one of several letters, or for one or none.
+READINGS = {"1": "il", "!": "il", "6": "bg", "$": "s"}
+#: Such signs in a text: a one; a six, exclamation mark or bar in a word; dollars that end one.
+_UNSURE = re.compile(r"[1１]|(?<=[^\W_])[6!|](?=[^\W_])|(?<=[^\W\d_])\$+(?![\w$])")
+_MARKS = str.maketrans("１|", "1!")
+#: Letters and signs that some reading makes one.
+_ONE_OF = str.maketrans({c: letters[0] for sign, letters in READINGS.items() for c in sign + letters})
+#: What ``fold`` makes of the signs.
+_FOLDED_SIGN = str.maketrans("1!6$", "i   ")
+_READ = set("".join(READINGS.values()))
+_SPELLED = re.compile(r"(?<= )(?:\S ){2,}\S(?= )")
+#: Least length of an entry that spelled-out letters are searched for.
+SPELLED = 4
 
 
 class _Fold(dict):
@@ -64,8 +80,8 @@ class _Fold(dict):
         if unicodedata.category(char) in ("Cf", "Mn"):
             out = ""
         else:
-            plain = unicodedata.normalize("NFKC", char).lower()
-            plain = "".join(HOMOGLYPHS.get(c, DIGITS.get(c, c)) for c in plain)
+            plain = unicodedata.normalize("NFKD", char).lower()
+            plain = "".join(HOMOGLYPHS.get(c, DIGITS.get(c, c)) for c in plain if unicodedata.category(c) not in ("Cf", "Mn"))
             out = "".join(c if c.isalpha() else " " for c in plain)
         self[code] = out
         return out
@@ -74,11 +90,24 @@ class _Fold(dict):
 _fold = _Fold()
 
 
+def _letters(text: str) -> str:
+    """``text`` with signs for letters undone."""
+    return _SIGN.sub(lambda m: m[0].translate(_SIGNS), text) if "@" in text or "$" in text else text
+
+
 def fold(text: str) -> str:
     """The text in the letters that entries are written in, with a space at both ends."""
-    if "@" in text or "$" in text:
-        text = _SIGN_INSIDE.sub(lambda m: _SIGNS[m[0]], text)
-    return f" {text.translate(_fold)} "
+    return f" {_letters(text).translate(_fold)} "
+
+
+def fold_unsure(text: str) -> str:
+    """Like ``fold``, with every sign of several readings as a key of ``READINGS``; "" for a text without any."""
+    text = _letters(text)
+    if not _UNSURE.search(text):
+        return ""
+    signs = [m.translate(_MARKS) for m in _UNSURE.findall(text)]
+    folded = [piece.translate(_fold) for piece in _UNSURE.split(text)]
+    return f" {''.join(a + b for a, b in zip(folded, [*signs, ''], strict=True))} "
 
 
 @dataclass
@@ -90,39 +119,85 @@ class Lexicon:
     exceptions: list[str]
     curve: np.ndarray = field(default_factory=lambda: np.array([-4.0, 1.0, 1.0, 0.0]))
 
-    def automaton(self):
-        found = ahocorasick.Automaton()
-        for word, weight in self.words.items():
-            found.add_word(f" {word} ", (len(word) + 2, word, weight))
-        for start, weight in self.beginnings.items():
-            found.add_word(f" {start}", (len(start) + 1, start + "*", weight))
-        for phrase in self.exceptions:
-            key = " ".join(fold(phrase).split())
-            if key:
-                found.add_word(f" {key} ", (len(key) + 2, None, 0.0))
-        if len(found):
-            found.make_automaton()
-        return found
-
-
-def matches(automaton, text: str) -> tuple[list[tuple[str, float]], int]:
+    def automaton(self) -> Matcher:
+        return Matcher(self)
+
+
+def _built(entries: dict[str, object]):
+    """An Aho-Corasick automaton; None without entries."""
+    found = ahocorasick.Automaton()
+    for key, value in entries.items():
+        found.add_word(key, value)
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
+
+
+class Matcher:
+    """The automata of a lexicon: of its entries as they are, of unsure signs, and of entries spelled out."""
+
+    def __init__(self, lexicon: Lexicon):
+        keys: dict[str, tuple[str | None, float]] = {f" {w} ": (w, weight) for w, weight in lexicon.words.items()}
+        keys |= {f" {b}": (b + "*", weight) for b, weight in lexicon.beginnings.items()}
+        for phrase in lexicon.exceptions:
+            if key := " ".join(fold(phrase).split()):
+                keys[f" {key} "] = (None, 0.0)
+        self.sure = _built({key: (key, *value) for key, value in keys.items()})
+        unsure: dict[str, list] = {}
+        for key, value in keys.items():
+            if set(key) & _READ:
+                unsure.setdefault(key.translate(_ONE_OF), []).append((key, *value))
+        self.unsure = _built(unsure)
+        self.spelled = _built({key.strip(): value for key, value in keys.items() if value[0] and " " not in key.strip() and len(key.strip()) >= SPELLED})
+
+    def found(self, text: str) -> Iterator[tuple[int, str, str | None, float]]:
+        """(end, key, entry, weight) of each match in a folded text with one space between words."""
+        if self.sure:
+            for end, (key, entry, weight) in self.sure.iter(text):
+                yield end, key, entry, weight
+
+    def found_unsure(self, text: str) -> Iterator[tuple[int, str, str | None, float]]:
+        """The same in a text of ``fold_unsure``, for matches that ``fold`` does not show."""
+        if self.unsure:
+            for end, entries in self.unsure.iter(text.translate(_ONE_OF)):
+                for key, entry, weight in entries:
+                    here = text[end - len(key) + 1 : end + 1]
+                    fits = all(a == b or b in READINGS.get(a, "") for a, b in zip(here, key, strict=True))
+                    if fits and here.translate(_FOLDED_SIGN) != key:
+                        yield end, key, entry, weight
+
+    def found_spelled(self, text: str) -> Iterator[tuple[str, float]]:
+        """(entry, weight) of entries that letters standing alone spell."""
+        if self.spelled:
+            for run in _SPELLED.findall(text):
+                for _, value in self.spelled.iter(run.replace(" ", "")):
+                    yield value
+
+
+def matches(matcher: Matcher, text: str) -> tuple[list[tuple[str, float]], int]:
     """(entry, weight) of each match in a text, longest at each word and none inside an exception; its words."""
     folded = " ".join(fold(text).split())
     n = folded.count(" ") + 1 if folded else 0
-    if not len(automaton) or not n:
+    if not n:
         return [], n
     best: dict[int, tuple[int, str | None, float]] = {}
     hidden = []
-    for end, (length, entry, weight) in automaton.iter(f" {folded} "):
-        start = end - length + 1
+    found = list(matcher.found(f" {folded} "))
+    if unsure := fold_unsure(text):
+        # Places behind those of the other text, in which a sign can be a space.
+        found += ((end + len(folded) + 2, *rest) for end, *rest in matcher.found_unsure(f" {' '.join(unsure.split())} "))
+    for end, key, entry, weight in found:
+        start = end - len(key) + 1
         if entry is None:
             hidden.append((start, end))
-        if start not in best or length > best[start][0]:
-            best[start] = (length, entry, weight)
+        if start not in best or len(key) > best[start][0]:
+            best[start] = (len(key), entry, weight)
     for a, b in hidden:
         for start in [s for s in best if a <= s < b and s + best[s][0] - 1 <= b]:
             del best[start]
-    return [(entry, weight) for _, entry, weight in best.values() if entry is not None], n
+    whole = [(entry, weight) for _, entry, weight in best.values() if entry is not None]
+    return whole + list(matcher.found_spelled(f" {folded} ")), n
 
 
 def features(found: list[tuple[str, float]], n: int) -> list[float]:
@@ -142,6 +217,23 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean"])
 
 
+def _count_pairs(known: frozenset[str]):
+    """The task that counts texts with each pair of neighbouring words of which one is ``known``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in flat.slices(batches, "text"):
+            counts = (Counter(), Counter())
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words = fold(text).split()
+                pairs = zip(words, words[1:], strict=False)
+                counts[label].update({f"{a} {b}" for a, b in pairs if (a in known) != (b in known)})
+            pairs = list(counts[0].keys() | counts[1].keys())
+            columns = [pa.array(pairs, pa.string()), *(pa.array([counts[k][w] for w in pairs], pa.int64()) for k in (1, 0))]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "toxic", "clean"])
+
+    return run
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least shingle of each text, which copies and near copies mostly share."""
     for batch in flat.slices(batches, "text"):
@@ -172,7 +264,6 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample: int = SAMPLE,
-    entries: int = ENTRIES,
     exceptions: tuple[str, ...] = EXCEPTIONS,
 ) -> Lexicon:
     """The lexicon of ``labels`` (``id_col``, ``label_col`` of 0 or 1): from ``sample`` of them, chosen by a hash.
@@ -195,14 +286,14 @@ def fit(
         sizes = {r["label"]: r["count"] for r in learn.groupBy("label").count().collect()}
         if not sizes.get(0) or not sizes.get(1):
             return Lexicon({}, {}, list(exceptions))
-        lexicon = _learn(learn, sizes[1], sizes[0], entries, exceptions)
+        lexicon = _learn(learn, sizes[1], sizes[0], exceptions)
         lexicon.curve = _curve(tune, lexicon)
         return lexicon
     finally:
         known.unpersist()
 
 
-def _learn(learn: DataFrame, n_toxic: int, n_clean: int, entries: int, exceptions: tuple[str, ...]) -> Lexicon:
+def _learn(learn: DataFrame, n_toxic: int, n_clean: int, exceptions: tuple[str, ...]) -> Lexicon:
     words = learn.select("label", "text").mapInArrow(_count_words, "word string, toxic long, clean long")
     words = words.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
@@ -210,7 +301,7 @@ def _learn(learn: DataFrame, n_toxic: int, n_clean: int, entries: int, exception
     def best(table: DataFrame, name: str) -> DataFrame:
         gain = _ratio(F.col("toxic"), F.col("clean"), n_toxic, n_clean)
         good = table.withColumn("gain", gain).withColumn("odds", odds).where((F.col("gain") >= EVIDENCE) & (F.col("toxic") >= SUPPORT))
-        return good.orderBy(F.desc("gain"), name).limit(entries)
+        return good.orderBy(F.desc("gain"), name)
 
     whole = {r["word"]: float(r["odds"]) for r in best(words.where(F.length("word") > 2), "word").collect()}
     cuts = F.explode(F.filter(F.transform(F.array(*map(F.lit, BEGINNINGS)), lambda k: F.substring("word", F.lit(1), k)), lambda s: F.length(s) < F.length("word")))
@@ -234,8 +325,14 @@ def _learn(learn: DataFrame, n_toxic: int, n_clean: int, entries: int, exception
             if own:
                 like = like | F.substring("word", 1, k).isin(own)
         clean = words.where(like & usual)
-        hidden = [r["word"] for r in clean.orderBy(F.desc("clean"), "word").limit(entries).collect() if r["word"] not in whole]
+        hidden = [r["word"] for r in clean.orderBy(F.desc("clean"), "word").collect() if r["word"] not in whole]
     words.unpersist()
+    if whole:
+        pairs = learn.select("label", "text").mapInArrow(_count_pairs(frozenset(whole)), "word string, toxic long, clean long")
+        pairs = pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        # Harmless as often as words are taken to be harmful: the same number of texts, and odds ten to one.
+        harmless = pairs.where((F.col("clean") >= SUPPORT) & (F.col("toxic") * n_clean * 10 <= F.col("clean") * n_toxic))
+        hidden += [r["word"] for r in harmless.orderBy("word").collect()]
     return Lexicon(whole, beginnings, [*exceptions, *hidden])
 
 

@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -100,8 +103,21 @@ def test_statistics_do_not_depend_on_the_batch():
         ("id​iot", ["idiot"]),
         ("ｉｄｉｏｔ", ["idiot"]),  # noqa: RUF001
         ("tr@sh and tra$h$$$", ["trash"] * 2),
+        ("idíot ïdiôt idi\u0301ot", ["idiot"] * 3),
+        ("$lime but a $tupid idiot", ["stupid", "idiot"]),
+        ("tra$$h", []),  # two s
+        ("dumba$$ and a$$", ["dumbass"]),
+        ("id!ot, id!ot! id|ot", ["idiot"] * 3),
+        ("an idiot!you know", ["idiot"]),
+        ("foo1 f001 fool fooi", ["fool"] * 3),
+        ("ki1l 1ikel1 b1l1on bi1!on", ["bilion", "likeli", "bilion"]),
+        ("6oor and 6og, big6y bi6gy", ["biggy"] * 2),
+        ("i d i o t", ["idiot"]),
+        ("a i.d.i.o.t here and i-d-i-o-t!", ["idiot"] * 2),
+        ("i d i o", []),
         ("idiotic", []),
         ("the trash can", []),
+        ("the tra5h c@n", []),
         ("the trash can trash", ["trash"]),
         ("vexolar vexolent", ["vexol*"] * 2),
         ("vexolin is a good word", []),
@@ -109,11 +125,55 @@ def test_statistics_do_not_depend_on_the_batch():
     ],
 )
 def test_matching(text, entries):
-    lexicon = toxicity.Lexicon({"idiot": 2.0, "trash": 1.0}, {"vexol": 1.5}, ["trash can", "vexolin"])
+    entries_of = dict.fromkeys(("idiot", "trash", "stupid", "dumbass", "fool", "likeli", "bilion", "biggy"), 1.0)
+    lexicon = toxicity.Lexicon(entries_of, {"vexol": 1.5}, ["trash can", "vexolin"])
     found, _ = toxicity.matches(lexicon.automaton(), text)
     assert [e for e, _ in found] == entries
 
 
+def plain_matches(lexicon, text):
+    """Entries of plain texts by regular expressions: words as they are, no signs of several readings, no letters alone."""
+    folded = f" {' '.join(toxicity.fold(text).split())} "
+    keys = {f" {w} ": w for w in lexicon.words} | {f" {b}": b + "*" for b in lexicon.beginnings} | {f" {e} ": None for e in lexicon.exceptions}
+    found = [(m.start(), key, entry) for key, entry in keys.items() for m in re.finditer(f"(?={re.escape(key)})", folded)]
+    hidden = [(a, a + len(key) - 1) for a, key, entry in found if entry is None]
+    best = {}
+    for start, key, entry in sorted(found, key=lambda f: (f[0], len(f[1]))):
+        best[start] = (len(key), entry)
+    inside = lambda a, n: any(x <= a < y and a + n - 1 <= y for x, y in hidden)
+    return Counter(entry for a, (n, entry) in best.items() if entry and not inside(a, n))
+
+
+def test_toxicity_equals_a_plain_matcher(spark):
+    """All texts of a corpus, awkward ones too, scored by hand from regular expressions and the curve."""
+    rows, docs, labels = tables(spark, 5)
+    lexicon = toxicity.fit(docs, labels.where("doc_id % 3 <> 1"), "toxic")
+    lexicon.exceptions = [*lexicon.exceptions, f"{RUDE[0]} of {RUDE[1]}"]
+    texts = [(i, t) for i, t, *_ in rows] + [(1000 + i, t) for i, t in awkward_texts(4) if i is not None]
+    texts += [(5000, f"{RUDE[0]} of {RUDE[1]} and {RUDE[1]}"), (5001, f"{RUDE[0].upper()}, {RUDE[0]}! vexolent")]
+    weights = lexicon.words | {b + "*": w for b, w in lexicon.beginnings.items()}
+    want = set()
+    for i, text in texts:
+        found = plain_matches(lexicon, text or "")
+        n = len(toxicity.fold(text or "").split())
+        total, distinct = sum(weights[e] * k for e, k in found.items()), sum(weights[e] for e in found)
+        x = [1, math.log1p(max(total, 0)), math.log1p(max(distinct, 0) * 1000 / (n + 100)), math.log1p(n) / 10]
+        want.add((i, round(1 / (1 + math.exp(-np.clip(np.dot(lexicon.curve, x), -30, 30))), 9), sum(found.values())))
+    got = {(r["doc_id"], round(r["score"], 9), r["n_matches"]) for r in toxicity.score(documents(spark, texts), lexicon).collect()}
+    assert got == want
+
+
+def test_exceptions_are_learned_from_clean_texts(spark):
+    """A pair of words that clean texts hold again and again hides the entry in it."""
+    rng = random.Random(8)
+    filler = lambda: " ".join("".join(rng.choice("bcdfgklmnp") + rng.choice("aeo") for _ in range(3)) for _ in range(30))
+    rows = [(i, f"{filler()} {'fiend' if i % 2 else ''} {filler()}" + (" fiend club" if i % 40 == 0 else "")) for i in range(800)]
+    labels = spark.createDataFrame(pa.table({"doc_id": [i for i, _ in rows], "toxic": [i % 2 for i, _ in rows]}))
+    lexicon = toxicity.fit(documents(spark, rows), labels, "toxic")
+    assert "fiend" in lexicon.words and "fiend club" in lexicon.exceptions
+    assert toxicity.matches(lexicon.automaton(), "fiend club")[0] == [] and toxicity.matches(lexicon.automaton(), "club fiend")[0]
+
+
 @pytest.mark.parametrize("noise", [0.0, 0.1])
 def test_logistic_curve_finds_the_labels(noise):
     """Also where they can be told apart without error, and where two features say the same."""
