@@ -517,6 +517,148 @@ oracle(
         USING (year))
     WHERE change IS NOT NULL""",
 )
+# All other reports of a study as (report, key, item, value)
+
+
+def _long(report: str, keys: list[str], items: dict[str, str], source: str, digits: int = 11, by: str = "") -> str:
+    """With ``by`` the items are aggregates over the source's groups."""
+    if by:
+        columns = ", ".join(f'{sql} AS "{item}"' for item, sql in items.items())
+        source, items = f"SELECT {by}, {columns} FROM ({source}) GROUP BY {by}", {item: f'"{item}"' for item in items}
+    key = "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), '-')" for k in keys) + ")"
+    numbers = ", ".join(f"{{'item': '{item}', 'value': CAST({sql} AS DOUBLE)}}" for item, sql in items.items())
+    return f"""SELECT report, key, number.item AS item, round(number.value, {digits}) + 0.0 AS value FROM (
+        SELECT '{report}' AS report, {key} AS key, unnest([{numbers}]) AS number FROM ({source}))"""
+
+
+def _kind(first: str, second: str, rest: str = "type") -> str:
+    return f"CASE type WHEN 'AUTOMOBILE' THEN '{first}' WHEN 'BUILDING' THEN '{second}' ELSE {rest} END"
+
+
+def _same(*columns: str) -> dict[str, str]:
+    return {c: c for c in columns}
+
+
+def _profile_reports(region: str, category: str, kind: str) -> list[str]:
+    """Of the funds that report; the latest snapshot by date and then by all other columns in the order of their names."""
+    funds = f"(SELECT fund FROM SD JOIN C USING (fund) WHERE category = '{region}')"
+    yes = "CASE {0} WHEN 'S' THEN 'Sim' WHEN 'N' THEN 'Não' ELSE {0} END AS {0}"
+    fees = ("entry_fee", "perf_fee", "exit_fee")
+    counted = f"""SELECT *, n * 100.0 / sum(n) OVER () AS share FROM (
+        SELECT '{category}' AS category, {kind} AS type, count(*) AS n FROM C WHERE fund IN {funds} GROUP BY 2)"""
+    latest = ", ".join(f"{c} DESC NULLS LAST" for c in ("dt", "entry_fee", "exit_fee", "feeder", "mirror", "perf_fee", "policy", "seq"))
+    return [
+        _long(
+            "type_share", ["category", "type"], _same("n", "share", "share_cum"),
+            f"SELECT *, sum(share) OVER (ORDER BY n DESC, type ROWS UNBOUNDED PRECEDING) AS share_cum FROM ({counted})", 6,
+        ),
+        _long("investor_profile", ["investor", "feature"], _same("n"),
+              f"SELECT investor, feature, count(*) AS n FROM C WHERE fund IN {funds} GROUP BY ALL"),
+        _long(
+            "latest_structure", ["policy", "mirror", "feeder"], _same("n"),
+            f"""SELECT policy, CASE WHEN mirror = 'S' THEN 'Sim' ELSE 'Não' END AS mirror,
+                CASE WHEN feeder = 'N' THEN 'Não' ELSE 'Sim' END AS feeder, count(*) AS n
+            FROM (SELECT *, row_number() OVER (PARTITION BY fund ORDER BY {latest}) AS rn FROM XG WHERE fund IN {funds})
+            WHERE rn = 1 GROUP BY ALL""",
+        ),
+        _long(
+            "fee_matrix", ["policy", *fees], _same("n"),
+            f"""SELECT policy, {", ".join(yes.format(f) for f in fees)}, n FROM (
+                SELECT policy, {", ".join(fees)}, count(*) AS n FROM (
+                    SELECT DISTINCT dt, fund, policy, {", ".join(fees)} FROM XG WHERE fund IN {funds}) GROUP BY ALL)""",
+        ),
+    ]
+
+
+def _quarterly_reports(region: str, kind: str, label: str, lumped: str | None = None) -> dict[str, str]:
+    """Every snapshot with a policy repeats the days of its fund.  A gap leaves the whole quarter out, or in flows by type only itself."""
+    rows = f"(SELECT *, {lumped or kind} AS kind FROM SD JOIN C USING (fund) JOIN SX USING (fund) WHERE category = '{region}')"
+    inflow, outflow = "sum(inflow * weight) / 1e9", "sum(outflow * weight) / 1e9"
+    strict = f"""SELECT {QUARTER_START} AS quarter, CASE WHEN count(inflow) = count(*) THEN {inflow} END AS inflow,
+        -{outflow} AS outflow, CASE WHEN count(inflow) = count(*) THEN {inflow} - {outflow} END AS net FROM {rows} GROUP BY 1"""
+    running = "OVER (ORDER BY quarter ROWS UNBOUNDED PRECEDING)"
+    return {
+        "quarterly_flow": _long(
+            "quarterly_flow", ["quarter"], _same("inflow", "outflow", "net", "net_cum"),
+            f"SELECT *, CASE WHEN count(net) {running} = count(*) {running} THEN sum(net) {running} END AS net_cum FROM ({strict})",
+        ),
+        "flow_by_type": _long(
+            "flow_by_type", ["quarter", "kind"], _same("inflow", "outflow") | {"net": "inflow + outflow"},
+            f"SELECT {label} AS quarter, kind, {inflow} AS inflow, -{outflow} AS outflow FROM {rows} GROUP BY ALL",
+        ),
+        "custody_by_type": _long(
+            "custody_by_type", ["quarter", "kind"], _same("custody"),
+            f"SELECT {label} AS quarter, kind, sum(balance * weight) / 1e9 AS custody FROM {rows} GROUP BY ALL",
+        ),
+    }
+
+
+def _study_reports(name: str, roles: str, parts: list[str]) -> None:
+    oracle(name, roles, "\nUNION ALL\n".join(parts))
+
+
+_KIND = _kind("Renda Fixa Simples", "Renda Fixa Indexados")
+_BY_QUARTER = _quarterly_reports("AMERICA", _KIND, QUARTER_START, _kind("Renda Fixa Simples", "Renda Fixa Indexados", "'Outros'"))
+_study_reports(
+    "study_fixed_income_reports", "SD C SX XG",
+    [*_profile_reports("AMERICA", "Renda Fixa", _KIND), _BY_QUARTER["quarterly_flow"], _BY_QUARTER["custody_by_type"]],
+)
+_KIND = _kind("Multimercados Livre", "Multimercados Macro")
+_BY_QUARTER = _quarterly_reports("ASIA", _KIND, QUARTER_LABEL)
+_study_reports("study_multimarket_reports", "SD C SX XG", [*_profile_reports("ASIA", "Multimercados", _KIND), *_BY_QUARTER.values()])
+_KIND = _kind("Ações Dividendos", "Ações Livre")
+_BY_QUARTER = _quarterly_reports("EUROPE", _KIND, QUARTER_LABEL)
+_study_reports(
+    "study_equity_reports", "SD C SX XG I",
+    [
+        *_profile_reports("EUROPE", "Ações", _KIND), _BY_QUARTER["quarterly_flow"], _BY_QUARTER["flow_by_type"],
+        _long(
+            "return_quartiles_1", ["type", "year"], _same("benchmark", "position", "n", "q1", "median", "q3"),
+            f"""WITH Y AS (SELECT fund, year, (last(quota ORDER BY dt, seq) / first(quota ORDER BY dt, seq) - 1) * 100 AS ret
+                FROM SD WHERE year BETWEEN 2010 AND 2024 GROUP BY fund, year),
+            B AS (SELECT year(dt) + 20 AS year, (last(close ORDER BY dt) / first(close ORDER BY dt) - 1) * 100 AS benchmark
+                FROM I WHERE dt <> DATE '1992-01-02' GROUP BY 1),
+            R AS (SELECT fund, Y.year, ret, {_KIND} AS type, benchmark, type IN ('AUTOMOBILE', 'BUILDING') AS wanted
+                FROM Y JOIN C USING (fund) JOIN SX USING (fund) LEFT JOIN B ON B.year = Y.year WHERE category = 'EUROPE')
+            SELECT type, year, benchmark, dense_rank() OVER (ORDER BY year) AS position, count(x) AS n, quantile_cont(x, 0.25) AS q1,
+                quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
+            FROM (SELECT *, CASE WHEN fund NOT IN (SELECT fund FROM R WHERE ret > 500 OR ret < -500) THEN ret END AS x FROM R WHERE wanted)
+            GROUP BY type, year, benchmark""", 6,
+        ),
+    ],
+)
+_OPEN = ["Multimercados Investimento no Exterior", "Multimercados Livre", "Multimercados Macro", "Outros"]
+_FLOW_YEARS = range(2015, 2026)
+_OPEN_ROWS = f"""(SELECT SD.*, {_kind("Multimercados Livre", "Multimercados Macro")} AS kind,
+    {_kind("Multimercados Livre", "Multimercados Macro", "'Outros'")} AS lumped, CAST(date_trunc('month', dt) AS DATE) AS month
+    FROM SD JOIN C USING (fund) WHERE category = 'ASIA' AND structure = 'Classe' AND year BETWEEN 2015 AND 2025)"""
+_NET = "coalesce(sum(inflow - outflow), 0) / 1e9"
+_MONTH_TYPES = f"(SELECT month, lumped, {_NET} AS net FROM {_OPEN_ROWS} GROUP BY ALL)"
+_MONTHS = f"""SELECT month, coalesce(sum(inflow), 0) / 1e9 AS inflow, -coalesce(sum(outflow), 0) / 1e9 AS outflow,
+    coalesce(sum(inflow), 0) / 1e9 - coalesce(sum(outflow), 0) / 1e9 AS net FROM {_OPEN_ROWS} GROUP BY month"""
+_study_reports(
+    "study_multimarket_flows_reports", "SD C",
+    [
+        _long("type_year_counts", ["kind"], {str(y): f"count(DISTINCT fund) FILTER (WHERE year = {y})" for y in _FLOW_YEARS},
+              f"SELECT * FROM {_OPEN_ROWS}", by="kind"),
+        _long("annual_net_by_type", ["year"], {k: f"coalesce(sum(net) FILTER (WHERE lumped = '{k}'), 0)" for k in _OPEN} | {"total": "sum(net)"},
+              f"SELECT year(month) AS year, lumped, net FROM {_MONTH_TYPES}", by="year"),
+        _long("annual_net_by_year", ["lumped"], {str(y): f"coalesce(sum(net) FILTER (WHERE year(month) = {y}), 0)" for y in _FLOW_YEARS} | {"total": "sum(net)"},
+              f"SELECT * FROM {_MONTH_TYPES}", by="lumped"),
+        _long("monthly_flow", ["month"], _same("inflow", "outflow", "net"), _MONTHS),
+        _long("rolling_flow", ["month", "lumped"], _same("net", "net_rolling"),
+              f"""SELECT *, sum(net) OVER w AS net_rolling FROM {_MONTH_TYPES}
+              WINDOW w AS (PARTITION BY lumped ORDER BY month ROWS 11 PRECEDING) QUALIFY count(*) OVER w = 12"""),
+        _long("cumulative_flow", ["month"], _same("inflow", "outflow", "net", "net_cum"),
+              f"SELECT *, sum(net) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING) AS net_cum FROM ({_MONTHS})"),
+        _long("cumulative_flow_by_type", ["month", "lumped"], _same("net", "net_cum"),
+              f"SELECT *, sum(net) OVER (PARTITION BY lumped ORDER BY month ROWS UNBOUNDED PRECEDING) AS net_cum FROM {_MONTH_TYPES}"),
+        _long("year_end_balance", ["year", "dt"], {k: f"coalesce(sum(balance) FILTER (WHERE lumped = '{k}'), 0)" for k in _OPEN} | {"total": "sum(balance)"},
+              f"""SELECT year, lumped, sum(balance) / 1e9 AS balance, max(dt) AS dt FROM (
+                  SELECT *, row_number() OVER (PARTITION BY fund, year ORDER BY dt DESC, seq DESC) AS rn FROM {_OPEN_ROWS})
+              WHERE rn = 1 GROUP BY year, lumped""", by="year, dt"),
+    ],
+)
 oracle("annual_return", "RY", "SELECT fund, year, round(ret, 6) AS ret FROM RY")
 oracle(
     "annual_return_missing",

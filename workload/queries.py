@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -932,6 +933,69 @@ def study_multimarket_flows(spark, sf):
     return rounded(studies.multimarket_flows(daily, classes, rates, ("dt", "seq"))["reconciliation"], CENTS_OF_BILLIONS)
 
 
+# All other reports of a study, from one run of it: a row for each number
+
+
+def _in_long_form(reports: dict[str, DataFrame], keys: dict[str, list[str]], digits: int = CENTS_OF_BILLIONS) -> DataFrame:
+    """(report, key, item, value) of each number of the reports that ``keys`` names with the columns that tell their rows."""
+    parts = []
+    for name, by in keys.items():
+        key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in by])
+        numbers = [c for c in reports[name].columns if c not in by]
+        items = [F.struct(F.lit(c).alias("item"), F.col(f"`{c}`").cast("double").alias("value")) for c in numbers]
+        row = reports[name].select(F.lit(name).alias("report"), key.alias("key"), F.explode(F.array(*items)).alias("number"))
+        parts.append(row.select("report", "key", "number.item", (F.round("number.value", digits) + 0.0).alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+PROFILE_KEYS = {
+    "investor_profile": ["investor", "feature"],
+    "latest_structure": ["policy", "mirror", "feeder"],
+    "fee_matrix": ["policy", *profile.FEES],
+}
+
+
+@query
+def study_fixed_income_reports(spark, sf):
+    reports = studies.fixed_income(*t.study_tables(spark, sf, "AMERICA", "Renda Fixa"), ("dt", "seq"))
+    shares = _in_long_form(reports, {"type_share": ["category", "type"]}, 6)
+    return shares.union(_in_long_form(reports, PROFILE_KEYS | {"quarterly_flow": ["quarter"], "custody_by_type": ["quarter", "type"]}))
+
+
+@query
+def study_multimarket_reports(spark, sf):
+    reports = studies.multimarket(*t.study_tables(spark, sf, "ASIA", "Multimercados"), ("dt", "seq"))
+    shares = _in_long_form(reports, {"type_share": ["category", "type"]}, 6)
+    by_type = {"flow_by_type": ["quarter", "type"], "custody_by_type": ["quarter", "type"]}
+    return shares.union(_in_long_form(reports, PROFILE_KEYS | {"quarterly_flow": ["quarter"]} | by_type))
+
+
+@query
+def study_equity_reports(spark, sf):
+    daily, classes, snapshots, _ = t.study_tables(spark, sf, "EUROPE", "Ações")
+    closes = t.closes(spark, sf).withColumn("dt", t.later(F.col("dt")))
+    reports = studies.equity(daily, classes, snapshots, closes, ("dt", "seq"))
+    in_percent = _in_long_form(reports, {"type_share": ["category", "type"], "return_quartiles_1": ["type", "year"]}, 6)
+    return in_percent.union(_in_long_form(reports, PROFILE_KEYS | {"quarterly_flow": ["quarter"], "flow_by_type": ["quarter", "type"]}))
+
+
+@query
+def study_multimarket_flows_reports(spark, sf):
+    daily, classes, _, rates = t.study_tables(spark, sf, "ASIA", "Multimercados")
+    reports = studies.multimarket_flows(daily, classes, rates, ("dt", "seq"))
+    keys = {
+        "type_year_counts": ["type"],
+        "annual_net_by_type": ["year"],
+        "annual_net_by_year": ["type"],
+        "monthly_flow": ["month"],
+        "rolling_flow": ["month", "type"],
+        "cumulative_flow": ["month"],
+        "cumulative_flow_by_type": ["month", "type"],
+        "year_end_balance": ["year", "dt"],
+    }
+    return _in_long_form(reports, keys)
+
+
 # The site's own tables
 
 
