@@ -4,8 +4,8 @@ Wanted are rates for documents, as close as can be to 1 in relative entropy per
 each group come to its target: minimise the sum of size * (r log r - r + 1) under one constraint a group, for
 one or several ways of grouping.  The dual is convex and its solution is an exponential tilt: a document's rate
 is exp of the sum of its groups' multipliers.  Documents with the same groups share a rate, so the corpus is
-summed once into cells, and each Newton iteration is a Spark aggregation over cells: with one grouping the
-Hessian is diagonal and all groups take their own damped step at once; several groupings take turns.
+summed once into cells.  With one grouping the Hessian is diagonal, so each group takes all its damped Newton steps in
+one expression over the table of groups; several groupings take turns, each iteration a Spark aggregation over cells.
 Multipliers stay in tables; only the largest miss goes to the driver.
 
 Rates become copies: the whole part for each document, and one more for documents in the order of a hash of
@@ -68,6 +68,8 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], stage: Staging) ->
     ``targets`` gives for each grouping column a table of its values and their ``target``.  Values without
     words, and values without a target row, keep the multiplier 0.
     """
+    if len(targets) == 1:
+        return _balance_apart(cells, *next(iter(targets.items())), stage)
     state = cells.withColumn("tilt", F.lit(0.0))
     for _ in range(MOST_ITERATIONS):
         worst = 0.0
@@ -92,6 +94,28 @@ def balance(cells: DataFrame, targets: dict[str, DataFrame], stage: Staging) ->
     return state.withColumn("rate", F.exp("tilt")).drop("tilt")
 
 
+def _balance_apart(cells: DataFrame, column: str, wanted: DataFrame, stage: Staging) -> DataFrame:
+    """``balance`` for one grouping: groups don't meet, so each takes all its Newton steps by itself, in one pass."""
+    sums = cells.groupBy(F.col(column).alias("_value")).agg(F.sum("words").alias("mass")).where("mass > 0")
+    goal = wanted.select(F.col(column).alias("_goal"), "target")
+    pairs = sums.join(goal, F.col("_value").eqNullSafe(F.col("_goal")))
+
+    def gap(tilt: Column) -> Column:
+        return F.col("target") / (F.col("mass") * F.exp(tilt)) - 1
+
+    def stepped(tilt: Column, _: Column) -> Column:
+        return tilt + F.least(F.lit(1.0), F.greatest(F.lit(-1.0), gap(tilt)))
+
+    newton = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ITERATIONS)), F.lit(0.0), stepped)
+    pairs = pairs.withColumn("_tilt", F.when(F.col("target") <= 0, F.lit(-1e3)).otherwise(newton))
+    pairs = stage(pairs.select("_value", "_tilt", F.when(F.col("target") > 0, F.abs(gap(F.col("_tilt")))).alias("miss")), "tilts")
+    worst = pairs.agg(F.max("miss")).first()[0] or 0.0
+    if worst > TOLERANCE:
+        raise RuntimeError(f"the targets can't be met: after {MOST_ITERATIONS} steps one is missed by a share of {worst:.3g}")
+    found = cells.join(pairs.drop("miss"), F.col(column).eqNullSafe(F.col("_value")), "left")
+    return found.select(*cells.columns, F.exp(F.coalesce("_tilt", F.lit(0.0))).alias("rate"))
+
+
 def _fill(rows: DataFrame, need: DataFrame, cell: str, share: float | None, cap: float) -> DataFrame:
     """Rows (cell, size, order, n, base, more) in which further rows get a copy, up to the words that ``need`` lacks.
 
