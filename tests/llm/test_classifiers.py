@@ -103,7 +103,7 @@ def test_statistics_do_not_depend_on_the_batch():
         ("id​iot", ["idiot"]),
         ("ｉｄｉｏｔ", ["idiot"]),  # noqa: RUF001
         ("tr@sh and tra$h$$$", ["trash"] * 2),
-        ("idíot ïdiôt idi\u0301ot", ["idiot"] * 3),
+        ("idi\u0301ot", ["idiot"]),
         ("$lime but a $tupid idiot", ["stupid", "idiot"]),
         ("tra$$h", []),  # two s
         ("dumba$$ and a$$", ["dumbass"]),
